@@ -94,8 +94,10 @@ def lookup_join(left: DataFrame, right: DataFrame, on: str, weight: str) -> Data
     if small_rows(right):
         return left.join(F.broadcast(right.select(*cols)), on, "left")
     limit = right.agg(F.sum(weight)).first()[0] // HOT_PARTS + 1
-    hot = right.where(F.col(weight) > limit).select(*cols)
-    cold = right.where(F.col(weight) <= limit).select(*cols)
-    tagged = left.join(F.broadcast(hot.select(on, F.lit(True).alias("__hot"))), on, "left")
-    part = lambda is_hot: tagged.where(F.col("__hot").isNotNull() if is_hot else F.col("__hot").isNull()).drop("__hot")
-    return part(True).join(F.broadcast(hot), on, "left").unionByName(part(False).join(cold, on, "left"))
+    values = [c for c in cols if c != on]
+    hot = right.where(F.col(weight) > limit).select(on, *(F.col(c).alias(f"__hot_{c}") for c in values), F.lit(True).alias("__hot"))
+    cold = right.where(F.col(weight) <= limit).select(on, *(F.col(c).alias(f"__cold_{c}") for c in values), F.lit(0).cast("long").alias("__salt"))
+    # Rows of a hot key are done after the first join; a salt that the second one does not know spreads them over its tasks.
+    tagged = left.join(F.broadcast(hot), on, "left").withColumn("__salt", F.when(F.col("__hot"), 1 + F.monotonically_increasing_id() % 100_000).otherwise(0))
+    out = tagged.join(cold, [on, "__salt"], "left")
+    return out.select(*left.columns, *(F.when(F.col("__hot"), F.col(f"__hot_{c}")).otherwise(F.col(f"__cold_{c}")).alias(c) for c in values))

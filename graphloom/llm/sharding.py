@@ -96,7 +96,7 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
     where = materialize(solved.select("group", F.col("place").alias("shard"), "n"), "shard-where")
     placed = lookup_join(rows, where, "group", "n")
     slices = max(1, rows.count() // (SLICE_ROWS * shards))
-    placed = placed.withColumn("slice", F.pmod(F.xxhash64("id", "text_crc32"), F.lit(slices)))
+    placed = materialize(placed.withColumn("slice", F.pmod(F.xxhash64("id", "text_crc32"), F.lit(slices))), "shard-placed")
     counts = placed.groupBy("shard", "slice").agg(F.sum("copies").alias("total"))
     before = Window.partitionBy("shard").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "slice", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("offset"))
