@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, lookup_join, materialize, n_words, small_rows
 
 #: Rows to a range bucket, at most about so many.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 
 
 def _ranked(sources: DataFrame) -> DataFrame:

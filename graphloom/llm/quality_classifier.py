@@ -29,16 +29,31 @@ from pyspark.sql import functions as F
 
 from .common import lookup_join, materialize
 
-#: Bounds of the fit: labelled documents, words for each head, documents that a word must be in.
-MAX_LABELLED, WORDS, LEAST_DOCS = 10_000, 150, 4
+#: Bounds of the fit: labelled documents, marks for each head, documents that a mark must be in, and its G-test at least (10: one in 600 by chance).
+MAX_LABELLED, WORDS, LEAST_DOCS, LEAST_GAIN = 10_000, 150, 4, 10.0
+#: A mark is a word, or a longer word's first letters.
+PREFIX = 5
 HEADS = ("quality", "toxic")
-_WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
+_WORD = re.compile(r"[^\W_]+")
 _UPPER, _SYMBOLS = bytes(range(65, 91)), b"#*$%&|<>!"
 N_SHAPES = 7
 
 
-def _letters(text: bytes) -> set[bytes]:
-    return set(_WORD.findall(text.lower()))
+def marks(text: str) -> tuple[Counter, int]:
+    """Times of each word and each prefix (marked ^) of longer words, and the number of words."""
+    words = Counter(_WORD.findall(text.lower()))
+    out = Counter(words)
+    for w, k in words.items():
+        if len(w) > PREFIX:
+            out["^" + w[:PREFIX]] += k
+    return out, words.total()
+
+
+def hits(text: str, at: dict[str, int]) -> tuple[list[int], list[float]]:
+    """The known marks of a text, and how dense each one is."""
+    found, n = marks(text)
+    own = found.keys() & at.keys()
+    return [at[w] for w in own], [math.log1p(found[w] * 200 / max(n, 20)) for w in own]
 
 
 def shapes(text: bytes) -> list[float]:
@@ -57,21 +72,18 @@ def shapes(text: bytes) -> list[float]:
 
 @dataclass(frozen=True)
 class Model:
-    """weights: (heads, words + shapes + 1); rates: share of ones among the labels of each head."""
+    """weights: (heads, presence of each mark + density of each + shapes + 1); rates: share of ones among the labels of each head."""
 
-    words: tuple[bytes, ...]
+    words: tuple[str, ...]
     weights: np.ndarray
     rates: tuple[float, ...]
 
-    def logits(self, texts: list[bytes]) -> np.ndarray:
-        at = {w: i for i, w in enumerate(self.words)}
-        known = at.keys()
+    def logits(self, texts: list[str]) -> np.ndarray:
+        at, n, w = {x: i for i, x in enumerate(self.words)}, len(self.words), self.weights
         out = np.empty((len(texts), len(HEADS)))
-        n = len(self.words)
         for row, text in enumerate(texts):
-            w = self.weights
-            found = [at[x] for x in known & _letters(text)]
-            out[row] = w[:, found].sum(axis=1) + w[:, n : n + N_SHAPES] @ shapes(text) + w[:, -1]
+            found, dense = hits(text, at)
+            out[row] = w[:, found].sum(axis=1) + w[:, n : 2 * n][:, found] @ np.array(dense) + w[:, 2 * n : -1] @ shapes(text.encode()) + w[:, -1]
         return np.clip(out, -30, 30)
 
 
@@ -79,7 +91,7 @@ def _logit(p: float) -> float:
     return math.log(p / (1 - p))
 
 
-def _regress(x: np.ndarray, y: np.ndarray, penalty: float = 0.3, rounds: int = 12) -> np.ndarray:
+def _regress(x: np.ndarray, y: np.ndarray, penalty: float = 0.2, rounds: int = 12) -> np.ndarray:
     """Ridge logistic regression by Newton steps; the last column of x is the intercept, not shrunk."""
     w, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], penalty)
     ridge[-1] = 1e-6
@@ -105,13 +117,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         n, q, t = Counter(), Counter(), Counter()
         for batch in batches:
             for text, yq, yt in zip(*(batch.column(c).to_pylist() for c in ("text", "q", "t")), strict=True):
-                own = _letters((text or "").encode())
+                own = marks(text or "")[0].keys()
                 n.update(own)
                 if yq:
                     q.update(own)
                 if yt:
                     t.update(own)
-        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), *(pa.array([c[w] for w in n], pa.int64()) for c in (n, q, t))], ["word", "n", "q", "t"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), *(pa.array([c[w] for w in n], pa.int64()) for c in (n, q, t))], ["word", "n", "q", "t"])
 
     total, ones_q, ones_t = sample.agg(F.count("*"), F.sum("q"), F.sum("t")).first()
     ones = (ones_q or 0, ones_t or 0)
@@ -120,30 +132,34 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         weights = np.zeros((len(HEADS), N_SHAPES + 1))
         weights[:, -1] = [_logit(r) for r in rates]
         return Model((), weights, rates)
-    counts = sample.mapInArrow(count, "word binary, n long, q long, t long").groupBy("word").agg(*(F.sum(c).alias(c) for c in "nqt")).where(F.col("n") >= LEAST_DOCS)
+    counts = sample.mapInArrow(count, "word string, n long, q long, t long").groupBy("word").agg(*(F.sum(c).alias(c) for c in "nqt")).where(F.col("n") >= LEAST_DOCS)
 
     def gain(k: str, rate: float) -> Column:  # G-test of one against zero among the texts with the word
         term = lambda seen, share: F.when(seen > 0, seen * F.log(seen / (F.col("n") * share))).otherwise(0.0)
         return term(F.col(k), rate) + term(F.col("n") - F.col(k), 1 - rate)
 
-    chosen: dict[bytes, None] = {}
+    chosen: dict[str, None] = {}
     for k, one in zip("qt", ones, strict=True):
-        for r in counts.orderBy(F.desc(gain(k, one / total)), "word").limit(words).collect():
-            chosen[bytes(r.word)] = None
+        score = gain(k, one / total)
+        for r in counts.where(score >= LEAST_GAIN).orderBy(F.desc(score), "word").limit(words).collect():
+            chosen[r.word] = None
     known = tuple(chosen)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = {w: i for i, w in enumerate(known)}
         for batch in batches:
-            texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
-            hits = [[at[w] for w in at.keys() & _letters(t)] for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(hits, pa.list_(pa.int32())), pa.array([shapes(t) for t in texts], pa.list_(pa.float64())), batch.column("q"), batch.column("t")], ["hits", "shape", "q", "t"])
-
-    rows = sample.mapInArrow(vectors, "hits array<int>, shape array<double>, q int, t int").toPandas()  # max_labelled short rows
-    x = np.zeros((len(rows), len(known) + N_SHAPES + 1), np.float64)
-    for i, (hits, shape) in enumerate(zip(rows["hits"], rows["shape"], strict=True)):
-        x[i, np.asarray(hits, np.int64)] = 1
-        x[i, len(known) : -1] = shape
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            found, dense = zip(*(hits(t, at) for t in texts), strict=True) if texts else ([], [])
+            cols = [pa.array(found, pa.list_(pa.int32())), pa.array(dense, pa.list_(pa.float64())), pa.array([shapes(t.encode()) for t in texts], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*cols, batch.column("q"), batch.column("t")], ["hits", "dense", "shape", "q", "t"])
+
+    rows = sample.mapInArrow(vectors, "hits array<int>, dense array<double>, shape array<double>, q int, t int").toPandas()  # max_labelled short rows
+    n = len(known)
+    x = np.zeros((len(rows), 2 * n + N_SHAPES + 1), np.float64)
+    for i, (found, dense, shape) in enumerate(zip(rows["hits"], rows["dense"], rows["shape"], strict=True)):
+        x[i, np.asarray(found, np.int64)] = 1
+        x[i, n + np.asarray(found, np.int64)] = dense
+        x[i, 2 * n : -1] = shape
     x[:, -1] = 1
     return Model(known, np.stack([_regress(x, rows[c].to_numpy(np.float64)) for c in "qt"]), rates)
 
@@ -194,7 +210,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     @F.pandas_udf("quality double, toxic double")
     def evidence(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(model.logits([(t or "").encode() for t in texts]), columns=list(HEADS))
+        return pd.DataFrame(model.logits([t or "" for t in texts]), columns=list(HEADS))
 
     logits = evidence(F.col(text_col))
     sites = docs.select(F.col(host_col).alias("host"), F.col(path_col).alias("path"), logits.alias("e"))

@@ -4,8 +4,8 @@ Rows of equal text are one group and stay together.  Groups are dealt into block
 differenced into a partial partition of m sums where it lies, and the partial partitions are differenced again, level
 by level, at most FAN of them in one task, until one is left.  A group's shard is followed down the levels by joins.
 
-Defined results: size is the UTF-8 bytes of the text plus ROW_BYTES, for a null text ROW_BYTES; null texts are one
-group, apart from empty texts; equal rows count once with a multiplicity and get slots of their own; extra columns are
+Defined results: size is the UTF-8 bytes of the text plus ROW_BYTES, for a null text ROW_BYTES; null and empty
+texts are one group; equal rows count once with a multiplicity and get slots of their own; extra columns are
 not read.  An empty table gives no rows.
 """
 
@@ -75,7 +75,7 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
     text = F.col(text_col)
     rows = docs.select(
         F.col(id_col).alias("id"), (F.coalesce(F.octet_length(text), F.lit(0)) + ROW_BYTES).cast("long").alias("size"),
-        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), F.coalesce(F.sha2(text, 256), F.lit("")).alias("group"),
+        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), F.sha2(F.coalesce(text, F.lit("")), 256).alias("group"),
     )
     rows = materialize(rows.groupBy("id", "size", "text_crc32", "group").agg(F.count("*").alias("copies")), "shard-rows")
     groups = rows.groupBy("group").agg(F.sum(F.col("size") * F.col("copies")).alias("bytes"), F.count("*").alias("n"))
