@@ -41,8 +41,8 @@ from .common import materialize
 SEED = 42
 #: Counts up to this one are discounted.
 CUT = 5
-#: Tokens to a chunk; vocabulary entries to a hash range and bigrams to a bucket, about.
-CHUNK_TOKENS, RANGE_WORDS, BUCKET_BIGRAMS = 4_000_000, 1_000_000, 2_000_000
+#: Bytes of text to a chunk (a longer text is one of its own); vocabulary entries to a hash range and bigrams to a bucket, about.
+CHUNK_BYTES, RANGE_WORDS, BUCKET_BIGRAMS = 12_000_000, 1_000_000, 2_000_000
 #: The end token's name; no word holds a line end.
 _END = xxhash.xxh64_intdigest(b"\n", SEED)
 
@@ -91,22 +91,24 @@ class Chunk:
         self.name = int(np.uint64(name.intdigest()).astype(np.int64))
 
 
+def _chunk(ids: pa.Array, texts: pa.Array, place: int) -> Chunk:
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words = split.flatten()
+    full = pc.not_equal(pc.binary_length(words), 0)
+    before = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
+    offsets = split.offsets.to_numpy()
+    return Chunk(ids, words.filter(full), np.diff(before[offsets - offsets[0]]), place)
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
     place = TaskContext.get().partitionId() << 24
     for batch in batches:
-        texts = pc.ascii_lower(pc.fill_null(batch.column("text"), "").cast(pa.large_string()))
-        split = pc.ascii_split_whitespace(texts)
-        words = split.flatten()
-        full = pc.not_equal(pc.binary_length(words), 0)
-        owner = np.repeat(np.arange(len(split)), np.diff(split.offsets.to_numpy()))
-        lengths = np.bincount(owner[full.to_numpy(zero_copy_only=False)], minlength=len(split)).astype(np.int64)
-        words = words.filter(full)
-        ends = np.cumsum(lengths)
+        texts = pc.fill_null(batch.column("text"), "").cast(pa.large_string())
+        ends = np.cumsum(pc.binary_length(texts).to_numpy())
         at = 0
-        while at < len(lengths):
-            before = int(ends[at - 1]) if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, before + CHUNK_TOKENS, "right")))
-            yield Chunk(batch.column("id").slice(at, to - at), words.slice(before, int(ends[to - 1]) - before), lengths[at:to], place)
+        while at < len(ends):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK_BYTES, "right")))
+            yield _chunk(batch.column("id").slice(at, to - at), texts.slice(at, to - at), place)
             place, at = place + 1, to
 
 
@@ -190,7 +192,13 @@ def _bigrams(buckets: int, hot: int) -> Callable:
         size, texts = np.uint64(len(number)), np.uint64(len(lengths))
         if int(size) ** 2 * int(texts) >= 1 << 64:
             raise ValueError("a chunk is too large")
-        key = np.sort((before.astype(np.uint64) * size + tokens) * texts + text)
+        key = before.astype(np.uint64)
+        key *= size
+        key += tokens
+        key *= texts
+        key += text
+        key.sort()
+        del before, text
         pair, text = key // texts, key % texts
         each = _runs(key)  # a bigram in a text
         times = np.diff(each, append=len(key)).astype(np.uint32)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, ngram_lm, packing, quality_classifier, quality_rules, secrets, sharding, simhash, url_filter
+from . import chroma, mixing, ngram_lm, packing, quality_classifier, quality_rules, secrets, sharding, simhash, url_filter
 
 #: Rules of the url query: (verdict, host/path).
 URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
@@ -41,6 +41,11 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op6_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes are an 8-bit recording; every row whose id is divisible by 20 is searched for among all."""
+    return chroma.search(table(spark, sf_dir, "documents"), F.col("id") % 20 == 0, "doc_id", "text")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -57,5 +62,14 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rule_table(spark, URL_RULES))
 
 
-_ALL = (op1_quality_rules, op2_packing, op3_quality_classifier, op4_mixing, op5_sharding, op7_simhash, op8_secrets, op9_katz_lm, op10_url_filter)
+_ALL = (op1_quality_rules, op2_packing, op3_quality_classifier, op4_mixing, op5_sharding, op6_chroma, op7_simhash, op8_secrets, op9_katz_lm, op10_url_filter)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from graphloom.llm import components, golay, kk, mixing, near_dedup, ngram_lm, packing, quality_classifier, quality_rules, secrets, sharding, simhash, url_filter
+from graphloom.llm import chroma, components, golay, kk, mixing, near_dedup, ngram_lm, packing, quality_classifier, quality_rules, secrets, sharding, simhash, url_filter
 
 WS = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, n int, row string, key string, `class` string, size string, site string"
@@ -431,3 +431,66 @@ def test_url_filter(spark):
     same(map(tuple, url_filter.judge(pages, table).collect()), expected)
     assert url_filter.judge(pages.limit(0), table).count() == 0
     assert {r.verdict for r in url_filter.judge(pages, table.limit(0)).collect()} == {"allow"}
+
+
+# -- chroma fingerprints
+
+
+def _tune(seed, seconds=3, rate=4000):
+    rng = np.random.default_rng(seed)
+    t = np.arange(rate // 5) / rate
+    notes = [np.sin(2 * np.pi * 220 * 2 ** (k / 12) * t) for k in rng.integers(0, 24, 5 * seconds)]
+    return (np.concatenate(notes) * 100 + 128).astype(np.uint8).tobytes()
+
+
+def test_chroma_aligns_shifted_and_noisy_recordings():
+    a = _tune(1)
+    rng = np.random.default_rng(0)
+    noisy = np.clip(np.frombuffer(a, np.uint8).astype(int) + rng.integers(-3, 4, len(a)), 0, 255).astype(np.uint8).tobytes()
+    x, y = chroma.fingerprint(a), chroma.fingerprint(noisy[10 * chroma.HOP :])
+    offset, overlap, errors = chroma.align(x, y)
+    assert offset == 10 and overlap == len(y) and errors < 0.1
+    other = chroma.align(x, chroma.fingerprint(_tune(2)))
+    assert other is None or other[2] > chroma.ERRORS
+    assert chroma.align(x[:0], y) is None and len(chroma.fingerprint(b"short")) == 0
+
+
+def test_chroma_reads_wave():
+    import io
+    import wave
+
+    raw = (np.sin(np.arange(6000) / 5) * 20000).astype("<i2")
+    with wave.open(out := io.BytesIO(), "wb") as w:
+        w.setnchannels(2)
+        w.setsampwidth(2)
+        w.setframerate(4000)
+        w.writeframes(np.stack([raw, raw], axis=1).tobytes())
+    assert np.allclose(chroma.samples(out.getvalue()), raw / 32768, atol=1e-4)
+
+
+def test_chroma_search(spark):
+    from pyspark.sql import functions as F
+
+    tunes = {i: _tune(i) for i in range(6)}
+    rows = [(i, bytearray(t)) for i, t in tunes.items()] + [(20, bytearray(tunes[3][640:])), (40, bytearray(tunes[4])), (60, None), (80, bytearray(b"")), (40, bytearray(tunes[4])), (None, bytearray(tunes[1]))]
+    out = chroma.search(spark.createDataFrame(rows, "id long, data binary"), F.col("id") % 20 == 0, "id", "data").collect()
+    got = {r.id: r for r in out}
+    assert len(out) == 6 and got[20].match_id == 3 and got[20].match_offset == 5 and got[20].match_errors == 0
+    assert got[40].class_id == 4 and got[60].n_prints == 0 and got[80].n_classes == 0
+    assert chroma.search(spark.createDataFrame([], "id long, data binary"), F.col("id") % 20 == 0, "id", "data").count() == 0
+
+
+# -- the pipeline
+
+
+def test_pipeline(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    source = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = source
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, sf)
+        assert kept.columns == source.columns and kept.dtypes == source.dtypes
+    assert 0 < kept.count()
+    assert corpus_pipeline.run(spark, sf).where("length > 0").count() > 0
