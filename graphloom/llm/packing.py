@@ -11,7 +11,10 @@ are not read; an empty table gives no rows.  Sequence ids are unique, made of th
 
 from __future__ import annotations
 
+import os
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,35 +26,66 @@ from pyspark.sql import functions as F
 from . import kk
 
 #: Words whose ids are kept by a worker; when full, the cache starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 #: Bytes of text to encode at once; bounds memory for long texts.
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 4_000_000
+
+#: ASCII other than letters, digits and white space.
+_MARKS = bytes(b for b in range(128) if not chr(b).isalnum() and b not in b" \t\n\r\x0b\x0c")
 
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def _byte_letters() -> list[str]:
+    """The letter that byte-level vocabularies write for each byte: itself where printable, else the next one from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
+
+
 class WordIds:
     """Little-endian ids of a text by words.
 
     The vocabulary's normaliser and pre-tokeniser never look across the white space of `bytes.split`, so a text's ids
-    are its words' ids in order.  Only new words are encoded, a chunk's at a time.
+    are its words' ids in order, and only words that are new to the worker are encoded.  Two shortcuts give the same ids
+    for less: the normaliser lower-cases and the pre-tokeniser parts letters from marks, so A-Z are lowered and marks that end
+    a word are looked up by themselves; and a word of letters only is one pre-token, which goes straight to the
+    model.  A text that may hold a special token is encoded as it is, for those are told by case.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # executors run a task per core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.letters = Tokenizer.from_file(path), {}, _byte_letters()
+        self.model = self.tokenizer.model
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode()
+        if text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text):
+            if not text.isascii():
+                text = "".join(map(self.letters.__getitem__, word))
+            return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _learn(self, words: set[bytes]) -> None:
+        known = self.known
+        for w in words:
+            if w not in known:
+                stem = w.rstrip(_MARKS)
+                if stem and len(stem) < len(w) and stem[-1] < 128 and b"<|" not in w:
+                    for part in (stem, w[len(stem) :]):
+                        if part not in known:
+                            known[part] = self._word(part)
+                    known[w] = known[stem] + known[w[len(stem) :]]
+                else:
+                    known[w] = self._word(w)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        new = [w for w in set().union(*split) if w not in self.known]
-        if len(self.known) + len(new) > CACHE_WORDS:
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        if len(self.known) > CACHE_WORDS:
             self.known = {}
-            new = list(set().union(*split))
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+        self._learn(set().union(*split))
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
