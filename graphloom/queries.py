@@ -383,7 +383,7 @@ def a15_size_tier(t):
     return graph.connections(t.edges, t.objects.select("id", F.col("type").alias("label"))).withColumn("ratio", F.round("ratio", 6))
 
 
-@query("SELECT obj_id, count(*) AS access_count, epoch(max(ts))::BIGINT AS last_s FROM access_log GROUP BY obj_id")
+@query("SELECT obj_id, count(*) AS access_count, floor(epoch(max(ts)))::BIGINT AS last_s FROM access_log GROUP BY obj_id")
 def a16_access_stats(t):
     return learn.access_stats(t.access_log).select("obj_id", "access_count", secs("last_access").alias("last_s"))
 
@@ -825,7 +825,7 @@ def m4_capture(t):
     return out.select("id", "type", (F.length("content") > 0).alias("has_text"))
 
 
-@query("SELECT id FROM objects WHERE title = '' OR octet_length(content::BLOB) > 10485760")
+@query("SELECT id FROM objects WHERE title = '' OR strlen(content) > 10485760")
 def m1_rejects(t):
     return store.rejected(t.objects).select("id")
 

@@ -25,7 +25,7 @@ def read_v1(spark: SparkSession, url: str, table: str = "documents", **options:
 def vault_files(objects: DataFrame, edges: DataFrame, mentions: DataFrame, entities: DataFrame) -> DataFrame:
     """(path, text) of an exported vault: a file per object and a hub per project."""
     files = present.markdown(objects, edges, mentions, entities).join(present.file_paths(objects), "id").select("path", F.col("markdown").alias("text"))
-    return files.unionByName(present.hubs(objects).select(F.concat(F.lit("_hubs/"), "project", F.lit(".md")).alias("path"), F.col("hub").alias("text")))
+    return files.unionByName(present.hubs(objects).select(F.concat(F.lit("hubs/"), "project", F.lit(".md")).alias("path"), F.col("hub").alias("text")))
 
 
 def write_vault(files: DataFrame, folder: str) -> None:
