@@ -209,3 +209,37 @@ def test_entry_and_registry(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() == 20 and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_ontology_reader(spark, tmp_path):
+    from graphloom.sources import ontology
+
+    text = '@prefix o: <http://x/> .\n# comment\no:Fix a owl:Class ; rdfs:label "Fix"@en , "Repair" .\no:led owl:inverseOf o:caused .\n'
+    (tmp_path / "o.ttl").write_text(text)
+    assert ontology.parse_turtle(text) == {("o:Fix", "rdf:type", "owl:Class"), ("o:Fix", "rdfs:label", '"Fix"@en'), ("o:Fix", "rdfs:label", '"Repair"'), ("o:led", "owl:inverseOf", "o:caused")}
+    triples, n = ontology.load(spark, f"file://{tmp_path}/o.ttl")
+    assert n == 4 and ontology.load(spark, f"file://{tmp_path}/o.ttl", triples)[1] == 0
+
+
+def test_tool_functions(spark):
+    from graphloom.api import Engine
+
+    now = F.lit("2024-01-10").cast("timestamp")
+    o = objects(spark, a="alpha python", b="beta").withColumn("tags", F.lit("Python, x")).withColumn("updated_at", F.col("created_at"))
+    base = Engine(o, edges(spark, ("a", "supports", "b"), ("b", "causedBy", "a")), spark.createDataFrame([("e", "Py", "technology")], model.ENTITIES), spark.createDataFrame([("a", "e")], model.MENTIONS)).with_vectors()
+    assert base.search("alpha", now).first().id == "a" and base.context("alpha", now).columns[-1] == "summary"
+    assert base.read("a").first().entities == ["Py"] and base.dossier("py")["objects"].count() == 1
+    assert base.delete(spark.createDataFrame([("a",)], "id string")).status().first().relationships == 0
+    more, status = base.pipeline()
+    assert status["pipeline"] == "complete" and more.edges.where("rel_type = 'ledTo'").count() == 1 and {r.name for r in more.list_entities().collect()} == {"Py", "python", "x"}
+    captured = base.capture(spark.createDataFrame([("n1", "New", "it broke")], "id string, title string, s string"), "fix", {"symptom": F.col("s")}, now)
+    assert captured.objects.where("id = 'n1'").first().content == "## Symptom\nit broke"
+    assert base.graph("b")["causal_chain"].count() == 2 and base.graph_entity("PY").count() == 2 and base.list("fix").count() == 2
+    logged = base.log("alpha", ["a"], now)
+    assert logged.query_trail().count() == 1 and logged.query_trail(-1).count() == 0
+    up = base.update(spark.createDataFrame([("a", "T2")], "id string, title string"), now)
+    assert up.history.first().title == "alpha python" and up.objects.where("id = 'a'").first().title == "T2"
+    assert base.graph_data()["edges"].count() == 2 and base.export("a").count() == 1 and base.reason(now).count() >= 0 and base.synthesize(now)["themes"].count() == 1
+    seen = base.feedback(spark.createDataFrame([("a", True), ("b", False)], "obj_id string, relevant boolean").withColumn("ts", now))
+    assert seen.access_log.count() == 1 and seen.adjust_tiers(now).count() == 2
+    assert base.classify(spark.createDataFrame([("a", "nonsense")], "id string, type string"), now).objects.where("id = 'a'").first().type == "idea"
