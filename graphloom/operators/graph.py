@@ -12,7 +12,8 @@ from graphloom.operators.store import adjacency, canonical_pairs
 from graphloom.session import shared_dir
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
+    """df checkpointed in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
@@ -23,15 +24,15 @@ def reach(edges: DataFrame, start: DataFrame, max_depth: int | None = None) -> D
     Only nodes that are new go on to the next level, so cycles end; the visited set is checkpointed at each level.
     """
     pairs = edges.select("src", "dst").distinct()
-    visited = _cut(start.select(F.col("id").alias("origin"), "id").distinct().withColumn("hop", F.lit(0)))
+    visited = cut(start.select(F.col("id").alias("origin"), "id").distinct().withColumn("hop", F.lit(0)))
     front, hop = visited, 0
     while max_depth is None or hop < max_depth:
         hop += 1
         new = front.join(pairs, front.id == pairs.src).select("origin", F.col("dst").alias("id")).distinct().join(visited, ["origin", "id"], "left_anti")
-        front = _cut(new.withColumn("hop", F.lit(hop)))
+        front = cut(new.withColumn("hop", F.lit(hop)))
         if front.isEmpty():
             break
-        visited = _cut(visited.unionByName(front))
+        visited = cut(visited.unionByName(front))
     return visited
 
 
@@ -120,7 +121,7 @@ def infer(edges: DataFrame, rules: Iterable[Rule] = RULES, max_iterations: int =
     (semi-naive): its delta is what was added since its own last turn.
     """
     key = ["src", "rel_type", "dst"]
-    facts = _cut(edges.select(*key).where("src <> dst").distinct())
+    facts = cut(edges.select(*key).where("src <> dst").distinct())
     rules, rounds = list(rules), []
     pending = {r.name: facts for r in rules}
     made: DataFrame | None = None
@@ -128,11 +129,11 @@ def infer(edges: DataFrame, rules: Iterable[Rule] = RULES, max_iterations: int =
         counts = {}
         for r in rules:
             delta = pending[r.name]
-            new = _cut(r.derive(facts, delta).join(facts, key, "left_anti"))
+            new = cut(r.derive(facts, delta).join(facts, key, "left_anti"))
             counts[r.name] = new.count()
             pending[r.name] = new.limit(0)
             if counts[r.name]:
-                facts = _cut(facts.unionByName(new))
+                facts = cut(facts.unionByName(new))
                 tagged = new.withColumn("inferred_by", F.lit(r.name))
                 made = tagged if made is None else made.unionByName(tagged)
                 for other in rules:

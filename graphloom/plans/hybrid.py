@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import scoring as S
 from graphloom.functions import text as X
 from graphloom.model import WEIGHTS
+from graphloom.operators import graph
 from graphloom.operators.store import degree, equals
 
 OVERFETCH = 3
@@ -48,7 +49,7 @@ def search(
         sem = semantic_search(own, query_vector, n)
     else:
         sem = kw.select("id", F.lit(0.0).alias("sem"), F.lit(0).alias("sem_rank")).limit(0)
-    merged = kw.join(sem, "id", "full_outer")
+    merged = graph.cut(kw.join(sem, "id", "full_outer"))  # a few rows, used three times
     found = F.broadcast(merged).join(equals(objects, type=kind, project=project).drop("content"), "id")
     if entity:
         known = entities.where(F.lower("name") == entity.lower()).select(F.col("id").alias("entity_id"))
