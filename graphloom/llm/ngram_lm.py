@@ -42,7 +42,7 @@ SEED = 42
 #: Counts up to this one are discounted.
 CUT = 5
 #: Bytes of text to a chunk (a longer text is one of its own); vocabulary entries to a hash range and bigrams to a bucket, about.
-CHUNK_BYTES, RANGE_WORDS, BUCKET_BIGRAMS = 12_000_000, 1_000_000, 2_000_000
+CHUNK_BYTES, RANGE_WORDS, BUCKET_BIGRAMS = 8_000_000, 700_000, 1_500_000
 #: The end token's name; no word holds a line end.
 _END = xxhash.xxh64_intdigest(b"\n", SEED)
 
@@ -103,13 +103,14 @@ def _chunk(ids: pa.Array, texts: pa.Array, place: int) -> Chunk:
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
     place = TaskContext.get().partitionId() << 24
     for batch in batches:
-        texts = pc.fill_null(batch.column("text"), "").cast(pa.large_string())
-        ends = np.cumsum(pc.binary_length(texts).to_numpy())
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < len(ends):
             to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK_BYTES, "right")))
-            yield _chunk(batch.column("id").slice(at, to - at), texts.slice(at, to - at), place)
+            texts = pc.fill_null(batch.column("text").slice(at, to - at), "").cast(pa.large_string())
+            yield _chunk(batch.column("id").slice(at, to - at), texts, place)
             place, at = place + 1, to
+            pa.default_memory_pool().release_unused()
 
 
 def _count_words(ranges: int):
@@ -199,10 +200,11 @@ def _bigrams(buckets: int, hot: int) -> Callable:
         key += text
         key.sort()
         del before, text
-        pair, text = key // texts, key % texts
         each = _runs(key)  # a bigram in a text
         times = np.diff(each, append=len(key)).astype(np.uint32)
-        pair, text = pair[each], text[each].astype(np.uint32)
+        key = key[each]
+        pair, text = key // texts, (key % texts).astype(np.uint32)
+        del key
         own = _runs(pair)
         n_texts = np.diff(own, append=len(pair)).astype(np.uint32)
         count = np.add.reduceat(np.where(held[text], 0, times).astype(np.uint64), own) if len(own) else np.zeros(0, np.uint64)

@@ -67,7 +67,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang", "doc_id"), max_owners: int = 1, max_repos: int = 3) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang", "doc_id"), max_owners: int = 2, max_repos: int = 8) -> DataFrame:
     """One row per document: id, n_assign, n_access, n_hex, base_sha256, and findings, an array of (kind, start, end, live) by start and kind.
 
     live: at most max_owners owners and max_repos repositories carry the value.  Candidates that are not live are left out.
