@@ -83,6 +83,11 @@ def small_rows(df: DataFrame, bound: int = BROADCAST_ROWS) -> bool:
     return df.limit(bound + 1).count() <= bound
 
 
+def sent(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
+    """A materialized df marked for broadcast where it has at most `bound` rows; a larger one is left to a shuffle join."""
+    return F.broadcast(df) if small_rows(df, bound) else df
+
+
 def lookup_join(left: DataFrame, right: DataFrame, on: str, weight: str) -> DataFrame:
     """Left join of many rows to a materialized table with one row per key; `weight` (dropped) is the number of left rows of the key.
 

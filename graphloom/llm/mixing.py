@@ -46,20 +46,24 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), sha
     return ranked.select("source", "source_size", "n", F.least("limit", F.lit(level) * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", **targets) -> DataFrame:
-    """One row per document: id, size (words), source_size, target, taken (words, repeats counted).
+def _name(source: Column) -> Column:
+    """A key for every source; null has its own."""
+    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
 
-    A source's taken words sum to its target, rounded down.  The order is by MD5 of seed and id, then size, so reruns agree.
-    """
+
+def _key(id_: Column, seed: str) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_.cast("string"), F.lit(""))))
+
+
+def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str, **targets) -> DataFrame:
+    """One row per document: id, source, name, size, source_size, target, key, epochs, extra (words beyond whole epochs)."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
     # Equal rows become one with a multiplicity, before anything is dealt out by key.
     rows = materialize(rows.groupBy("id", "source", "size").agg(F.count("*").alias("copies")), "mix-rows")
     sizes = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"), F.count("*").alias("n"))
     known = materialize(source_targets(sizes, **targets), "mix-targets")
-    name: Column = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))  # null has a key of its own
-    known = known.withColumn("name", name).drop("source")
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit(""))))
-    told = lookup_join(rows.withColumn("name", name), known.withColumn("weigh", F.col("n")), "name", "weigh").withColumn("key", key)
+    known = known.withColumn("name", _name(F.col("source"))).drop("source")
+    told = lookup_join(rows.withColumn("name", _name(F.col("source"))), known.withColumn("weigh", F.col("n")), "name", "weigh").withColumn("key", _key(F.col("id"), seed))
     buckets = F.ceil(F.col("n") / BUCKET_ROWS)
     unit = F.conv(F.substring("key", 1, 12), 16, 10).cast("double") / F.lit(float(16**12))
     told = told.withColumn("bucket", F.least(F.floor(unit * buckets), buckets - 1))
@@ -77,15 +81,29 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     start = F.col("offset") + F.col("inside") + F.col("copy") * F.col("size")
     each = placed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
     extra = F.greatest(F.lit(0), F.least(F.col("size"), rest - start))
-    return each.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", (epochs * F.col("size") + extra).cast("long").alias("taken"))
+    return each.select("id", "source", "name", "size", "source_size", "target", "key", epochs.cast("long").alias("epochs"), extra.cast("long").alias("extra"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", **targets) -> DataFrame:
+    """One row per document: id, size (words), source_size, target, taken (words, repeats counted).
+
+    A source's taken words sum to its target, rounded down.  The order is by MD5 of seed and id, then size, so reruns agree.
+    """
+    placed = _placed(docs, id_col, text_col, source_col, seed, **targets)
+    return placed.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("extra")).alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs with each row as often as the mix takes it whole, its partly taken document rounded to the nearer whole number.
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", **targets) -> DataFrame:
+    """docs with each row as often as the mix takes it whole, the partly taken document rounded to the nearer whole number.
 
-    Rows with a null id follow their source's mix only as a group: they are taken as often as the first of them in order.
+    The cut of a source is one place in its order, so a document is told by its own key: texts are not shuffled, and one row
+    per source goes to them.  Equal rows at the cut are taken alike.
     """
-    taken = mix(docs, id_col=id_col, **options).select(F.col(id_col).alias("__id"), F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int").alias("__times"))
-    taken = taken.groupBy("__id").agg(F.max("__times").alias("__times")).where(F.col("__times") > 0)
-    joined = docs.join(taken, docs[id_col].eqNullSafe(F.col("__id")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    order = F.struct("key", "id", "size")
+    whole = (F.col("size") > 0) & (2 * F.col("extra") >= F.col("size"))
+    cuts = _placed(docs, id_col, text_col, source_col, seed, **targets).groupBy("name").agg(F.max("epochs").alias("epochs"), F.max(F.when(whole, order)).alias("cut"), F.count("*").alias("weigh"))
+    cuts = materialize(cuts, "mix-cuts")
+    keyed = docs.withColumn("name__mix", _name(F.col(source_col))).withColumn("order__mix", F.struct(_key(F.col(id_col), seed).alias("key"), F.col(id_col).alias("id"), n_words(F.col(text_col)).alias("size")))
+    told = lookup_join(keyed.withColumnRenamed("name__mix", "__name"), cuts.select(F.col("name").alias("__name"), F.col("epochs").alias("__epochs"), F.col("cut").alias("__cut"), "weigh"), "__name", "weigh")
+    times = F.when(F.col("order__mix.size") > 0, F.col("__epochs") + F.coalesce(F.col("order__mix") <= F.col("__cut"), F.lit(False)).cast("long")).otherwise(0).cast("int")
+    return told.withColumn("__times", times).where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup_join, materialize
+from .common import lookup_join, materialize, sent
 
 KINDS = ("assign", "access", "hex", "token")
 _ASSIGN = re.compile(r"""(?:[pP][aA][sS][sS][wW](?:[oO][rR])?[dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -111,7 +111,7 @@ def redact(docs: DataFrame, mark: str = "[secret]", text_col: str = "text", n_ch
     keyed = docs.withColumn("__key", F.sha2(F.concat(F.coalesce(F.col(id_col).cast("string"), none), none, F.coalesce(F.col(text_col), none)), 256))
     found = scan(keyed, id_col="__key", text_col=text_col, **options)
     live = found.select("__key", F.filter("findings", lambda f: f["live"]).alias("__live")).where(F.size("__live") > 0).dropDuplicates(["__key"])
-    joined = keyed.join(materialize(live, "secrets-live"), "__key", "left")
+    joined = keyed.join(sent(materialize(live, "secrets-live"), 20_000), "__key", "left")  # a key and a few spans to a row
     # Walk the sorted spans once: (text so far, end of the last span).
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     t = F.col(text_col)
