@@ -107,7 +107,8 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
         at = 0
         while at < len(ends):
             to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK_BYTES, "right")))
-            texts = pc.fill_null(batch.column("text").slice(at, to - at), "").cast(pa.large_string())
+            texts = pa.concat_arrays([batch.column("text").slice(at, to - at)])  # a cast misreads the offsets of a slice
+            texts = pc.fill_null(texts, "").cast(pa.large_string())
             yield _chunk(batch.column("id").slice(at, to - at), texts, place)
             place, at = place + 1, to
             pa.default_memory_pool().release_unused()

@@ -406,6 +406,7 @@ def test_katz_hot_contexts(docs, monkeypatch):
     one = {tuple(r)[:4]: r.score for r in ngram_lm.score(docs).collect()}
     monkeypatch.setattr(ngram_lm, "BUCKET_BIGRAMS", 500)
     monkeypatch.setattr(ngram_lm, "RANGE_WORDS", 50)
+    monkeypatch.setattr(ngram_lm, "CHUNK_BYTES", 700)
     many = {tuple(r)[:4]: r.score for r in ngram_lm.score(docs).collect()}
     assert many.keys() == one.keys() and all(many[k] == pytest.approx(one[k]) for k in one)
 
