@@ -406,11 +406,27 @@ def test_katz_hot_contexts(docs, monkeypatch):
     one = {tuple(r)[:4]: r.score for r in ngram_lm.score(docs).collect()}
     monkeypatch.setattr(ngram_lm, "BUCKET_BIGRAMS", 500)
     monkeypatch.setattr(ngram_lm, "RANGE_WORDS", 50)
-    monkeypatch.setattr(ngram_lm, "CHUNK_BYTES", 700)
     many = {tuple(r)[:4]: r.score for r in ngram_lm.score(docs).collect()}
     assert many.keys() == one.keys() and all(many[k] == pytest.approx(one[k]) for k in one)
 
 
+def test_chunks_hold_every_word_of_a_cut_batch(monkeypatch):
+    import pyarrow as pa
+
+    class Context:
+        get = staticmethod(lambda: type("Task", (), {"partitionId": lambda self: 3})())
+
+    monkeypatch.setattr(ngram_lm, "TaskContext", Context)
+    monkeypatch.setattr(ngram_lm, "CHUNK_BYTES", 60)
+    texts = ["é" * (i % 7) + f" Ärger x{i}\tY\x1c " * (i % 5) if i % 6 else None for i in range(50)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array(texts)], ["id", "text"])
+    chunks = list(ngram_lm._chunks(iter([batch, batch])))
+    words = [w for c in chunks for w in c.vocabulary[c.tokens].tolist()]
+    expected = [h for t in texts for h in [*(xxhash.xxh64_intdigest(w, 42) for w in (t or "").encode().lower().split()), ngram_lm._END]]
+    assert words == expected * 2 and len(chunks) > 10 and len({c.name for c in chunks}) == len(chunks)
+    assert [i for c in chunks for i in c.ids.to_pylist()] == [*range(50)] * 2
+
+
 # -- url filters
 
 
