@@ -239,7 +239,7 @@ def test_tool_functions(spark):
     assert logged.query_trail().count() == 1 and logged.query_trail(-1).count() == 0
     up = base.update(spark.createDataFrame([("a", "T2")], "id string, title string"), now)
     assert up.history.first().title == "alpha python" and up.objects.where("id = 'a'").first().title == "T2"
-    assert base.graph_data()["edges"].count() == 2 and base.export("a").count() == 1 and base.reason(now).count() >= 0 and base.synthesize(now)["themes"].count() == 1
+    assert base.graph_data()["edges"].count() == 2 and base.export("a").count() == 1 and base.reason(now).count() >= 0 and base.synthesize(now, 30)["themes"].count() == 1
     seen = base.feedback(spark.createDataFrame([("a", True), ("b", False)], "obj_id string, relevant boolean").withColumn("ts", now))
     assert seen.access_log.count() == 1 and seen.adjust_tiers(now).count() == 2
     assert base.classify(spark.createDataFrame([("a", "nonsense")], "id string, type string"), now).objects.where("id = 'a'").first().type == "idea"
