@@ -1,11 +1,11 @@
-"""Near-duplicate removal: texts whose five-word shingles are alike by 0.8 or more, found by SimHash and Golay keys.
+"""Near-duplicate removal: texts whose five-word shingles are alike by 0.8 or more, every such pair found.
 
-At that likeness a fingerprint of shingles differs in about ten of 64 bits, too many for short keys; one of single words
-differs in far fewer.  Candidates therefore come from a 252-bit SimHash of the distinct words, twelve segments of
-21 bits: a key is one segment as it stands and the Golay index of the next one.  Segments with at most one error meet for
-certain, those with two mostly; over twelve segments 0.92 of pairs at likeness 0.8 meet, 0.995 at 0.9.  In a key's
-bucket, a nearest-neighbour tree under the 64-bit fingerprint of shingles leaves out what is far apart, and every
-link is verified on all shingles of both texts before components are formed.
+Candidates are exact: in one order of all shingles, two sets of n and m shingles that are alike by t share one among
+the first n - ceil(tn) + 1 of the one and m - ceil(tm) + 1 of the other.  Shingles that a sample finds common come last in that
+order; any order loses no pair, this one keeps keys small.  Of a key, first every text is tried against the one text that
+has the key earliest, which joins large groups of copies by as many tries as texts.  Then all pairs of a key that are
+still in different components are compared, in cells where the key is a hot one.  A pair must share enough early shingles
+to reach t at all, and every link is verified on all shingles of both texts before components are formed.
 
 Defined results: texts with equal words (A-Z in lower case, white space aside) are one class from the start, empty and null
 texts too; the document with the smallest id of a component stays; of repeated rows with one id one stays; rows with
@@ -14,97 +14,96 @@ a null id are compared among themselves only, as whole texts; extra columns pass
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import golay
 from .common import lookup_join, materialize, sent
 from .components import components
-from .simhash import SEED, bucket_edges, fold, nearest_tree, shingle_hashes
-
-LANES, SEGMENT = 4, 21
-#: Bits in which the shingle fingerprints of candidates may differ; unrelated texts differ in 32, give or take 4.
-FAR = 20
-#: Rows of a key compared at once, and rows that go on to the next block of a larger key.
-BUCKET, CARRY = 256, 32
-_LANE_KEYS = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) & (1 << 64) - 1 for i in range(LANES)], np.uint64)
-
-
-def _lanes(hashes: np.ndarray) -> list[np.ndarray]:
-    """Independent 64-bit hashes out of one: a multiply-and-shift mix with a key per lane."""
-    out = []
-    for key in _LANE_KEYS:
-        x = hashes ^ key
-        for m in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
-            x = (x ^ (x >> np.uint64(29))) * np.uint64(m)
-        out.append(x ^ (x >> np.uint64(32)))
-    return out
+from .simhash import SEED, shingle_hashes
+
+#: Documents, about, whose shingles are counted for the order, and how many of the most common ones the order knows.
+SAMPLE, COMMON = 4_000, 500_000
+#: Texts of a key in one cell.
+CELL = 1_000
+
+
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()
+
+
+def _class(words: list[bytes]) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(b" ".join(words), SEED)).astype(np.int64))
+
 
+def _set(words: list[bytes], shingle: int) -> np.ndarray:
+    return np.unique(shingle_hashes(words, shingle)).view(np.int64)
 
-def _marks(shingle: int):
-    names = ["class", "near", *(f"f{i}" for i in range(LANES))]
+
+def early(n: int, similarity: float) -> int:
+    """Shingles of a set of n, the first in order, of which one is shared with every set alike by `similarity`."""
+    return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+
+
+def _order(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, ranks) of the shingles that stand in two or more documents of a sample: the commoner, the later."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h = xxhash.xxh64_intdigest
         for batch in batches:
-            rows = []
             for t in batch.column("text"):
-                words = (t.as_py() or "").encode().lower().split()
-                distinct = np.array([h(w, SEED) for w in set(words)], np.uint64)
-                cls = np.uint64(h(b" ".join(words), SEED)).astype(np.int64)
-                rows.append((int(cls), fold(shingle_hashes(words, shingle)), *(fold(x) for x in _lanes(distinct))))
-            cols = zip(*rows, strict=True) if rows else [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, pa.int64()) for c in cols)], ["id", *names])
+                yield pa.RecordBatch.from_arrays([pa.array(_set(_words(t.as_py()), shingle), pa.int64())], ["s"])
 
-    return run, ", ".join(f"{n} long" for n in names)
+    every = max(1, rows.count() // SAMPLE)
+    counted = rows.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("text").mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("n"))
+    found = counted.where("n > 1").orderBy(F.desc("n"), "s").limit(COMMON).toArrow()
+    s, n = found.column("s").to_numpy(), found.column("n").to_numpy()
+    at = np.argsort(s)
+    return s[at], n[at]
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        lanes = [batch.column(f"f{i}").to_numpy().view(np.uint64) for i in range(LANES)]
-        mask = np.uint64((1 << SEGMENT) - 1)
-        parts = [((x >> np.uint64(SEGMENT * k)) & mask).astype(np.int64) for x in lanes for k in range(3)]
-        cls, near = batch.column("class").to_numpy(), batch.column("near").to_numpy()
-        for i in range(len(parts)):
-            at, key = golay.keys(parts[(i + 1) % len(parts)], SEGMENT)
-            yield pa.RecordBatch.from_arrays([pa.array((i << 33) | (parts[i][at] << 12) | key), pa.array(cls[at]), pa.array(near[at])], ["key", "class", "near"])
-
-
-def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def tree(rows: np.ndarray):
-        if edges := nearest_tree(rows[:, 1].copy().view(np.uint64), FAR):
-            a, b = np.array(edges).T
-            yield rows[a, 0], rows[b, 0]
+def _marks(shingle: int, similarity: float, order):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, ranks = order.value
+        for batch in batches:
+            cls, sizes, firsts = [], [], []
+            for t in batch.column("text"):
+                words = _words(t.as_py())
+                own = _set(words, shingle)
+                rank = np.zeros(len(own), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    rank = np.where(known[at] == own, ranks[at], 0)
+                cls.append(_class(words))
+                sizes.append(len(own))
+                firsts.append(own[np.lexsort((own, rank))][: early(len(own), similarity)])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(cls, pa.int64()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], ["id", "class", "size", "firsts"])
 
-    for a, b in bucket_edges(batches, ("class", "near"), tree, BUCKET, CARRY):
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["u", "v"])
+    return run
 
 
 def _shingles(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes((t.as_py() or "").encode().lower().split(), shingle)).view(np.int64) for t in batch.column("text")]
+            sets = [_set(_words(t.as_py()), shingle) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(sets, pa.list_(pa.int64()))], ["class", "shingles"])
 
     return run
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id, keep) of every document with an id: keep is the smallest id of its component."""
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    run, made = _marks(shingle)
-    marked = materialize(rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, {made}"), "near-marks")
-    lanes = [f"f{i}" for i in range(LANES)]
-    classes = marked.groupBy("class").agg(F.min("id").alias("least"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("near", *lanes)))
-    classes = materialize(classes, "near-classes")
-    keyed = classes.select("class", "near", *lanes).mapInArrow(_keys, "key long, class long, near long")
-    found = keyed.repartition("key").sortWithinPartitions("key", "near").mapInArrow(_walk, "u long, v long")
-    pairs = materialize(found.distinct(), "near-pairs")
+def _enough(met: DataFrame, similarity: float) -> DataFrame:
+    """(u, v) of pairs (u, v, a, b: sizes), a row to each early shingle in common, that can be alike: all other common shingles lie behind the early ones of one side."""
+    rest = lambda n: F.ceil(similarity * F.col(n) - 1e-9) - 1
+    sums = met.groupBy("u", "v").agg(F.count("*").alias("c"), F.first("a").alias("a"), F.first("b").alias("b"))
+    return sums.where(F.col("c") + F.greatest(rest("a"), rest("b")) >= similarity / (1 + similarity) * (F.col("a") + F.col("b")) - 1e-6).select("u", "v")
+
+
+def _verified(rows: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of the written pairs (u, v) whose shingles are alike."""
     nodes = pairs.select(F.col("u").alias("class")).union(pairs.select("v")).distinct()
     wanted = classes.join(nodes, "class").select("class", F.col("least").alias("id"))
     # Repeated rows with one id may differ in text; those with more than one class are told apart by the class itself.
@@ -113,7 +112,46 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = materialize(texts.select("class", "text").mapInArrow(_shingles(shingle), "class long, shingles array<long>"), "near-shingles")
     both = pairs.join(sets.select(F.col("class").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("class").alias("v"), F.col("shingles").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))
-    alike = materialize(both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v"), "near-links")
+    return materialize(both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v"), "near-links")
+
+
+def _links(rows: DataFrame, marked: DataFrame, classes: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Verified links (u, v) of classes that connect all that are alike, by components."""
+    keyed = marked.dropDuplicates(["class"]).select("class", "size", F.posexplode("firsts").alias("place", "key"))
+    one = Window.partitionBy("key")
+    centre = F.min_by(F.struct("class", "size"), F.struct("place", "class")).over(one)
+    shared = materialize(keyed.select("key", "class", "size", centre.alias("centre"), F.count("*").over(one).alias("n")).where("n > 1"), "near-shared")
+    turned = F.col("class") > F.col("centre.class")
+    tries = shared.where(F.col("class") != F.col("centre.class")).select(
+        F.least("class", "centre.class").alias("u"), F.greatest("class", "centre.class").alias("v"),
+        F.when(turned, F.col("centre.size")).otherwise(F.col("size")).alias("a"), F.when(turned, F.col("size")).otherwise(F.col("centre.size")).alias("b"),
+    )
+    first = _verified(rows, classes, materialize(_enough(tries, similarity), "near-tries"), shingle, similarity)
+    roots = materialize(components(first).withColumnRenamed("node", "class"), "near-first")
+    rooted = shared.join(roots, "class", "left").select("key", "class", "size", "n", F.coalesce("root", "class").alias("root"))
+    cells = F.ceil(F.col("n") / CELL)
+    open_ = rooted.withColumn("several", F.min("root").over(one) != F.max("root").over(one)).where("several")
+    own = open_.withColumn("block", F.pmod(F.xxhash64("class"), cells)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), cells - 1)))
+    dealt = own.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "class", "size", "root", "block")
+    dealt = materialize(dealt, "near-cells")
+    x, y = dealt.alias("x"), dealt.alias("y")
+    long, short = F.greatest("x.size", "y.size"), F.least("x.size", "y.size")
+    meet = (
+        (F.col("x.key") == F.col("y.key")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.root") != F.col("y.root"))
+        & (F.least("x.block", "y.block") == F.col("x.i")) & (F.greatest("x.block", "y.block") == F.col("x.j")) & (short >= similarity * long - 1e-9)
+    )
+    met = x.join(y, meet).select(F.col("x.class").alias("u"), F.col("y.class").alias("v"), F.col("x.size").alias("a"), F.col("y.size").alias("b"))
+    rest = _verified(rows, classes, materialize(_enough(met, similarity), "near-pairs"), shingle, similarity)
+    return materialize(first.unionByName(rest), "near-all-links")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, keep) of every document with an id: keep is the smallest id of its component."""
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    order = rows.sparkSession.sparkContext.broadcast(_order(rows, shingle))
+    marked = materialize(rows.mapInArrow(_marks(shingle, similarity, order), f"id {rows.schema['id'].dataType.simpleString()}, class long, size int, firsts array<long>"), "near-marks")
+    classes = materialize(marked.groupBy("class").agg(F.min("id").alias("least"), F.count("*").alias("n")), "near-classes")
+    alike = _links(rows, marked, classes, shingle, similarity)
     roots = materialize(components(alike).withColumn("one", F.lit(1).cast("long")), "near-roots")
     rooted = lookup_join(classes.select("class", "least", "n"), roots.withColumnRenamed("node", "class"), "class", "one").withColumn("root", F.coalesce("root", "class"))
     linked = materialize(rooted.groupBy("root").agg(F.min("least").alias("keep"), F.count("*").alias("m")).where("m > 1"), "near-least")

@@ -332,6 +332,39 @@ def test_near_dedup(spark, docs, rows, empty):
     assert near_dedup.drop_near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize(("cell", "sample"), [(1000, 4000), (4, 20)])
+def test_near_groups_equal_brute_force_at_the_border(spark, monkeypatch, cell, sample):
+    monkeypatch.setattr(near_dedup, "CELL", cell, raising=False)
+    monkeypatch.setattr(near_dedup, "SAMPLE", sample, raising=False)
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    texts = []
+    for _ in range(10):  # variants of one text, their own words in one run at either end: likeness from 0.5 to 1
+        own = [word() for _ in range(150)]
+        for _ in range(14):
+            n, m = rng.randint(0, 14), rng.randint(0, 14)
+            texts.append([word() for _ in range(n)] + own[n : 150 - m] + [word() for _ in range(m)])
+    texts += [t[:k] for t in texts[:4] for k in (0, 3, 5, 9, 10)]
+    sets = [{" ".join(t[i : i + 5]) for i in range(max(1, len(t) - 4))} if t else set() for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    border = 0
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if texts[i] == texts[j] or len(a & b) >= 0.8 * len(a | b):
+                border += bool(a | b) and len(a & b) <= 0.85 * len(a | b)
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    assert border > 50
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted((r.id, r.keep) for r in near_dedup.near_groups(docs).collect()) == [(i, find(i)) for i in range(len(texts))]
+
+
 # -- secrets
 
 _KINDS = (("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 6), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 20), ("hex", re.compile("[0-9a-f]+"), 0, 24))
