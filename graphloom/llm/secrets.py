@@ -2,13 +2,12 @@
 
 Two kinds of finding.  The base kinds (assign, access, hex) are reported wherever they match.  The candidates (kind
 `token`: long runs that mix upper case, lower case and digits) are reported only where the corpus says that they are
-somebody's own: the hash of every value is counted over distinct repositories and owners, and a value that more
-than `max_owners` owners or `max_repos` repositories carry is a copied example, not a live credential.  Base findings
-get the same label but stay.
+somebody's own: the hash of every value is counted over distinct owners, and a value that more than `max_owners` owners
+and more than `owner_share` of the corpus's owners carry is a copied example, not a live credential.  In how many documents an
+owner repeats it does not matter.  Base findings get the same label but stay, and are always redacted.
 
-Defined results: a null text is empty and has no finding; repeated rows each carry their findings and count as one
-repository; a null owner or repository is one owner or repository of its own; columns other than those named are passed
-through `redact` and not read by `scan`.
+Defined results: a null text is empty and has no finding; repeated rows each carry their findings; a null owner is one owner
+of its own; columns other than those named are passed through `redact` and not read by `scan`.
 """
 
 from __future__ import annotations
@@ -48,7 +47,7 @@ def find(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(found)
 
 
-SCANNED = "row long, id {id}, owner string, repo string, n_assign long, n_access long, n_hex long, base_sha256 string, finds array<struct<kind:int,start:int,end:int,value_hash:binary>>"
+SCANNED = "row long, id {id}, owner string, n_assign long, n_access long, n_hex long, base_sha256 string, finds array<struct<kind:int,start:int,end:int,value_hash:binary>>"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,28 +61,27 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shas.append(hashlib.sha256(",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e, _ in found if k < 3).encode()).hexdigest())
             finds.append([{"kind": k, "start": s, "end": e, "value_hash": hashlib.sha256(v.encode()).digest()[:16]} for s, k, e, v in found])
         yield pa.RecordBatch.from_arrays(
-            [batch.column(c) for c in ("row", "id", "owner", "repo")] + [pa.array(c, pa.int64()) for c in counts] + [pa.array(shas, pa.string()), pa.array(finds, pa.list_(made))],
-            ["row", "id", "owner", "repo", "n_assign", "n_access", "n_hex", "base_sha256", "finds"],
+            [batch.column(c) for c in ("row", "id", "owner")] + [pa.array(c, pa.int64()) for c in counts] + [pa.array(shas, pa.string()), pa.array(finds, pa.list_(made))],
+            ["row", "id", "owner", "n_assign", "n_access", "n_hex", "base_sha256", "finds"],
         )
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang", "doc_id"), max_owners: int = 2, max_repos: int = 8) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", max_owners: int = 2, owner_share: float = 0.01) -> DataFrame:
     """One row per document: id, n_assign, n_access, n_hex, base_sha256, and findings, an array of (kind, start, end, live) by start and kind.
 
-    live: at most max_owners owners and max_repos repositories carry the value.  Candidates that are not live are left out.
+    live: at most max_owners owners, or at most owner_share of all owners, carry the value.  Candidates that are not live are left out.
     """
-    repo = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x1e")) for c in repo_cols])
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(owner_col).cast("string"), F.lit("\x1e")).alias("owner"),
-        F.sha2(repo, 256).alias("repo"), F.col(text_col).alias("text"),
+        F.col(text_col).alias("text"),
     )
     scanned = materialize(rows.mapInArrow(_scan, SCANNED.format(id=rows.schema["id"].dataType.simpleString())), "secrets-scanned")
-    each = scanned.select("row", "owner", "repo", F.explode("finds").alias("f")).select("row", "owner", "repo", "f.*")
-    # Distinct owners and repositories by two plain aggregations each, so that a value in a third of all rows is combined before any shuffle.
-    by_repo = each.groupBy("value_hash", "owner", "repo").agg(F.count("*").alias("n"))
-    by_owner = by_repo.groupBy("value_hash", "owner").agg(F.count("*").alias("repos"), F.sum("n").alias("n"))
-    owned = by_owner.groupBy("value_hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"), F.sum("n").alias("n"))
-    owned = materialize(owned.select("value_hash", ((F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)).alias("live"), "n"), "secrets-owned")
+    each = scanned.select("row", "owner", F.explode("finds").alias("f")).select("row", "owner", "f.*")
+    # Distinct owners by two plain aggregations, so that a value in a third of all rows is combined before any shuffle.
+    by_owner = each.groupBy("value_hash", "owner").agg(F.count("*").alias("n"))
+    owned = by_owner.groupBy("value_hash").agg(F.count("*").alias("owners"), F.sum("n").alias("n"))
+    most = max(max_owners, int(owner_share * scanned.select("owner").distinct().count()))
+    owned = materialize(owned.select("value_hash", (F.col("owners") <= most).alias("live"), "n"), "secrets-owned")
     told = lookup_join(each.select("row", "kind", "start", "end", "value_hash"), owned, "value_hash", "n")
     told = told.where((F.col("kind") < 3) | F.col("live"))
     per_row = told.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "live"))).alias("findings"))
@@ -101,17 +99,17 @@ def spans(findings: str = "findings") -> F.Column:
 
 
 def redact(docs: DataFrame, mark: str = "[secret]", text_col: str = "text", n_chars_col: str = "n_chars", **options) -> DataFrame:
-    """docs with every live finding's span replaced by `mark` (overlapping spans by one mark), and n_chars_col set to the new length.
+    """docs with every finding's span replaced, base findings always and candidates where live, by `mark` (overlapping spans by one mark), and n_chars_col set to the new length.
 
-    Documents without a live finding pass as they are; repeated rows are redacted alike; no document is lost.  Rows are
+    Documents without such a finding pass as they are; repeated rows are redacted alike; no document is lost.  Rows are
     told apart by id and text together, so null and repeated ids do no harm.
     """
     id_col = options.pop("id_col", "doc_id")
     none = F.lit("\x1e")
     keyed = docs.withColumn("__key", F.sha2(F.concat(F.coalesce(F.col(id_col).cast("string"), none), none, F.coalesce(F.col(text_col), none)), 256))
     found = scan(keyed, id_col="__key", text_col=text_col, **options)
-    live = found.select("__key", F.filter("findings", lambda f: f["live"]).alias("__live")).where(F.size("__live") > 0).dropDuplicates(["__key"])
-    joined = keyed.join(sent(materialize(live, "secrets-live"), 20_000), "__key", "left")  # a key and a few spans to a row
+    told = found.select("__key", F.col("findings").alias("__found")).where(F.size("__found") > 0).dropDuplicates(["__key"])
+    joined = keyed.join(sent(materialize(told, "secrets-found"), 20_000), "__key", "left")  # a key and a few spans to a row
     # Walk the sorted spans once: (text so far, end of the last span).
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     t = F.col(text_col)
@@ -120,7 +118,7 @@ def redact(docs: DataFrame, mark: str = "[secret]", text_col: str = "text", n_ch
         gap = F.when(f["start"] >= a["at"], F.concat(t.substr(a["at"] + 1, f["start"] - a["at"]), F.lit(mark))).otherwise(F.lit(""))
         return F.struct(F.concat(a["out"], gap).alias("out"), F.greatest(a["at"], f["end"]).alias("at"))
 
-    new = F.aggregate("__live", start, step, lambda a: F.concat(a["out"], t.substr(a["at"] + 1, F.length(t))))
-    out = joined.withColumn("__new", F.when(F.col("__live").isNotNull(), new).otherwise(t))
-    cols = [F.col("__new").alias(c) if c == text_col else F.when(F.col("__live").isNotNull(), F.length("__new")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == n_chars_col else F.col(c) for c in docs.columns]
+    new = F.aggregate("__found", start, step, lambda a: F.concat(a["out"], t.substr(a["at"] + 1, F.length(t))))
+    out = joined.withColumn("__new", F.when(F.col("__found").isNotNull(), new).otherwise(t))
+    cols = [F.col("__new").alias(c) if c == text_col else F.when(F.col("__found").isNotNull(), F.length("__new")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == n_chars_col else F.col(c) for c in docs.columns]
     return out.select(*cols)
