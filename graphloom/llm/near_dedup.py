@@ -8,7 +8,7 @@ still in different components are compared, in cells where the key is a hot one.
 to reach t at all, and every link is verified on all shingles of both texts before components are formed.
 
 Defined results: texts with equal words (A-Z in lower case, white space aside) are one class from the start, empty and null
-texts too; the document with the smallest id of a component stays; of repeated rows with one id one stays; rows with
+texts too; the document with the smallest id of a component stays; of repeated rows with one id and equal words one stays; rows with
 a null id are compared among themselves only, as whole texts; extra columns pass through.
 """
 
@@ -16,14 +16,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lookup_join, materialize, sent
+from .common import WS, lookup_join, materialize, sent
 from .components import components
 from .simhash import SEED, shingle_hashes
 
@@ -89,8 +90,9 @@ def _marks(shingle: int, similarity: float, order):
 def _shingles(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [_set(_words(t.as_py()), shingle) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(sets, pa.list_(pa.int64()))], ["class", "shingles"])
+            own = [(c, words) for c, t in zip(batch.column("class").to_pylist(), batch.column("text"), strict=True) if _class(words := _words(t.as_py())) == c]
+            sets = [_set(words, shingle) for _, words in own]
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in own], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["class", "shingles"])
 
     return run
 
@@ -106,10 +108,10 @@ def _verified(rows: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: in
     """Those of the written pairs (u, v) whose shingles are alike."""
     nodes = pairs.select(F.col("u").alias("class")).union(pairs.select("v")).distinct()
     wanted = classes.join(nodes, "class").select("class", F.col("least").alias("id"))
-    # Repeated rows with one id may differ in text; those with more than one class are told apart by the class itself.
+    # Rows with one id may differ in text: only those of the class itself count.
     wanted = materialize(wanted, "near-wanted")
-    texts = rows.join(sent(wanted), "id").dropDuplicates(["class"])
-    sets = materialize(texts.select("class", "text").mapInArrow(_shingles(shingle), "class long, shingles array<long>"), "near-shingles")
+    texts = rows.join(sent(wanted), "id").select("class", "text")
+    sets = materialize(texts.mapInArrow(_shingles(shingle), "class long, shingles array<long>").dropDuplicates(["class"]), "near-shingles")
     both = pairs.join(sets.select(F.col("class").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("class").alias("v"), F.col("shingles").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))
     return materialize(both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v"), "near-links")
@@ -147,6 +149,11 @@ def _links(rows: DataFrame, marked: DataFrame, classes: DataFrame, shingle: int,
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, keep) of every document with an id: keep is the smallest id of its component."""
+    return _groups(docs, id_col, text_col, shingle, similarity).select("id", F.col("keep.id").alias("keep"))
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, class, keep) of every document with an id: keep is the least (id, class) of its component."""
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     order = rows.sparkSession.sparkContext.broadcast(_order(rows, shingle))
     marked = materialize(rows.mapInArrow(_marks(shingle, similarity, order), f"id {rows.schema['id'].dataType.simpleString()}, class long, size int, firsts array<long>"), "near-marks")
@@ -154,18 +161,28 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     alike = _links(rows, marked, classes, shingle, similarity)
     roots = materialize(components(alike).withColumn("one", F.lit(1).cast("long")), "near-roots")
     rooted = lookup_join(classes.select("class", "least", "n"), roots.withColumnRenamed("node", "class"), "class", "one").withColumn("root", F.coalesce("root", "class"))
-    linked = materialize(rooted.groupBy("root").agg(F.min("least").alias("keep"), F.count("*").alias("m")).where("m > 1"), "near-least")
-    named = materialize(lookup_join(rooted, linked, "root", "m").select("class", F.coalesce("keep", "least").alias("keep"), "n"), "near-named")
-    return lookup_join(marked.select("id", "class"), named, "class", "n").select("id", "keep")
+    own = F.struct(F.col("least").alias("id"), "class")
+    linked = materialize(rooted.groupBy("root").agg(F.min(own).alias("keep"), F.count("*").alias("m")).where("m > 1"), "near-least")
+    named = materialize(lookup_join(rooted, linked, "root", "m").select("class", F.coalesce("keep", own).alias("keep"), "n"), "near-named")
+    return lookup_join(marked.select("id", "class"), named, "class", "n").select("id", "class", "keep")
+
+
+def _class_of(text: Column) -> Column:
+    """_class as an expression; Spark's hash is the same XXH64, with the same seed."""
+    low = F.translate(F.coalesce(text, F.lit("")), ascii_uppercase, ascii_lowercase)
+    return F.xxhash64(F.trim(F.regexp_replace(low, WS, " ")))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with one document of each group of near duplicates."""
-    gone = materialize(near_groups(docs, id_col, text_col, **options).where("id <> keep").select(F.col("id").alias(id_col)).distinct(), "near-gone")
-    out = docs.where(F.col(id_col).isNotNull()).join(sent(gone), id_col, "left_anti")  # fewer than those that stay: texts need no shuffle while they are few
-    ids = docs.select(id_col).where(F.col(id_col).isNotNull())
-    if ids.groupBy(id_col).count().where("count > 1").limit(1).count():
-        out = out.dropDuplicates([id_col])
+    groups = _groups(docs, id_col, text_col, **options)
+    gone = materialize(groups.where((F.col("id") != F.col("keep.id")) | (F.col("class") != F.col("keep.class"))).select(F.col("id").alias(id_col), F.col("class").alias("__class")).distinct(), "near-gone")
+    out = docs.where(F.col(id_col).isNotNull())
+    if out.groupBy(id_col).count().where("count > 1").limit(1).count():
+        both = [id_col, "__class"]
+        out = out.withColumn("__class", _class_of(F.col(text_col))).join(sent(gone), both, "left_anti").dropDuplicates(both).select(*docs.columns)
+    else:
+        out = out.join(sent(gone), id_col, "left_anti")  # fewer than those that stay: texts need no shuffle while they are few
     if docs.where(F.col(id_col).isNull()).limit(1).count():
         out = out.unionByName(docs.where(F.col(id_col).isNull()).dropDuplicates([text_col]))
     return out

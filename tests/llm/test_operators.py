@@ -365,6 +365,14 @@ def test_near_groups_equal_brute_force_at_the_border(spark, monkeypatch, cell, s
     assert sorted((r.id, r.keep) for r in near_dedup.near_groups(docs).collect()) == [(i, find(i)) for i in range(len(texts))]
 
 
+def test_near_dedup_tells_namesakes_apart(spark):
+    words = [f"w{i}" for i in range(60)]
+    near, clean = " ".join([*words[:59], "other"]), "Quite\t another  text\u00c9 of its own"
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, near), (2, clean), (2, clean.upper()), (3, near)], "doc_id long, text string")
+    out = sorted((r.doc_id, r.text.lower().split()[0]) for r in near_dedup.drop_near_duplicates(docs).collect())
+    assert out == [(1, "w0"), (2, "quite")]
+
+
 # -- secrets
 
 _KINDS = (("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 6), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 20), ("hex", re.compile("[0-9a-f]+"), 0, 24))
