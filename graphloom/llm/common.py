@@ -3,9 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
+import zlib
+from collections.abc import Callable, Iterator
+from functools import reduce
 
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +24,10 @@ WS_CHARS = " \t\n\x0b\x0c\r"
 BROADCAST_ROWS = 100_000
 #: Keys that hold more than 1/HOT_PARTS of the rows: there are fewer than HOT_PARTS of them, whatever the input's size.
 HOT_PARTS = 2_000
+#: Bits of the filter that is sent to the rows of a long table, 2048 rows of 4 KB, whatever the input's size.
+FILTER_BITS = 2048 * 32_768
+#: Files of which a sample takes its rows.
+SAMPLE_FILES = 4
 
 _dirs: list[tuple[SparkSession, str]] = []
 
@@ -79,13 +90,76 @@ def n_words(text: Column) -> Column:
 
 
 def small_rows(df: DataFrame, bound: int = BROADCAST_ROWS) -> bool:
-    """Whether df has at most `bound` rows (reads at most bound + 1)."""
+    """Whether a written df has at most `bound` rows (each of its partitions is read to bound + 1 rows at most)."""
     return df.limit(bound + 1).count() <= bound
 
 
-def sent(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """A materialized df marked for broadcast where it has at most `bound` rows; a larger one is left to a shuffle join."""
-    return F.broadcast(df) if small_rows(df, bound) else df
+def bits(listed: DataFrame, key: Column) -> DataFrame:
+    """(slot, bitmap): the keys of `listed` hashed into FILTER_BITS bits, at most 8 MB however many keys there are."""
+    at = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    return listed.select(F.floor(at / 32_768).cast("int").alias("__slot"), (at % 32_768).alias("__at")).groupBy("__slot").agg(F.bitmap_construct_agg("__at").alias("__bitmap"))
+
+
+def parted(docs: DataFrame, key: Column, listed: DataFrame, listed_key: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key is surely not among the listed, rows whose key may be): a filter of bounded size decides where the rows lie.
+
+    The second part holds all listed rows, and of the others as many as share a bit with a listed key, so an exact join of that
+    part alone gives whole results: at a few listed rows it moves only these, at very many it becomes the plain join.  A null key hashes like any value.
+    """
+    at = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    told = docs.withColumn("__slot", F.floor(at / 32_768).cast("int")).join(F.broadcast(bits(listed, listed_key)), "__slot", "left")
+    byte = F.conv(F.hex(F.substring(F.col("__bitmap"), F.floor((at % 32_768) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    maybe = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    return told.where(~maybe).select(*docs.columns), told.where(maybe).select(*docs.columns)
+
+
+def bitmap(listed: DataFrame, key: Column) -> bytes:
+    """The same filter over a column of longs that are hashes already, FILTER_BITS / 8 bytes, for `in_bitmap`."""
+    at = F.pmod(key, F.lit(FILTER_BITS))
+    rows = listed.select(F.floor(at / 32_768).cast("int").alias("slot"), (at % 32_768).alias("at")).groupBy("slot").agg(F.bitmap_construct_agg("at").alias("b")).collect()  # at most 2048 rows
+    out = bytearray(FILTER_BITS // 8)
+    for r in rows:
+        out[r.slot * 4096 : (r.slot + 1) * 4096] = r.b
+    return bytes(out)
+
+
+def in_bitmap(found: bytes, key: int) -> bool:
+    at = key % FILTER_BITS
+    return bool(found[at >> 3] >> (at & 7) & 1)
+
+
+def sample_rows(docs: DataFrame, columns: list[str], rows: int) -> DataFrame:
+    """About `rows` rows, not more, in equal parts of SAMPLE_FILES files chosen by hash of their names; the first ones where docs are not of files."""
+    names = sorted({f.rpartition("/")[2] for f in docs.inputFiles()}, key=lambda n: (zlib.crc32(n.encode()), n))[:SAMPLE_FILES]
+    first = docs.select(*columns).limit(rows)
+    if not names:
+        return first
+    try:
+        parts = [docs.where(F.col("_metadata.file_name") == n).select(*columns).limit(rows // len(names)) for n in names]
+    except AnalysisException:  # a plan that no longer shows its files
+        return first
+    return reduce(DataFrame.unionAll, parts)
+
+
+def tidy(run: Callable) -> Callable:
+    """A mapInArrow function that gives its memory back at the end of a task: workers are used again, by other stages too."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
+def release() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        return
 
 
 def lookup_join(left: DataFrame, right: DataFrame, on: str, weight: str) -> DataFrame:

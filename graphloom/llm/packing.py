@@ -3,7 +3,8 @@
 One pass over the documents, no shuffle.  A document's whole windows go as they are; the rest is cut into pieces of at most
 `max_piece` tokens, and the pieces of about `group` windows together are differenced into near-equal windows: partial
 partitions with opposing imbalances are merged until one is left, and while its fullest window exceeds the
-capacity, the number of windows rises by one.  Memory is bounded by one batch of texts and one group of pieces.
+capacity, the number of windows rises by one.  Memory is bounded by one batch of texts, one group of pieces and a word cache of
+CACHE_BYTES; at the end of a task the worker gives back what it took.
 
 Defined results: a null or empty text is the end token alone; repeated rows are packed each on their own; extra columns
 are not read; an empty table gives no rows.  Sequence ids are unique, made of the partition's number and a count within it.
@@ -24,11 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kk
+from .common import tidy
 
-#: Words whose ids are kept by a worker; when full, the cache starts anew.
-CACHE_WORDS = 600_000
+#: Bytes, about, of words and their ids that a worker keeps; when full, the cache starts anew.  ENTRY_BYTES is what an entry takes beside its words' own bytes.
+CACHE_BYTES, ENTRY_BYTES = 40_000_000, 200
 #: Bytes of text to encode at once; bounds memory for long texts.
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 1_000_000
 
 #: ASCII other than letters, digits and white space.
 _MARKS = bytes(b for b in range(128) if not chr(b).isalnum() and b not in b" \t\n\r\x0b\x0c")
@@ -58,7 +60,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known, self.letters = Tokenizer.from_file(path), {}, _byte_letters()
-        self.model = self.tokenizer.model
+        self.model, self.bytes = self.tokenizer.model, 0
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode()
@@ -72,6 +74,7 @@ class WordIds:
         known = self.known
         for w in words:
             if w not in known:
+                self.bytes += 2 * len(w) + ENTRY_BYTES
                 stem = w.rstrip(_MARKS)
                 if stem and len(stem) < len(w) and stem[-1] < 128 and b"<|" not in w:
                     for part in (stem, w[len(stem) :]):
@@ -83,8 +86,8 @@ class WordIds:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
+        if self.bytes > CACHE_BYTES:
+            self.known, self.bytes = {}, 0
         self._learn(set().union(*split))
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in split]
@@ -176,11 +179,13 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                 if size >= CHUNK_BYTES:
                     add(ids, texts)
                     ids, texts, size = [], [], 0
+                    if len(packer.done) > 20_000:
+                        yield packer.batch(id_type)
             add(ids, texts)
-            if len(packer.done) > 20_000:
+            if packer.done:
                 yield packer.batch(id_type)
         packer.flush()
         yield packer.batch(id_type)
 
-    out = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, {PIECES}")
+    out = rows.mapInArrow(tidy(run), f"id {rows.schema['id'].dataType.simpleString()}, {PIECES}")
     return out.withColumnRenamed("id", id_col)
