@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup_join, materialize, sent
+from .common import lookup_join, materialize, parted, tidy
 
 KINDS = ("assign", "access", "hex", "token")
 _ASSIGN = re.compile(r"""(?:[pP][aA][sS][sS][wW](?:[oO][rR])?[dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -42,8 +42,13 @@ def find(text: str) -> list[tuple[int, int, int, str]]:
     if "AKIA" in text:
         found += [(m.start(), 1, m.end(), m[0]) for m in _ACCESS.finditer(text) if len(m[0]) >= 20]
     found += [(m.start(), 2, m.end(), m[0]) for m in _HEX.finditer(text)]
-    base = [(s, e) for s, _, e, _ in found]
-    found += [(m.start(), 3, m.end(), m[0]) for m in _TOKEN.finditer(text) if _mixed(m[0]) and not any(s < m.end() and m.start() < e for s, e in base)]
+    base = sorted((s, e) for s, _, e, _ in found)
+    at, reach = 0, 0  # base spans that begin before the candidate's end, and how far they go
+    for m in _TOKEN.finditer(text):
+        while at < len(base) and base[at][0] < m.end():
+            reach, at = max(reach, base[at][1]), at + 1
+        if reach <= m.start() and _mixed(m[0]):
+            found.append((m.start(), 3, m.end(), m[0]))
     return sorted(found)
 
 
@@ -54,7 +59,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     made = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("value_hash", pa.binary())])
     for batch in batches:
         counts, shas, finds = ([], [], []), [], []
-        for text in batch.column("text").to_pylist():
+        for cell in batch.column("text"):
+            text = cell.as_py()
             found = find(text) if text else []
             for k in range(3):
                 counts[k].append(sum(f[1] == k for f in found))
@@ -75,7 +81,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
         F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(owner_col).cast("string"), F.lit("\x1e")).alias("owner"),
         F.col(text_col).alias("text"),
     )
-    scanned = materialize(rows.mapInArrow(_scan, SCANNED.format(id=rows.schema["id"].dataType.simpleString())), "secrets-scanned")
+    scanned = materialize(rows.mapInArrow(tidy(_scan), SCANNED.format(id=rows.schema["id"].dataType.simpleString())), "secrets-scanned")
     each = scanned.select("row", "owner", F.explode("finds").alias("f")).select("row", "owner", "f.*")
     # Distinct owners by two plain aggregations, so that a value in a third of all rows is combined before any shuffle.
     by_owner = each.groupBy("value_hash", "owner").agg(F.count("*").alias("n"))
@@ -98,27 +104,31 @@ def spans(findings: str = "findings") -> F.Column:
     return F.array_join(F.transform(F.col(findings), lambda f: F.concat_ws(":", F.element_at(names, f["kind"] + 1), f["start"], f["end"])), ",")
 
 
-def redact(docs: DataFrame, mark: str = "[secret]", text_col: str = "text", n_chars_col: str = "n_chars", **options) -> DataFrame:
+def redact(docs: DataFrame, mark: str = "[secret]", text_col: str = "text", n_chars_col: str = "n_chars", id_col: str = "doc_id", **options) -> DataFrame:
     """docs with every finding's span replaced, base findings always and candidates where live, by `mark` (overlapping spans by one mark), and n_chars_col set to the new length.
 
-    Documents without such a finding pass as they are; repeated rows are redacted alike; no document is lost.  Rows are
-    told apart by id and text together, so null and repeated ids do no harm.
+    Documents without such a finding pass as they are, where they lie: only texts that may have one are joined to their spans.
+    Repeated rows are redacted alike; no document is lost.  Rows are told apart by id and text together, so null and
+    repeated ids do no harm; a column of docs may have any name that does not begin with `__`.
     """
-    id_col = options.pop("id_col", "doc_id")
     none = F.lit("\x1e")
-    keyed = docs.withColumn("__key", F.sha2(F.concat(F.coalesce(F.col(id_col).cast("string"), none), none, F.coalesce(F.col(text_col), none)), 256))
-    found = scan(keyed, id_col="__key", text_col=text_col, **options)
+    key = F.sha2(F.concat(F.coalesce(F.col(id_col).cast("string"), none), none, F.coalesce(F.col(text_col), none)), 256)
+    owner = options.pop("owner_col", "source")
+    keyed = docs.select(key.alias("__key"), F.col(text_col).alias("__text"), F.col(owner).alias("__owner"))
+    found = scan(keyed, id_col="__key", text_col="__text", owner_col="__owner", **options)
     told = found.select("__key", F.col("findings").alias("__found")).where(F.size("__found") > 0).dropDuplicates(["__key"])
-    joined = keyed.join(sent(materialize(told, "secrets-found"), 20_000), "__key", "left")  # a key and a few spans to a row
-    # Walk the sorted spans once: (text so far, end of the last span).
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    told = materialize(told, "secrets-found")
+    untouched, some = parted(docs, key, told, F.col("__key"))
+    joined = some.withColumn("__key", key).join(told, "__key", "left")
+    # Walk the sorted spans once: the pieces so far, and the end of the last span.
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at"))
     t = F.col(text_col)
 
     def step(a, f):
-        gap = F.when(f["start"] >= a["at"], F.concat(t.substr(a["at"] + 1, f["start"] - a["at"]), F.lit(mark))).otherwise(F.lit(""))
+        gap = F.when(f["start"] >= a["at"], F.array(t.substr(a["at"] + 1, f["start"] - a["at"]), F.lit(mark))).otherwise(F.array().cast("array<string>"))
         return F.struct(F.concat(a["out"], gap).alias("out"), F.greatest(a["at"], f["end"]).alias("at"))
 
-    new = F.aggregate("__found", start, step, lambda a: F.concat(a["out"], t.substr(a["at"] + 1, F.length(t))))
+    new = F.aggregate("__found", start, step, lambda a: F.concat(F.array_join(a["out"], ""), t.substr(a["at"] + 1, F.length(t))))
     out = joined.withColumn("__new", F.when(F.col("__found").isNotNull(), new).otherwise(t))
     cols = [F.col("__new").alias(c) if c == text_col else F.when(F.col("__found").isNotNull(), F.length("__new")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == n_chars_col else F.col(c) for c in docs.columns]
-    return out.select(*cols)
+    return untouched.unionByName(out.select(*cols))
