@@ -1,11 +1,17 @@
 """Near-duplicate removal: texts whose five-word shingles are alike by 0.8 or more, every such pair found.
 
-Candidates are exact: in one order of all shingles, two sets of n and m shingles that are alike by t share one among
-the first n - ceil(tn) + 1 of the one and m - ceil(tm) + 1 of the other.  Shingles that a sample finds common come last in that
-order; any order loses no pair, this one keeps keys small.  Of a key, first every text is tried against the one text that
-has the key earliest, which joins large groups of copies by as many tries as texts.  Then all pairs of a key that are
-still in different components are compared, in cells where the key is a hot one.  A pair must share enough early shingles
-to reach t at all, and every link is verified on all shingles of both texts before components are formed.
+Two ways find candidates, and every link is verified on all shingles of both texts before components are formed.
+
+First the SimHash operator: texts whose fingerprints link by their Golay keys, and with them every text is tried against the
+one text that has one of its early shingles earliest.  This joins copies, of large groups too, by as many tries as texts.
+Fingerprints alone would miss many pairs at 0.8 (they differ in some ten bits of 64), so the exact way handles the rest: in one order of all
+shingles, two sets of n and m shingles that are alike by t share one among the first n - ceil(tn) + 1 of the one and
+m - ceil(tm) + 1 of the other.  Shingles that a sample finds common come last in that order; any order loses no pair, this
+one keeps keys small.  All pairs of such a key that are still in different components are compared, in cells where the
+key is a hot one; a pair must share enough early shingles to reach t at all.
+
+Texts are not shuffled for this: the shingle sets that are to be compared are made where the text lies, told by a filter of bounded
+size over their classes, and the rows to remove are told by the same kind of filter before an exact join.
 
 Defined results: texts with equal words (A-Z in lower case, white space aside) are one class from the start, empty and null
 texts too; the document with the smallest id of a component stays; of repeated rows with one id and equal words one stays; rows with
@@ -24,9 +30,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WS, lookup_join, materialize, sent
+from .common import WS, bitmap, in_bitmap, lookup_join, materialize, parted, sample_rows, tidy
 from .components import components
-from .simhash import SEED, shingle_hashes
+from .simhash import SEED, fold, links, shingle_hashes
 
 #: Documents, about, whose shingles are counted for the order, and how many of the most common ones the order knows.
 SAMPLE, COMMON = 4_000, 500_000
@@ -42,8 +48,8 @@ def _class(words: list[bytes]) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(b" ".join(words), SEED)).astype(np.int64))
 
 
-def _set(words: list[bytes], shingle: int) -> np.ndarray:
-    return np.unique(shingle_hashes(words, shingle)).view(np.int64)
+def _set(hashes: np.ndarray) -> np.ndarray:
+    return np.unique(hashes).view(np.int64)
 
 
 def early(n: int, similarity: float) -> int:
@@ -57,10 +63,9 @@ def _order(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t in batch.column("text"):
-                yield pa.RecordBatch.from_arrays([pa.array(_set(_words(t.as_py()), shingle), pa.int64())], ["s"])
+                yield pa.RecordBatch.from_arrays([pa.array(_set(shingle_hashes(_words(t.as_py()), shingle)), pa.int64())], ["s"])
 
-    every = max(1, rows.count() // SAMPLE)
-    counted = rows.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("text").mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("n"))
+    counted = sample_rows(rows, ["text"], SAMPLE).mapInArrow(tidy(run), "s long").groupBy("s").agg(F.count("*").alias("n"))
     found = counted.where("n > 1").orderBy(F.desc("n"), "s").limit(COMMON).toArrow()
     s, n = found.column("s").to_numpy(), found.column("n").to_numpy()
     at = np.argsort(s)
@@ -71,10 +76,12 @@ def _marks(shingle: int, similarity: float, order):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, ranks = order.value
         for batch in batches:
-            cls, sizes, firsts = [], [], []
+            cls, fps, sizes, firsts = [], [], [], []
             for t in batch.column("text"):
                 words = _words(t.as_py())
-                own = _set(words, shingle)
+                hashes = shingle_hashes(words, shingle)
+                own = _set(hashes)
+                fps.append(fold(hashes))
                 rank = np.zeros(len(own), np.int64)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, own), len(known) - 1)
@@ -82,17 +89,23 @@ def _marks(shingle: int, similarity: float, order):
                 cls.append(_class(words))
                 sizes.append(len(own))
                 firsts.append(own[np.lexsort((own, rank))][: early(len(own), similarity)])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(cls, pa.int64()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], ["id", "class", "size", "firsts"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(cls, pa.int64()), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], ["id", "class", "fp", "size", "firsts"])
 
     return run
 
 
-def _shingles(shingle: int):
+def _shingles(shingle: int, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = wanted.value
         for batch in batches:
-            own = [(c, words) for c, t in zip(batch.column("class").to_pylist(), batch.column("text"), strict=True) if _class(words := _words(t.as_py())) == c]
-            sets = [_set(words, shingle) for _, words in own]
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in own], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["class", "shingles"])
+            cls, sets = [], []
+            for t in batch.column("text"):
+                words = _words(t.as_py())
+                c = _class(words)
+                if in_bitmap(found, c):
+                    cls.append(c)
+                    sets.append(_set(shingle_hashes(words, shingle)))
+            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["class", "shingles"])
 
     return run
 
@@ -104,19 +117,26 @@ def _enough(met: DataFrame, similarity: float) -> DataFrame:
     return sums.where(F.col("c") + F.greatest(rest("a"), rest("b")) >= similarity / (1 + similarity) * (F.col("a") + F.col("b")) - 1e-6).select("u", "v")
 
 
-def _verified(rows: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def _verified(rows: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Those of the written pairs (u, v) whose shingles are alike."""
-    nodes = pairs.select(F.col("u").alias("class")).union(pairs.select("v")).distinct()
-    wanted = classes.join(nodes, "class").select("class", F.col("least").alias("id"))
-    # Rows with one id may differ in text: only those of the class itself count.
-    wanted = materialize(wanted, "near-wanted")
-    texts = rows.join(sent(wanted), "id").select("class", "text")
-    sets = materialize(texts.mapInArrow(_shingles(shingle), "class long, shingles array<long>").dropDuplicates(["class"]), "near-shingles")
+    nodes = pairs.select(F.col("u").alias("class")).union(pairs.select("v"))
+    wanted = rows.sparkSession.sparkContext.broadcast(bitmap(nodes, F.col("class")))
+    sets = rows.select("text").mapInArrow(tidy(_shingles(shingle, wanted)), "class long, shingles array<long>")
+    sets = materialize(sets.join(nodes.distinct(), "class", "left_semi").dropDuplicates(["class"]), "near-shingles")
     both = pairs.join(sets.select(F.col("class").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("class").alias("v"), F.col("shingles").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))
     return materialize(both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v"), "near-links")
 
 
+def _by_fingerprint(classes: DataFrame) -> DataFrame:
+    """(u, v) of classes to try: those with one fingerprint against the least of them, and these where their fingerprints link."""
+    heads = materialize(classes.groupBy("fp").agg(F.min("class").alias("head"), F.count("*").alias("n")), "near-heads")
+    same = lookup_join(classes.select("class", "fp"), heads, "fp", "n").where("class <> head").select(F.col("head").alias("u"), F.col("class").alias("v"))
+    near = links(heads)
+    ends = near.join(heads.select(F.col("fp").alias("u"), F.col("head").alias("a")), "u").join(heads.select(F.col("fp").alias("v"), F.col("head").alias("b")), "v")
+    return same.unionByName(ends.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")))
+
+
 def _links(rows: DataFrame, marked: DataFrame, classes: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Verified links (u, v) of classes that connect all that are alike, by components."""
     keyed = marked.dropDuplicates(["class"]).select("class", "size", F.posexplode("firsts").alias("place", "key"))
@@ -128,7 +148,8 @@ def _links(rows: DataFrame, marked: DataFrame, classes: DataFrame, shingle: int,
         F.least("class", "centre.class").alias("u"), F.greatest("class", "centre.class").alias("v"),
         F.when(turned, F.col("centre.size")).otherwise(F.col("size")).alias("a"), F.when(turned, F.col("size")).otherwise(F.col("centre.size")).alias("b"),
     )
-    first = _verified(rows, classes, materialize(_enough(tries, similarity), "near-tries"), shingle, similarity)
+    tries = materialize(_enough(tries, similarity).unionByName(_by_fingerprint(classes)).distinct(), "near-tries")
+    first = _verified(rows, tries, shingle, similarity)
     roots = materialize(components(first).withColumnRenamed("node", "class"), "near-first")
     rooted = shared.join(roots, "class", "left").select("key", "class", "size", "n", F.coalesce("root", "class").alias("root"))
     cells = F.ceil(F.col("n") / CELL)
@@ -143,7 +164,7 @@ def _links(rows: DataFrame, marked: DataFrame, classes: DataFrame, shingle: int,
         & (F.least("x.block", "y.block") == F.col("x.i")) & (F.greatest("x.block", "y.block") == F.col("x.j")) & (short >= similarity * long - 1e-9)
     )
     met = x.join(y, meet).select(F.col("x.class").alias("u"), F.col("y.class").alias("v"), F.col("x.size").alias("a"), F.col("y.size").alias("b"))
-    rest = _verified(rows, classes, materialize(_enough(met, similarity), "near-pairs"), shingle, similarity)
+    rest = _verified(rows, materialize(_enough(met, similarity), "near-pairs"), shingle, similarity)
     return materialize(first.unionByName(rest), "near-all-links")
 
 
@@ -156,8 +177,8 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, shingle: int = 5, simil
     """(id, class, keep) of every document with an id: keep is the least (id, class) of its component."""
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     order = rows.sparkSession.sparkContext.broadcast(_order(rows, shingle))
-    marked = materialize(rows.mapInArrow(_marks(shingle, similarity, order), f"id {rows.schema['id'].dataType.simpleString()}, class long, size int, firsts array<long>"), "near-marks")
-    classes = materialize(marked.groupBy("class").agg(F.min("id").alias("least"), F.count("*").alias("n")), "near-classes")
+    marked = materialize(rows.mapInArrow(tidy(_marks(shingle, similarity, order)), f"id {rows.schema['id'].dataType.simpleString()}, class long, fp long, size int, firsts array<long>"), "near-marks")
+    classes = materialize(marked.groupBy("class").agg(F.min("id").alias("least"), F.first("fp").alias("fp"), F.count("*").alias("n")), "near-classes")
     alike = _links(rows, marked, classes, shingle, similarity)
     roots = materialize(components(alike).withColumn("one", F.lit(1).cast("long")), "near-roots")
     rooted = lookup_join(classes.select("class", "least", "n"), roots.withColumnRenamed("node", "class"), "class", "one").withColumn("root", F.coalesce("root", "class"))
@@ -176,13 +197,13 @@ def _class_of(text: Column) -> Column:
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with one document of each group of near duplicates."""
     groups = _groups(docs, id_col, text_col, **options)
-    gone = materialize(groups.where((F.col("id") != F.col("keep.id")) | (F.col("class") != F.col("keep.class"))).select(F.col("id").alias(id_col), F.col("class").alias("__class")).distinct(), "near-gone")
-    out = docs.where(F.col(id_col).isNotNull())
-    if out.groupBy(id_col).count().where("count > 1").limit(1).count():
-        both = [id_col, "__class"]
-        out = out.withColumn("__class", _class_of(F.col(text_col))).join(sent(gone), both, "left_anti").dropDuplicates(both).select(*docs.columns)
-    else:
-        out = out.join(sent(gone), id_col, "left_anti")  # fewer than those that stay: texts need no shuffle while they are few
-    if docs.where(F.col(id_col).isNull()).limit(1).count():
-        out = out.unionByName(docs.where(F.col(id_col).isNull()).dropDuplicates([text_col]))
-    return out
+    gone = groups.where((F.col("id") != F.col("keep.id")) | (F.col("class") != F.col("keep.class"))).select(F.col("id").alias("__id"), F.col("class").alias("__class"))
+    # Rows that share an id, and repeated ones of which one stays, are settled by id and class together, beside those that go.
+    twice = groups.groupBy("id").count().where("count > 1").select(F.col("id").alias("__id"))
+    gone, twice = materialize(gone.distinct(), "near-gone"), materialize(twice, "near-twice")
+    apart, some = parted(docs, F.col(id_col), gone.select("__id").unionByName(twice), F.col("__id"))
+    classed = some.where(F.col(id_col).isNotNull()).withColumn("__class", _class_of(F.col(text_col)))
+    stay = classed.join(gone, (F.col(id_col) == F.col("__id")) & classed["__class"].eqNullSafe(gone["__class"]), "left_anti")
+    stay = stay.dropDuplicates([id_col, "__class"]).select(*docs.columns)
+    nameless = docs.where(F.col(id_col).isNull()).dropDuplicates([text_col])
+    return apart.where(F.col(id_col).isNotNull()).unionByName(stay).unionByName(nameless)
