@@ -1,16 +1,18 @@
 """Quality classifier with hierarchical empirical Bayes over hosts and paths.
 
-A logistic model gives each document's own evidence, one head for quality and one for toxicity.  The mean of its
-posteriors over every host and every path of a host says what to expect there before a text is read: a path is shrunk toward
-its host and a host toward the whole corpus, by strengths estimated from the spread between sites (method of
-moments).  A document's posterior is its own likelihood ratio times its path's prior odds, so a sparse site falls back on the global prior.
+A logistic model gives each document's own evidence, one head for quality and one for toxicity.  The mean of the
+posteriors of all other documents of its host and of its path says what to expect there before the text is read: a path is
+shrunk toward its host and a host toward the whole corpus, by strengths estimated from the spread between sites (method of
+moments).  A document's posterior is its own likelihood ratio times the prior odds that the others of its site give, so its
+evidence counts once, and a document alone at its site has the global prior.
 
 The fit takes at most MAX_LABELLED labelled documents, chosen by hash of the id, and WORDS words per head, chosen by
-their G-test on those; site statistics are grouped aggregations over all documents.
+their G-test on those; site statistics are grouped aggregations over all documents.  Texts are read for evidence once.
 
 Defined results: null and empty texts have no words and are judged by shape and site; a null host or path is a site of
-its own; repeated rows are judged alike; repeated or null labels count as given or not at all; without labels, or with
-labels of one kind, the head is the smoothed rate and everything within 0.5 is kept; extra columns pass through.
+its own; repeated rows are judged alike but for themselves; of contradicting labels of one id the less favourable counts (quality 0, toxic
+1), null labels don't; without labels, or with labels of one kind, the head is the smoothed rate and everything within 0.5 is kept;
+extra columns pass through, whatever their names, but for one that has the name of a result, which gives way to it.
 """
 
 from __future__ import annotations
@@ -20,14 +22,14 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup_join, materialize
+from .common import lookup_join, materialize, tidy
 
 #: Bounds of the fit: labelled documents, marks for each head, documents that a mark must be in, and its G-test at least (10: one in 600 by chance).
 MAX_LABELLED, WORDS, LEAST_DOCS, LEAST_GAIN = 10_000, 150, 4, 10.0
@@ -70,6 +72,11 @@ def shapes(text: bytes) -> list[float]:
     ]
 
 
+@lru_cache(1)
+def _places(words: tuple[str, ...]) -> dict[str, int]:
+    return {x: i for i, x in enumerate(words)}
+
+
 @dataclass(frozen=True)
 class Model:
     """weights: (heads, presence of each mark + density of each + shapes + 1); rates: share of ones among the labels of each head."""
@@ -79,7 +86,7 @@ class Model:
     rates: tuple[float, ...]
 
     def logits(self, texts: list[str]) -> np.ndarray:
-        at, n, w = {x: i for i, x in enumerate(self.words)}, len(self.words), self.weights
+        at, n, w = _places(self.words), len(self.words), self.weights
         out = np.empty((len(texts), len(HEADS)))
         for row, text in enumerate(texts):
             found, dense = hits(text, at)
@@ -108,10 +115,11 @@ def _regress(x: np.ndarray, y: np.ndarray, penalty: float = 0.2, rounds: int = 1
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED, words: int = WORDS) -> Model:
     """Fit both heads on at most max_labelled labelled documents."""
     label = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull() & F.col("toxic").isNotNull())
-    label = label.select(F.col(id_col).alias("id"), F.col("quality").cast("int").alias("q"), F.col("toxic").cast("int").alias("t")).dropDuplicates(["id"])
+    label = label.select(F.col(id_col).alias("id"), F.col("quality").cast("int").alias("q"), F.col("toxic").cast("int").alias("t"))
+    label = label.groupBy("id").agg(F.min("q").alias("q"), F.max("t").alias("t"))
     label = label.orderBy(F.xxhash64("id"), "id").limit(max_labelled)
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(label), "id")
-    sample = materialize(sample.dropDuplicates(["id"]).select("text", "q", "t"), "quality-sample")
+    sample = materialize(sample.groupBy("id").agg(F.min("text").alias("text"), F.first("q").alias("q"), F.first("t").alias("t")).select("text", "q", "t"), "quality-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, q, t = Counter(), Counter(), Counter()
@@ -132,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         weights = np.zeros((len(HEADS), N_SHAPES + 1))
         weights[:, -1] = [_logit(r) for r in rates]
         return Model((), weights, rates)
-    counts = sample.mapInArrow(count, "word string, n long, q long, t long").groupBy("word").agg(*(F.sum(c).alias(c) for c in "nqt")).where(F.col("n") >= LEAST_DOCS)
+    counts = sample.mapInArrow(tidy(count), "word string, n long, q long, t long").groupBy("word").agg(*(F.sum(c).alias(c) for c in "nqt")).where(F.col("n") >= LEAST_DOCS)
 
     def gain(k: str, rate: float) -> Column:  # G-test of one against zero among the texts with the word
         term = lambda seen, share: F.when(seen > 0, seen * F.log(seen / (F.col("n") * share))).otherwise(0.0)
@@ -153,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             cols = [pa.array(found, pa.list_(pa.int32())), pa.array(dense, pa.list_(pa.float64())), pa.array([shapes(t.encode()) for t in texts], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays([*cols, batch.column("q"), batch.column("t")], ["hits", "dense", "shape", "q", "t"])
 
-    rows = sample.mapInArrow(vectors, "hits array<int>, dense array<double>, shape array<double>, q int, t int").toPandas()  # max_labelled short rows
+    rows = sample.mapInArrow(tidy(vectors), "hits array<int>, dense array<double>, shape array<double>, q int, t int").toPandas()  # max_labelled short rows
     n = len(known)
     x = np.zeros((len(rows), 2 * n + N_SHAPES + 1), np.float64)
     for i, (found, dense, shape) in enumerate(zip(rows["hits"], rows["dense"], rows["shape"], strict=True)):
@@ -168,56 +176,74 @@ def _sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
-def site_priors(scored: DataFrame) -> DataFrame:
-    """(site, n, prior_quality, prior_toxic) of rows (host, path, logit_quality, logit_toxic): log odds, path shrunk to host, host to all."""
-    moments = [f(F.col(f"p_{h}")).alias(f"{k}_{h}") for h in HEADS for k, f in (("s", F.sum), ("ss", lambda c: F.sum(c * c)))]
-    probable = scored.select("host", "path", *(_sigmoid(F.col(f"logit_{h}")).alias(f"p_{h}") for h in HEADS))
-    paths = materialize(probable.groupBy("host", "path").agg(F.count("*").alias("n"), *moments), "quality-paths")
-    sums = [F.sum(c).alias(c) for c in paths.columns if c not in ("host", "path")]
-    hosts = paths.groupBy("host").agg(*sums)
-
-    def strength(sites: DataFrame, h: str, within_host: bool) -> tuple[float, float]:
-        """(mean, pseudo-count of the prior) from the spread of site means beyond what chance makes of them."""
-        r = sites.agg(F.sum("n").alias("n"), F.sum(f"s_{h}").alias("s"), F.sum(f"ss_{h}").alias("ss"), F.sum(F.col(f"s_{h}") ** 2 / F.col("n")).alias("b"), F.sum(F.col("n").cast("double") ** 2).alias("nn"), F.count("*").alias("k")).first()
-        if not r.n:
-            return 0.5, 1.0
-        mean = min(max(r.s / r.n, 1e-4), 1 - 1e-4)
-        noise = max((r.ss - r.b) / max(1, r.n - r.k), 1e-9)
-        scale = r.n - r.nn / r.n
-        between = max(0.0, (r.b - r.n * mean**2 - (r.k - 1) * noise) / scale) if scale > 0 else 0.0
-        return mean, min(max(noise / between if between > 0 else 1e6, 1.0), 1e6)
-
-    out = paths.alias("p").join(hosts.select(F.col("host").alias("h_host"), F.col("n").alias("h_n"), *(F.col(f"s_{h}").alias(f"h_s_{h}") for h in HEADS)), F.col("host").eqNullSafe(F.col("h_host")))
-    for h in HEADS:
-        mean, k_host = strength(hosts, h, False)
-        _, k_path = strength(paths, h, True)
-        at_host = (F.col(f"h_s_{h}") + k_host * mean) / (F.col("h_n") + k_host)
-        at_path = (F.col(f"s_{h}") + k_path * at_host) / (F.col("n") + k_path)
+def _strength(sites: DataFrame, h: str) -> tuple[float, float]:
+    """(mean, pseudo-count of the prior) from the spread of site means beyond what chance makes of them."""
+    r = sites.agg(F.sum("n").alias("n"), F.sum(f"s_{h}").alias("s"), F.sum(f"ss_{h}").alias("ss"), F.sum(F.col(f"s_{h}") ** 2 / F.col("n")).alias("b"), F.sum(F.col("n").cast("double") ** 2).alias("nn"), F.count("*").alias("k")).first()
+    if not r.n:
+        return 0.5, 1.0
+    mean = min(max(r.s / r.n, 1e-4), 1 - 1e-4)
+    noise = max((r.ss - r.b) / max(1, r.n - r.k), 1e-9)
+    scale = r.n - r.nn / r.n
+    between = max(0.0, (r.b - r.n * mean**2 - (r.k - 1) * noise) / scale) if scale > 0 else 0.0
+    return mean, min(max(noise / between if between > 0 else 1e6, 1.0), 1e6)
+
+
+@dataclass(frozen=True)
+class Sites:
+    """statistics: a row per site with n, host_n and the sums of posteriors s_ and host_s_ of each head; strengths: head to (mean, host's pseudo-count, path's)."""
+
+    statistics: DataFrame
+    strengths: dict[str, tuple[float, float, float]]
+
+    def prior(self, h: str, own: Column) -> Column:
+        """Log odds that the other documents of a site, without the one whose posterior is own, give."""
+        mean, k_host, k_path = self.strengths[h]
+        at_host = (F.col(f"__host_s_{h}") - own + k_host * mean) / (F.col("__host_n") - 1 + k_host)
+        at_path = (F.col(f"__s_{h}") - own + k_path * at_host) / (F.col("__n") - 1 + k_path)
         p = F.least(F.greatest(at_path, F.lit(1e-6)), F.lit(1 - 1e-6))
-        out = out.withColumn(f"prior_{h}", F.log(p / (1 - p)))
-    return out.select(site_key().alias("site"), "n", *(f"prior_{h}" for h in HEADS))
+        return F.log(p / (1 - p))
 
 
-def site_key(host: str = "host", path: str = "path") -> Column:
+def site_statistics(scored: DataFrame) -> Sites:
+    """From rows (__host, __path, __logit_quality, __logit_toxic)."""
+    moments = [f(F.col(f"p_{h}")).alias(f"{k}_{h}") for h in HEADS for k, f in (("s", F.sum), ("ss", lambda c: F.sum(c * c)))]
+    probable = scored.select(_key("__host").alias("host"), site_key("__host", "__path").alias("site"), *(_sigmoid(F.col(f"__logit_{h}")).alias(f"p_{h}") for h in HEADS))
+    paths = materialize(probable.groupBy("host", "site").agg(F.count("*").alias("n"), *moments), "quality-paths")
+    hosts = materialize(paths.groupBy("host").agg(F.count("*").alias("paths"), *(F.sum(c).alias(c) for c in paths.columns if c not in ("host", "site"))), "quality-hosts")
+    strengths = {h: (*_strength(hosts, h), _strength(paths, h)[1]) for h in HEADS}
+    of_host = hosts.select("host", "paths", F.col("n").alias("__host_n"), *(F.col(f"s_{h}").alias(f"__host_s_{h}") for h in HEADS))
+    told = lookup_join(paths, of_host, "host", "paths")  # a host may have any number of paths
+    return Sites(materialize(told.select(F.col("site").alias("__site"), F.col("n").alias("__n"), F.col("n").alias("__weight"), "__host_n", *(c for h in HEADS for c in (F.col(f"s_{h}").alias(f"__s_{h}"), f"__host_s_{h}"))), "quality-sites"), strengths)
+
+
+def _key(c: str) -> Column:
+    return F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-"))
+
+
+def site_key(host: str, path: str) -> Column:
     """One string for (host, path), nulls apart from every value."""
-    part = lambda c: F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-"))
-    return F.concat(part(host), F.lit("/"), part(path))
+    return F.concat(_key(host), F.lit("/"), _key(path))
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", model: Model | None = None) -> DataFrame:
-    """docs plus p_quality, p_toxic (posteriors) and kept: p_quality at least 0.5 and p_toxic at most 0.5."""
-    model = model or fit(docs, labels, id_col, text_col)
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", model: Model | None = None, columns: list[str] | None = None, results: tuple[str, str, str] = ("p_quality", "p_toxic", "kept")) -> DataFrame:
+    """The columns of docs (all, or those named) plus p_quality, p_toxic (posteriors) and kept: p_quality at least 0.5 and p_toxic at most 0.5.
 
-    @F.pandas_udf("quality double, toxic double")
-    def evidence(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(model.logits([t or "" for t in texts]), columns=list(HEADS))
-
-    logits = evidence(F.col(text_col))
-    sites = docs.select(F.col(host_col).alias("host"), F.col(path_col).alias("path"), logits.alias("e"))
-    priors = materialize(site_priors(sites.select("host", "path", *(F.col(f"e.{h}").alias(f"logit_{h}") for h in HEADS))), "quality-priors")
-    out = docs.withColumn("q_evidence", logits).withColumn("site", site_key(host_col, path_col))
-    out = lookup_join(out, priors, "site", "n")
-    for h, rate in zip(HEADS, model.rates, strict=True):
-        out = out.withColumn(f"p_{h}", _sigmoid(F.col(f"q_evidence.{h}") - _logit(rate) + F.col(f"prior_{h}")))
-    kept = (F.col("p_quality") >= 0.5) & (F.col("p_toxic") <= 0.5)
-    return out.select(*docs.columns, "p_quality", "p_toxic", kept.alias("kept"))
+    The rows are written once with their evidence, which is why a caller who needs no texts should name its columns.
+    """
+    model = model or fit(docs, labels, id_col, text_col)
+    columns = [c for c in (docs.columns if columns is None else columns) if c not in results]
+
+    @F.arrow_udf("array<double>")
+    def evidence(texts: pa.Array) -> pa.Array:
+        made = np.concatenate([model.logits([t.as_py() or ""]) for t in texts]) if len(texts) else np.zeros((0, len(HEADS)))
+        return pa.ListArray.from_arrays(np.arange(0, made.size + 1, len(HEADS), dtype=np.int32), pa.array(made.ravel()))
+
+    rows = docs.select(*columns, F.col(host_col).alias("__host"), F.col(path_col).alias("__path"), evidence(F.col(text_col)).alias("__e"))
+    scored = rows.select(*columns, "__host", "__path", *(F.col("__e")[i].alias(f"__logit_{h}") for i, h in enumerate(HEADS)))
+    scored = materialize(scored, "quality-scored")
+    sites = site_statistics(scored)
+    out = lookup_join(scored.withColumn("__site", site_key("__host", "__path")), sites.statistics, "__site", "__weight")
+    for h, rate, name in zip(HEADS, model.rates, results, strict=False):
+        logit = F.col(f"__logit_{h}")
+        out = out.withColumn(name, _sigmoid(logit - _logit(rate) + sites.prior(h, _sigmoid(logit))))
+    return out.select(*columns, *results[:2], ((F.col(results[0]) >= 0.5) & (F.col(results[1]) <= 0.5)).alias(results[2]))

@@ -29,8 +29,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality_classifier.classify(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), table(spark, sf_dir, "labels"))
-    return out.select("doc_id", "p_quality", "p_toxic", "kept")
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), columns=["doc_id"])
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
