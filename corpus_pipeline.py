@@ -13,7 +13,8 @@ from graphloom.llm import common, mixing, near_dedup, packing, quality_classifie
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier takes for low quality or toxic go."""
-    return quality_classifier.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("kept").select(*docs.columns)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_classifier.classify(docs, labels, results=("__quality", "__toxic", "__kept")).where("__kept").select(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
