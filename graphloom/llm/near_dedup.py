@@ -8,7 +8,8 @@ Fingerprints alone would miss many pairs at 0.8 (they differ in some ten bits of
 shingles, two sets of n and m shingles that are alike by t share one among the first n - ceil(tn) + 1 of the one and
 m - ceil(tm) + 1 of the other.  Shingles that a sample finds common come last in that order; any order loses no pair, this
 one keeps keys small.  All pairs of such a key that are still in different components are compared, in cells where the
-key is a hot one; a pair must share enough early shingles to reach t at all.
+key is a hot one; a pair must share enough early shingles to reach t at all, and so must its sketches: counts of the shingles by
+hash, about two to a byte, whose smaller ones add up to at least what the sets have in common.  Only pairs that pass are compared shingle by shingle.
 
 Texts are not shuffled for this: the shingle sets that are to be compared are made where the text lies, told by a filter of bounded
 size over their classes, and the rows to remove are told by the same kind of filter before an exact join.
@@ -52,6 +53,18 @@ def _set(hashes: np.ndarray) -> np.ndarray:
     return np.unique(hashes).view(np.int64)
 
 
+def sketch(own: np.ndarray) -> bytes | None:
+    """Counts of a set's hashes by their low bits, a byte each, half as many or more as hashes; None if a byte is too small."""
+    counts = np.bincount(own & ((1 << (len(own) // 2).bit_length()) - 1), minlength=1 << (len(own) // 2).bit_length())
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
+
+
+def most_common(a: bytes, b: bytes) -> tuple[int, int]:
+    """(the most shingles that two sets can have in common, the number of both together), by their sketches."""
+    x, y = sorted((np.frombuffer(a, np.uint8).astype(np.int64), np.frombuffer(b, np.uint8).astype(np.int64)), key=len)
+    return int(np.minimum(x, y.reshape(-1, len(x)).sum(axis=0)).sum()), int(x.sum() + y.sum())
+
+
 def early(n: int, similarity: float) -> int:
     """Shingles of a set of n, the first in order, of which one is shared with every set alike by `similarity`."""
     return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
@@ -76,7 +89,7 @@ def _marks(shingle: int, similarity: float, order):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, ranks = order.value
         for batch in batches:
-            cls, fps, sizes, firsts = [], [], [], []
+            cls, fps, sizes, firsts, sketches = [], [], [], [], []
             for t in batch.column("text"):
                 words = _words(t.as_py())
                 hashes = shingle_hashes(words, shingle)
@@ -88,8 +101,9 @@ def _marks(shingle: int, similarity: float, order):
                     rank = np.where(known[at] == own, ranks[at], 0)
                 cls.append(_class(words))
                 sizes.append(len(own))
+                sketches.append(sketch(own))
                 firsts.append(own[np.lexsort((own, rank))][: early(len(own), similarity)])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(cls, pa.int64()), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], ["id", "class", "fp", "size", "firsts"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(cls, pa.int64()), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["id", "class", "fp", "size", "firsts", "sketch"])
 
     return run
 
@@ -117,13 +131,31 @@ def _enough(met: DataFrame, similarity: float) -> DataFrame:
     return sums.where(F.col("c") + F.greatest(rest("a"), rest("b")) >= similarity / (1 + similarity) * (F.col("a") + F.col("b")) - 1e-6).select("u", "v")
 
 
-def _verified(rows: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def _possible(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
+                a, b = a.as_py(), b.as_py()
+                common, both = most_common(a, b) if a is not None and b is not None else (1, 1)
+                keep.append(common >= similarity / (1 + similarity) * both - 1e-6)
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _verified(rows: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Those of the written pairs (u, v) whose shingles are alike."""
+
+    def ends(pairs: DataFrame, table: DataFrame, c: str) -> DataFrame:
+        return pairs.join(table.select(F.col("class").alias("u"), F.col(c).alias("a")), "u").join(table.select(F.col("class").alias("v"), F.col(c).alias("b")), "v")
+
+    pairs = materialize(ends(pairs, classes, "sketch").mapInArrow(tidy(_possible(similarity)), "u long, v long"), "near-possible")
     nodes = pairs.select(F.col("u").alias("class")).union(pairs.select("v"))
     wanted = rows.sparkSession.sparkContext.broadcast(bitmap(nodes, F.col("class")))
     sets = rows.select("text").mapInArrow(tidy(_shingles(shingle, wanted)), "class long, shingles array<long>")
     sets = materialize(sets.join(nodes.distinct(), "class", "left_semi").dropDuplicates(["class"]), "near-shingles")
-    both = pairs.join(sets.select(F.col("class").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("class").alias("v"), F.col("shingles").alias("b")), "v")
+    both = ends(pairs, sets, "shingles")
     common = F.size(F.array_intersect("a", "b"))
     return materialize(both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v"), "near-links")
 
@@ -149,7 +181,7 @@ def _links(rows: DataFrame, marked: DataFrame, classes: DataFrame, shingle: int,
         F.when(turned, F.col("centre.size")).otherwise(F.col("size")).alias("a"), F.when(turned, F.col("size")).otherwise(F.col("centre.size")).alias("b"),
     )
     tries = materialize(_enough(tries, similarity).unionByName(_by_fingerprint(classes)).distinct(), "near-tries")
-    first = _verified(rows, tries, shingle, similarity)
+    first = _verified(rows, classes, tries, shingle, similarity)
     roots = materialize(components(first).withColumnRenamed("node", "class"), "near-first")
     rooted = shared.join(roots, "class", "left").select("key", "class", "size", "n", F.coalesce("root", "class").alias("root"))
     cells = F.ceil(F.col("n") / CELL)
@@ -164,7 +196,7 @@ def _links(rows: DataFrame, marked: DataFrame, classes: DataFrame, shingle: int,
         & (F.least("x.block", "y.block") == F.col("x.i")) & (F.greatest("x.block", "y.block") == F.col("x.j")) & (short >= similarity * long - 1e-9)
     )
     met = x.join(y, meet).select(F.col("x.class").alias("u"), F.col("y.class").alias("v"), F.col("x.size").alias("a"), F.col("y.size").alias("b"))
-    rest = _verified(rows, materialize(_enough(met, similarity), "near-pairs"), shingle, similarity)
+    rest = _verified(rows, classes, materialize(_enough(met, similarity), "near-pairs"), shingle, similarity)
     return materialize(first.unionByName(rest), "near-all-links")
 
 
@@ -177,8 +209,8 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, shingle: int = 5, simil
     """(id, class, keep) of every document with an id: keep is the least (id, class) of its component."""
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     order = rows.sparkSession.sparkContext.broadcast(_order(rows, shingle))
-    marked = materialize(rows.mapInArrow(tidy(_marks(shingle, similarity, order)), f"id {rows.schema['id'].dataType.simpleString()}, class long, fp long, size int, firsts array<long>"), "near-marks")
-    classes = materialize(marked.groupBy("class").agg(F.min("id").alias("least"), F.first("fp").alias("fp"), F.count("*").alias("n")), "near-classes")
+    marked = materialize(rows.mapInArrow(tidy(_marks(shingle, similarity, order)), f"id {rows.schema['id'].dataType.simpleString()}, class long, fp long, size int, firsts array<long>, sketch binary"), "near-marks")
+    classes = materialize(marked.groupBy("class").agg(F.min("id").alias("least"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.count("*").alias("n")), "near-classes")
     alike = _links(rows, marked, classes, shingle, similarity)
     roots = materialize(components(alike).withColumn("one", F.lit(1).cast("long")), "near-roots")
     rooted = lookup_join(classes.select("class", "least", "n"), roots.withColumnRenamed("node", "class"), "class", "one").withColumn("root", F.coalesce("root", "class"))
