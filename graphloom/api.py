@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
@@ -34,6 +35,7 @@ class Engine:
     # -- public
 
     def search(self, query: str, now: Column, kind: str = "", project: str = "", entity: str = "", limit: int = 20, min_relevance: float = 0.0, **options) -> DataFrame:
+        """Hybrid search with the weights that the engine holds; `adapted` and `stored_weights` change them."""
         vector = [float(x) for x in self.provider([query])[0]] if self.vectors is not None else None
         return hybrid.search(self.objects, self.vectors, self.edges, query, now, vector, self.mentions, self.entities, model.known_type(kind), project, entity, limit, min_relevance, self.weights, **options)
 
@@ -48,11 +50,40 @@ class Engine:
         ids = store.resolve_prefix(self.objects, prefix)
         return present.document(self.objects.join(ids, "id", "left_semi"), self.edges, self.mentions, self.entities)
 
-    def capture(self, rows: DataFrame, template: str, fields: dict[str, Column], now: Column) -> Engine:
-        """Store captures (id, title, ...) and run the pipeline over them."""
+    def open(self, prefix: str, now: Column) -> tuple[DataFrame, Engine]:
+        """`read`, with what it leaves behind: an access of the document and, where the last logged call was a search that did not return it, a changed weight."""
+        ids = self.objects.join(store.resolve_prefix(self.objects, prefix), "id", "left_semi").select("id")
+        read = ids.select(F.col("id").alias("obj_id"), now.alias("ts"))
+        after = replace(self, access_log=read if self.access_log is None else self.access_log.unionByName(read))
+        return self.read(prefix), after.adapted(read)
+
+    def adapted(self, reads: DataFrame) -> Engine:
+        """Weights after the misses among reads (obj_id, ts): one of the 50 best by keyword boosts the keyword signal, else semantic gains."""
+        if self.query_log is None:
+            return self
+        log = self.query_log.select(F.col("timestamp").alias("ts"), F.monotonically_increasing_id().alias("event_id"), "tool", "params", F.from_json("result_ids", "array<string>").alias("result_ids"))
+        asked = reads.select(F.col("obj_id").alias("obj"), "ts", F.monotonically_increasing_id().alias("event_id"))
+        missed = learn.misses(temporal.latest_before(asked, log, None)).select(F.col("obj").alias("id"), "ts", F.get_json_object("prev.params", "$.query").alias("query"))
+        boosts = []
+        for m in missed.orderBy("ts", "id").collect():  # the misses of a session
+            best = hybrid.keyword_search(self.objects, m.query or "", limit=50).where(F.col("id") == m.id)
+            boosts.append("semantic" if best.isEmpty() else "keyword")
+        return replace(self, weights=learn.adapt(dict(self.weights), boosts))
+
+    def stored_weights(self, text: str | None) -> Engine:
+        """The engine with weights read back from the configuration's text; broken ones give the defaults."""
+        return replace(self, weights=scoring.valid_weights(text))
+
+    def capture(self, rows: DataFrame, template: str, fields: dict[str, Column], now: Column, found: DataFrame | None = None) -> Engine:
+        """Store captures (id, title, ...) and run the whole pipeline over the new objects: normalise, link, enrich, reason.
+
+        Captures that may not be stored, for want of a title or for size, are left out.
+        """
         made = pipeline.capture(rows, template, fields, now)
         full = made.select("id", "type", "title", "content", *(F.lit("").alias(c) for c in ("summary", "project", "tags")), F.lit("archive").alias("tier"), F.lit(1.0).alias("confidence"), F.lit("user").alias("captured_by"), F.lit("ingest").alias("pipeline_stage"), "created_at", F.col("created_at").alias("updated_at"))
-        return replace(self, objects=store.insert(self.objects, pipeline.normalize(full)))
+        fit = full.join(store.rejected(full).select("id"), "id", "left_anti").join(self.objects.select("id"), "id", "left_anti")
+        new, _ = replace(self, objects=fit).pipeline(found)
+        return replace(new, objects=store.insert(self.objects, new.objects))
 
     def link(self, new: DataFrame) -> Engine:
         return replace(self, edges=store.link(self.edges, new))
@@ -95,7 +126,19 @@ class Engine:
     def alerts(self, now: Column) -> DataFrame:
         return present.alerts(self.objects, self.edges, self.mentions, now)
 
-    def delete(self, ids: DataFrame) -> Engine:
+    def delete(self, ids: DataFrame, now: Column | None = None) -> Engine:
+        """Objects with their edges and mentions go; the rows as they were go to the history first."""
+        return self.kept_versions(ids, F.current_timestamp() if now is None else now)._without(ids)
+
+    def kept_versions(self, ids: DataFrame, now: Column) -> Engine:
+        """The engine with the present rows of ids in its history, each with the next version number of its object."""
+        old = self.objects.join(ids.select("id").distinct(), "id", "left_semi")
+        seen = None if self.history is None else self.history.groupBy("id").agg(F.max("version_num").alias("__n"))
+        numbered = old.withColumn("__n", F.lit(0)) if seen is None else old.join(seen, "id", "left")
+        made = numbered.select(*old.columns, (F.coalesce("__n", F.lit(0)) + 1).alias("version_num"), now.alias("replaced_at"))
+        return replace(self, history=made if self.history is None else self.history.unionByName(made))
+
+    def _without(self, ids: DataFrame) -> Engine:
         o, e, m = store.delete(self.objects, self.edges, self.mentions, ids)
         return replace(self, objects=o, edges=e, mentions=m, vectors=self.vectors and self.vectors.join(ids.select("id"), "id", "left_anti"))
 
@@ -104,9 +147,8 @@ class Engine:
         return replace(self, entities=self.entities.join(gone, "id", "left_anti"), mentions=self.mentions.join(gone, self.mentions.entity_id == gone.id, "left_anti"))
 
     def update(self, changes: DataFrame, now: Column) -> Engine:
-        """Partial update; the rows as they were go to the history."""
-        old = self.objects.join(changes.select("id"), "id", "left_semi").withColumn("replaced_at", now)
-        return replace(self, objects=store.update(self.objects, changes, now), history=old if self.history is None else self.history.unionByName(old))
+        """Partial update; the rows as they were go to the history with a version number."""
+        return replace(self.kept_versions(changes, now), objects=store.update(self.objects, changes, now))
 
     def unlink(self, gone: DataFrame) -> Engine:
         return replace(self, edges=store.unlink(self.edges, gone))
@@ -114,6 +156,17 @@ class Engine:
     def export(self, obj_id: str = "") -> DataFrame:
         return present.markdown(store.equals(self.objects, id=obj_id), self.edges, self.mentions, self.entities)
 
+    def debug_sessions(self, limit: int = 20) -> DataFrame:
+        """The newest sessions, with what they led to."""
+        own = store.newest(self.objects.where("type = 'session'"), max(0, min(limit, MOST)))
+        return store.with_relationships(present.summary(own), self.edges)
+
+    def debug_memory(self) -> DataFrame:
+        """Rows of each table that the engine holds."""
+        held = {"objects": self.objects, "edges": self.edges, "entities": self.entities, "mentions": self.mentions, "vectors": self.vectors, "query_log": self.query_log, "access_log": self.access_log, "history": self.history}
+        counts = [t.agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name, t in held.items() if t is not None]
+        return functools.reduce(DataFrame.unionAll, counts)
+
     def reason(self, now: Column) -> DataFrame:
         return detect.run_all(self.objects, self.edges, self.mentions, now)
 

@@ -226,12 +226,16 @@ def render_template(name: str, fields: dict[str, Column]) -> tuple[Column, Colum
     return F.concat_ws("\n\n", *blocks), F.map_from_entries(F.filter(F.array(*pairs), lambda p: p.isNotNull()))
 
 
-def sequence_ratio(a: Column, b: Column) -> Column:
-    """Ratio of matching blocks, in batches."""
+def sequence_ratio(a: Column, b: Column, over: float = -1.0) -> Column:
+    """Ratio of matching blocks, in batches; 0 where the letters in common already show that it is not more than `over`."""
+
+    def one(p: str, q: str) -> float:
+        m = difflib.SequenceMatcher(None, p, q)
+        return m.ratio() if over < 0 or (m.real_quick_ratio() > over and m.quick_ratio() > over) else 0.0
 
     @F.pandas_udf("double")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, p or "", q or "").ratio() for p, q in zip(x, y, strict=True)])
+        return pd.Series([one(p or "", q or "") for p, q in zip(x, y, strict=True)])
 
     return run(a, b)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.model import EDITABLE, MAX_CONTENT_BYTES, REL_TYPES, known_type
@@ -38,8 +38,9 @@ def triples(objects: DataFrame, columns: tuple[str, ...] = ("type", "title", "pr
 
 
 def read_subject(triple: DataFrame) -> DataFrame:
-    """One map of properties per subject."""
-    return triple.groupBy("s").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("p", "o")))).alias("properties"))
+    """One map of properties per subject, each with its values in order: a predicate may have several."""
+    values = triple.groupBy("s", "p").agg(F.array_sort(F.collect_set("o")).alias("o"))
+    return values.groupBy("s").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("p", "o")))).alias("properties"))
 
 
 def pattern(edges: DataFrame, src: str | None = None, rel: str | None = None, dst: str | None = None) -> DataFrame:
@@ -61,14 +62,13 @@ def since(rows: DataFrame, as_of: Column, days: int, at: str = "created_at") ->
 def upsert(old: DataFrame, new: DataFrame, key: str, order: str = "updated_at") -> DataFrame:
     """Last write wins; of equal times the new table's."""
     both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
-    w = Window.partitionBy(key).orderBy(F.desc(order), F.desc("__new"))
-    return both.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", "__new")
+    last = both.groupBy(key).agg(F.max_by(F.struct(*old.columns), F.struct(order, "__new")).alias("__row"))
+    return last.select("__row.*")
 
 
 def insert(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     """New rows whose key is not there yet, the first of each key."""
-    w = Window.partitionBy(key).orderBy(*[c for c in new.columns if c != key])
-    first = new.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    first = new.groupBy(key).agg(F.min(F.struct(*[c for c in new.columns if c != key])).alias("__row")).select(key, "__row.*").select(*new.columns)
     return old.unionByName(first.join(old.select(key), key, "left_anti"))
 
 
@@ -79,13 +79,17 @@ def rejected(new: DataFrame) -> DataFrame:
 
 
 def update(objects: DataFrame, changes: DataFrame, at: Column) -> DataFrame:
-    """Partial update: non-empty values of editable columns replace old ones and bump updated_at."""
+    """Partial update: non-empty values of editable columns replace old ones and bump updated_at.
+
+    Of several changes to one object the greatest non-empty value of each column counts; an id that is not there changes nothing.
+    """
     cols = [c for c in changes.columns if c != "id"]
     if bad := [c for c in cols if c not in EDITABLE]:
         raise ValueError(f"not editable: {', '.join(bad)}")
-    new = changes.select("id", *(F.col(c).alias(f"__{c}") for c in cols), F.lit(True).alias("__hit"))
+    given = [F.max(F.when(F.col(c).cast("string") != "", F.col(c))).alias(f"__{c}") for c in cols]
+    new = changes.groupBy("id").agg(F.lit(True).alias("__hit"), *given)
     joined = objects.join(new, "id", "left")
-    value = lambda c: F.coalesce(F.when(F.col(f"__{c}").cast("string") != "", F.col(f"__{c}")), F.col(c)) if c in cols else F.coalesce(F.when(F.col("__hit"), at), F.col(c)) if c == "updated_at" else F.col(c)
+    value = lambda c: F.coalesce(F.col(f"__{c}"), F.col(c)) if c in cols else F.coalesce(F.when(F.col("__hit"), at), F.col(c)) if c == "updated_at" else F.col(c)
     return joined.select(*(value(c).alias(c) for c in objects.columns))
 
 
@@ -116,8 +120,7 @@ def valid_edges(found: DataFrame, objects: DataFrame, least_confidence: float =
 
 def new_entities(entities: DataFrame, found: DataFrame, known: tuple[str, ...]) -> DataFrame:
     """found (seq, name, type): the first of each name in any case that is not there yet; an unknown type becomes concept."""
-    w = Window.partitionBy(F.lower("name")).orderBy("seq")
-    first = found.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    first = found.groupBy(F.lower("name").alias("__key")).agg(F.min_by(F.struct(*found.columns), "seq").alias("__row")).select("__row.*")
     first = first.withColumn("type", F.when(F.col("type").isin(*known), F.col("type")).otherwise("concept"))
     have = entities.select(F.lower("name").alias("__name")).distinct()
     return first.join(have, F.lower("name") == F.col("__name"), "left_anti")
@@ -131,8 +134,7 @@ def resolve_entity(entities: DataFrame, names: DataFrame) -> DataFrame:
 
 def unseen(incoming: DataFrame, hashes: DataFrame, others: DataFrame, other: str) -> DataFrame:
     """Import dedup: rows (seq, hash, other) whose hash or `other` was not seen before, the first of each hash within the batch."""
-    w = Window.partitionBy("hash").orderBy("seq")
-    first = incoming.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    first = incoming.groupBy("hash").agg(F.min_by(F.struct(*incoming.columns), "seq").alias("__row")).select("__row.*")
     return first.join(hashes.select("hash"), "hash", "left_anti").join(others.select(other), other, "left_anti")
 
 

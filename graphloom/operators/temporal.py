@@ -24,17 +24,27 @@ def state_at(version: DataFrame, current: DataFrame, when: Column, key: str = "d
     return best.unionByName(rest)
 
 
-def latest_before(events: DataFrame, log: DataFrame, key: str, at: str = "ts", tie: str = "event_id") -> DataFrame:
-    """events with `prev`, the last row of log (a struct) of the same key before or at the event: one sort of both, no range join.
+def latest_before(events: DataFrame, log: DataFrame, key: str | None, at: str = "ts", tie: str = "event_id", slice_seconds: int = 3600) -> DataFrame:
+    """events with `prev`, the last row of log (a struct) before or at the event, of the same key or, without one, of the whole log.
 
-    Of equal times the log's row comes first.
+    No range join: both sides are sorted within slices of time, and the last row of each slice is carried to those after
+    it, one row per slice, so neither a busy key nor the whole log is one task's.  Of equal times the log's row comes first.
     """
-    packed = F.struct(*[c for c in log.columns if c != key])
-    left = events.select(key, F.col(at).alias("__at"), F.lit(1).alias("__side"), F.col(tie).alias("__tie"), F.struct(*events.columns).alias("__event"), F.lit(None).cast(log.select(packed.alias("p")).schema["p"].dataType).alias("prev"))
-    right = log.select(key, F.col(at).alias("__at"), F.lit(0).alias("__side"), F.col(tie).alias("__tie"), F.lit(None).cast(left.schema["__event"].dataType).alias("__event"), packed.alias("prev"))
-    w = Window.partitionBy(key).orderBy("__at", "__side", "__tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = left.unionByName(right).withColumn("prev", F.last("prev", ignorenulls=True).over(w)).where("__side = 1")
-    return out.select("__event.*", "prev")
+    keys = [key] if key else []
+    packed = F.struct(*[c for c in log.columns if c not in keys])
+    left = events.select(*keys, F.col(at).alias("__at"), F.lit(1).alias("__side"), F.col(tie).alias("__tie"), F.struct(*events.columns).alias("__event"), F.lit(None).cast(log.select(packed.alias("p")).schema["p"].dataType).alias("prev"))
+    right = log.select(*keys, F.col(at).alias("__at"), F.lit(0).alias("__side"), F.col(tie).alias("__tie"), F.lit(None).cast(left.schema["__event"].dataType).alias("__event"), packed.alias("prev"))
+    both = left.unionByName(right).withColumn("__slice", F.floor(F.unix_micros("__at") / (slice_seconds * 1_000_000)))
+    inside = Window.partitionBy(*keys, "__slice").orderBy("__at", "__side", "__tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = both.withColumn("__own", F.last("prev", ignorenulls=True).over(inside)).where("__side = 1")
+    logged = F.col("__side") == 0
+    last = both.groupBy(*keys, "__slice").agg(F.max_by(F.when(logged, F.col("prev")), F.when(logged, F.struct("__at", "__tie"))).alias("__last"))
+    before = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select(*(F.col(k).alias("__k") for k in keys), F.col("__slice").alias("__s"), F.last("__last", ignorenulls=True).over(before).alias("__carried"))
+    meet = F.col("__slice").eqNullSafe(F.col("__s"))
+    for k in keys:
+        meet &= F.col(k).eqNullSafe(F.col("__k"))
+    return own.join(carried, meet, "left").select("__event.*", F.coalesce("__own", "__carried").alias("prev"))
 
 
 def rate_limit(requests: DataFrame, seconds: int = 60, most: int = 100) -> DataFrame:

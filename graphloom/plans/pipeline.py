@@ -19,6 +19,8 @@ def normalize(objects: DataFrame, found: DataFrame | None = None) -> DataFrame:
         found = objects.select("id", "type", F.col("title").alias("summary"), F.lit("").alias("tags"), F.lit("").alias("project"), F.lit(0.0).alias("confidence"))
     kind, confidence = S.classified(F.col("type"), F.col("confidence"))
     new = found.select("id", kind.alias("n_type"), F.col("summary").alias("n_summary"), F.col("tags").alias("n_tags"), F.col("project").alias("n_project"), confidence.alias("n_confidence"))
+    best = F.max(F.struct("n_confidence", *[c for c in new.columns if c not in ("id", "n_confidence")])).alias("n")  # of several for one object the surest
+    new = new.groupBy("id").agg(best).select("id", "n.*")
     j = objects.join(new, "id", "left")
     take = (F.col("summary") == "") & F.col("n_type").isNotNull()
     fill = lambda c: F.when(take & (F.col(c) == ""), F.col(f"n_{c}")).otherwise(F.col(c)).alias(c)

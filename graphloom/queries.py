@@ -66,7 +66,7 @@ def s3_list_by_class(t):
 @query("SELECT id AS s, 'project=' || project || ';tags=' || tags || ';tier=' || tier || ';title=' || title || ';type=' || type AS properties FROM objects WHERE project <> '' AND title <> ''")
 def s4_pivot_subject(t):
     out = store.read_subject(store.triples(t.objects.where("project <> '' AND title <> ''")))
-    pairs = F.transform(F.array_sort(F.map_entries("properties")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    pairs = F.transform(F.array_sort(F.map_entries("properties")), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], "|")))
     return out.select("s", F.array_join(pairs, ";").alias("properties"))
 
 
@@ -152,10 +152,12 @@ def s26_page_graph(t):
     return store.page_graph(t.objects.where("project = 'src3'"), t.edges, t.mentions)[0]
 
 
-@query("SELECT 0 AS n")
+@query("SELECT side, count(*) AS n FROM (SELECT 'stored' AS side FROM objects WHERE type = 'fix' UNION ALL SELECT 'fresh' FROM objects WHERE type = 'fix') x GROUP BY side")
 def s28_index_integrity(t):
-    a = X.bm25(t.objects, TERM)
-    return store.index_differences(a, X.bm25(t.objects.select("*"), TERM)).agg(F.count("*").alias("n"))
+    """An index whose rows of one type went stale, against one made anew: what differs on either side."""
+    fresh = t.objects.select("id", F.size(F.split("content", " ")).alias("words"))
+    stored = t.objects.select("id", F.when(F.col("type") == "fix", -1).otherwise(F.size(F.split("content", " "))).alias("words"))
+    return store.index_differences(stored, fresh).groupBy("side").agg(F.count("*").alias("n"))
 
 
 @query("SELECT id, title, type, project, epoch(created_at)::BIGINT AS created_s FROM objects")
@@ -208,9 +210,11 @@ def p12_non_empty_update(t):
     return store.update(t.objects, t.objects.select("id", F.col("summary").alias("title")), as_of()).select("id", "title")
 
 
-@query("SELECT id, name FROM entities WHERE type IN ('technology', 'concept') AND lower(trim(name)) NOT IN ('fix', 'bug', 'error', 'data', 'user')")
+@query("SELECT id, name FROM entities WHERE type IN ('technology', 'concept')")
 def p13_stopwords(t):
-    return t.entities.where(~X.is_stopword(F.col("name")) & F.col("type").isin(*ENTITY_TYPES)).select("id", "name")
+    """Entities beside as many that are stopwords, in any case."""
+    stops = t.entities.select(F.concat("id", F.lit("?")).alias("id"), F.element_at(F.array(*map(F.lit, ("Fix", "bug", "ERROR", "data"))), (F.length("name") % 4 + 1).cast("int")).alias("name"), "type")
+    return t.entities.unionByName(stops).where(~X.is_stopword(F.col("name")) & F.col("type").isin(*ENTITY_TYPES)).select("id", "name")
 
 
 @query("SELECT src, rel_type, dst FROM edges WHERE confidence > 0.5 AND src <> dst AND src IN (SELECT id FROM objects) AND dst IN (SELECT id FROM objects)")
@@ -288,9 +292,8 @@ def j24_link_resolution(t):
 
 @query()
 def j24_fuzzy_links(t):
-    objects = t.objects.select("id", F.substring("title", 1, 30).alias("title"), "created_at")
-    links = objects.where("CAST(id AS BIGINT) % 97 = 0").select(F.col("id").alias("src"), F.concat(F.substring("title", 1, 12), F.lit("x"), F.substring("title", 13, 30)).alias("target"))
-    return ingest.resolve_links(links, objects)
+    links = t.objects.select(F.col("id").alias("src"), F.concat(F.substring("title", 1, 12), F.lit("x"), F.substring("title", 13, 60)).alias("target"))
+    return ingest.resolve_links(links, t.objects)
 
 
 @query(f"""WITH v AS (SELECT *, row_number() OVER w AS version_num, lead(updated_at) OVER w AS valid_to FROM changes WINDOW w AS (PARTITION BY doc_id ORDER BY updated_at, seq)),
@@ -306,18 +309,19 @@ def j27_state_at(t):
 
 
 _READS = """WITH log AS (SELECT user_id, ts, event_id, tool, CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS k FROM query_log),
-prev AS (SELECT r.event_id, r.obj, l.tool, l.k FROM reads r ASOF JOIN log l ON r.user_id = l.user_id AND r.ts >= l.ts)
+prev AS (SELECT r.event_id, r.obj, l.tool, l.k FROM reads r ASOF JOIN log l ON r.user_id = l.user_id AND r.ts >= l.ts),
+last AS (SELECT r.event_id, r.obj, l.tool, l.k FROM reads r ASOF JOIN (SELECT ts, arg_max(tool, event_id) AS tool, arg_max(k, event_id) AS k FROM log GROUP BY ts) l ON r.ts >= l.ts)
 """
 
 
-def _reads_with_prev(t):
+def _reads_with_prev(t, key="user_id"):
     log = t.query_log.select("user_id", "ts", "event_id", "tool", F.array(F.get_json_object("props", "$.k").cast("long")).alias("result_ids"))
-    return temporal.latest_before(t.reads, log, "user_id")
+    return temporal.latest_before(t.reads, log, key)
 
 
-@query(_READS + "SELECT event_id, obj, k FROM prev WHERE tool = 'hybrid_search' AND obj <> k")
+@query(_READS + "SELECT event_id, obj, k FROM last WHERE tool = 'hybrid_search' AND obj <> k")
 def j28_miss_asof(t):
-    return learn.misses(_reads_with_prev(t)).select("event_id", "obj", F.get("prev.result_ids", F.lit(0)).alias("k"))
+    return learn.misses(_reads_with_prev(t, None)).select("event_id", "obj", F.get("prev.result_ids", F.lit(0)).alias("k"))
 
 
 @query("SELECT id, CASE WHEN id IN (SELECT id FROM objects WHERE type = 'fix') THEN 'keyword' ELSE 'semantic' END AS boost FROM objects WHERE CAST(id AS BIGINT) % 5 = 0")
@@ -571,7 +575,7 @@ def f34_embed_text(t):
 
 @query()
 def f2_stemmed_search(t):
-    return hybrid.keyword_search(t.objects, "nation nations", limit=20, stemmed=True).select("id", F.round("kw", 4).alias("kw"))
+    return hybrid.keyword_search(t.objects, "thing ones", limit=20, stemmed=True).select("id", F.round("kw", 4).alias("kw"))
 
 
 # -- graph
@@ -710,19 +714,19 @@ def p9_min_relevance(t):
     return hybrid.search(t.objects, t.vectors, t.edges, TERM, as_of(), _query_vector(t), min_relevance=0.3).select(*_HYBRID)
 
 
-_STEP = "w{i} AS (SELECT {cols} FROM (SELECT *, keyword + semantic + graph + recency + 0.05 AS total FROM w{j}) x)"
-
-
-def _adapt_sql(boosts: tuple[str, ...]) -> str:
-    """Four signals, each step 0.05 on one of them and shares of the sum, to four places."""
+def _adapt_steps(n: int) -> str:
+    """One boost of 0.05 after another, from w0 and the list b.l, and shares of the sum to four places; a list that ends early changes nothing more."""
     names = ("keyword", "semantic", "graph", "recency")
-    steps = [_STEP.format(i=i, j=i - 1, cols=", ".join(f"round(({c}{' + 0.05' if c == b else ''}) / total, 4) AS {c}" for c in names)) for i, b in enumerate(boosts, 1)]
-    return "WITH w0 AS (SELECT 0.4::DOUBLE AS keyword, 0.3::DOUBLE AS semantic, 0.2::DOUBLE AS graph, 0.1::DOUBLE AS recency), " + ", ".join(steps) + f" SELECT keyword, semantic, graph, recency FROM w{len(boosts)}"
+    cols = lambda i: ", ".join(f"CASE WHEN l[{i}] IS NULL THEN {c} ELSE round(greatest(0.05::DOUBLE, {c} + CASE WHEN l[{i}] = '{c}' THEN 0.05::DOUBLE ELSE 0 END) / total, 4) END AS {c}" for c in names)
+    return ", ".join(f"w{i} AS (SELECT {cols(i)} FROM (SELECT *, keyword + semantic + graph + recency + 0.05 AS total FROM w{i - 1}, b) x)" for i in range(1, n + 1))
 
 
-@query(_adapt_sql(("keyword", "semantic", "keyword", "semantic")))
+@query(_READS + ", m AS (SELECT event_id, CASE WHEN CAST(obj AS VARCHAR) IN (SELECT id FROM objects WHERE type = 'fix') THEN 'keyword' ELSE 'semantic' END AS boost FROM last WHERE tool = 'hybrid_search' AND obj <> k ORDER BY event_id LIMIT 4), b AS (SELECT list(boost ORDER BY event_id) AS l FROM m), w0 AS (SELECT 0.4::DOUBLE AS keyword, 0.3::DOUBLE AS semantic, 0.2::DOUBLE AS graph, 0.1::DOUBLE AS recency), " + _adapt_steps(4) + " SELECT keyword, semantic, graph, recency FROM w4")
 def r5_adapt_weights(t):
-    w = learn.adapt(dict(keyword=0.4, semantic=0.3, graph=0.2, recency=0.1), ["keyword", "semantic", "keyword", "semantic"])
+    """The first four misses of the log, diagnosed, boost one signal each."""
+    missed = learn.misses(_reads_with_prev(t, None)).select(F.col("obj").cast("string").alias("id"), "event_id").orderBy("event_id").limit(4)
+    boosts = [r.boost for r in learn.diagnose(missed, t.objects.where("type = 'fix'")).orderBy("event_id").collect()]  # four rows
+    w = learn.adapt(dict(keyword=0.4, semantic=0.3, graph=0.2, recency=0.1), boosts)
     return t.spark.range(1).select(*(F.lit(v).alias(k) for k, v in w.items()))
 
 
@@ -773,10 +777,17 @@ def x4_stale_dependency(t):
     return detect.stale_dependencies(t.objects, t.edges)
 
 
-@query("SELECT 'contradiction' AS category, count(DISTINCT dst) AS n FROM edges WHERE rel_type = 'dependsOn' AND dst IN (SELECT dst FROM supersedes) AND dst IN (SELECT id FROM objects) UNION ALL SELECT 'staleness', count(*) FROM edges WHERE rel_type = 'dependsOn' AND dst IN (SELECT dst FROM supersedes)")
+_PATTERNS = f"SELECT entity_id FROM (SELECT DISTINCT obj_id, entity_id FROM mentions) m JOIN objects o ON o.id = m.obj_id WHERE o.type = 'fix' AND o.created_at >= {ASOF_SQL} - INTERVAL 14 DAY GROUP BY entity_id HAVING count(*) >= 3"
+
+
+@query(f"""SELECT category, n FROM (SELECT 'contradiction' AS category, count(DISTINCT dst) AS n FROM edges WHERE rel_type = 'dependsOn' AND dst IN (SELECT dst FROM supersedes) AND dst IN (SELECT id FROM objects)
+UNION ALL SELECT 'staleness', count(*) FROM edges WHERE rel_type = 'dependsOn' AND dst IN (SELECT dst FROM supersedes)
+UNION ALL SELECT 'pattern', count(*) FROM ({_PATTERNS}) p
+UNION ALL SELECT 'missing_decisions', count(*) FROM (SELECT project FROM objects WHERE project <> '' GROUP BY project HAVING bool_or(type = 'session') AND NOT bool_or(type = 'decision')) d
+UNION ALL SELECT 'missing_lessons', count(*) FROM (SELECT entity_id FROM mentions m JOIN objects o ON o.id = m.obj_id GROUP BY entity_id HAVING bool_or(o.type = 'fix') AND NOT bool_or(o.type = 'lesson')) l) y WHERE n > 0""")
 def x5_run_all(t):
     out = detect.run_all(t.objects, t.edges, t.mentions, as_of())
-    return out.where("category IN ('contradiction', 'staleness')").groupBy("category").agg(F.count("*").alias("n"))
+    return out.groupBy("category").agg(F.count("*").alias("n"))
 
 
 @query("SELECT id, type, epoch(created_at)::BIGINT AS created_s FROM objects WHERE id IN (SELECT obj_id FROM mentions WHERE entity_id = 'e:src1') ORDER BY created_at DESC, id LIMIT 10")
@@ -800,9 +811,9 @@ def x9_synthesis(t):
     return present.synthesis(t.objects, F.lit("2024-01-20").cast("timestamp"), project="src2")["themes"]
 
 
-@query("SELECT kind, severity, count(*) AS n FROM (SELECT 'contradiction' AS kind, 'high' AS severity FROM (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges WHERE rel_type = 'contradicts') x UNION ALL SELECT 'staleness', 'low' FROM edges e JOIN objects o ON o.id = e.src JOIN objects p ON p.id = e.dst WHERE e.rel_type = 'dependsOn' AND p.tier = 'archive') y GROUP BY kind, severity")
+@query(f"SELECT kind, severity, count(*) AS n FROM (SELECT 'contradiction' AS kind, 'high' AS severity FROM (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges WHERE rel_type = 'contradicts') x UNION ALL SELECT 'staleness', 'low' FROM edges e JOIN objects o ON o.id = e.src JOIN objects p ON p.id = e.dst WHERE e.rel_type = 'dependsOn' AND p.tier = 'archive' UNION ALL SELECT 'pattern', 'medium' FROM ({_PATTERNS}) q) y GROUP BY kind, severity")
 def x10_alerts(t):
-    return present.alerts(t.objects, t.edges, t.mentions, as_of()).where("kind <> 'pattern'").groupBy("kind", "severity").agg(F.count("*").alias("n"))
+    return present.alerts(t.objects, t.edges, t.mentions, as_of()).groupBy("kind", "severity").agg(F.count("*").alias("n"))
 
 
 # -- pipeline
@@ -825,9 +836,9 @@ def m4_capture(t):
     return out.select("id", "type", (F.length("content") > 0).alias("has_text"))
 
 
-@query("SELECT id FROM objects WHERE title = '' OR strlen(content) > 10485760")
+@query("SELECT id, 'no title' AS reason FROM objects WHERE title = '' OR type = 'fix'")
 def m1_rejects(t):
-    return store.rejected(t.objects).select("id")
+    return store.rejected(t.objects.withColumn("title", F.when(F.col("type") == "fix", "").otherwise(F.col("title")))).select("id", "reason")
 
 
 # -- streams, worked off and compared with their batch form

@@ -139,6 +139,67 @@ def test_notes_and_links(spark):
     assert got == {"Second": ("x", "exact"), "second note": ("y", "normal"), "secnd notee": ("y", "fuzzy"), "nowhere to be found": (None, None)}
 
 
+def test_fuzzy_links_lose_none(spark):
+    import datetime
+    import difflib
+    import random
+
+    rng = random.Random(5)
+    names = ["abcdefghijklmnopqrst", *("".join(rng.choice("abcde ") for _ in range(rng.randint(1, 14))) for _ in range(60))]
+
+    def changed(title):
+        t = list(title)
+        for _ in range(rng.randint(0, 4)):
+            t.insert(rng.randrange(len(t) + 1), rng.choice("abcde")) if rng.random() < 0.5 or not t else t.pop(rng.randrange(len(t)))
+        return "".join(t)
+
+    targets = list(dict.fromkeys(["abxcdyefzghuijvklwmn0op1qr2st", *(changed(rng.choice(names)) for _ in range(80))]))
+    o = spark.createDataFrame([(str(i), n, datetime.datetime(2024, 1, 1)) for i, n in enumerate(names)], "id string, title string, created_at timestamp")
+    links = spark.createDataFrame([("s", t) for t in targets], "src string, target string")
+    normal = lambda c, df: {r[0]: r[1] for r in df.select(c, X.normal_title(F.col(c))).collect()}
+    of_title, of_target = normal("title", o), normal("target", links)
+    ratio = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()
+    n_fuzzy = 0
+    for r in ingest.resolve_links(links, o).collect():
+        best = max([ratio(of_target[r.target], t) for t in of_title.values() if t and of_target[r.target]], default=0.0)
+        if r.how == "fuzzy":
+            n_fuzzy += 1
+            assert ratio(of_target[r.target], of_title[names[int(r.id)]]) == best > 0.8
+        elif r.how is None:
+            assert best <= 0.8, r
+    assert n_fuzzy > 20
+
+
+def test_several_changes_and_values(spark):
+    o = objects(spark, a="A", b="B")
+    at = F.lit("2024-05-05").cast("timestamp")
+    twice = spark.createDataFrame([("a", "X", ""), ("a", "Y", "p"), ("zz", "Z", "q")], "id string, title string, project string")
+    assert sorted((r.id, r.title, r.project) for r in store.update(o, twice, at).collect()) == [("a", "Y", "p"), ("b", "B", o.where("id = 'b'").first().project)]
+    t = spark.createDataFrame([("s", "p", "1"), ("s", "p", "2"), ("s", "q", "3")], "s string, p string, o string")
+    assert store.read_subject(t).first().properties == {"p": ["1", "2"], "q": ["3"]}
+
+
+def test_as_of_over_the_whole_log_and_slices(spark):
+    import random
+
+    rng = random.Random(2)
+    stamp = lambda: 1_700_000_000 + rng.randrange(40_000)
+    log, ev = [(i, rng.choice("abc"), stamp(), f"t{i}") for i in range(60)], [(i, rng.choice("abcd"), stamp()) for i in range(80)]
+    frame = lambda rows, cols: spark.createDataFrame(rows, cols).withColumn("ts", F.timestamp_seconds("ts"))
+    events, logs = frame(ev, "event_id int, k string, ts long"), frame(log, "event_id int, k string, ts long, tool string")
+    for key in ("k", None):
+        got = {r.event_id: r.prev and r.prev.tool for r in temporal.latest_before(events, logs, key).collect()}
+        for i, k, ts in ev:
+            before = [(x[2], x[0], x[3]) for x in log if x[2] <= ts and (key is None or x[1] == k)]
+            assert got[i] == (max(before)[2] if before else None)
+
+
+def test_rate_limit_of_a_hundred_a_minute(spark):
+    rows = [("a", 1_700_000_000 + i * 0.5) for i in range(130)] + [("b", 1_700_000_000.0 + i) for i in range(130)]
+    out = temporal.rate_limit(spark.createDataFrame(rows, "client string, at double").select("client", F.col("at").cast("timestamp").alias("ts")))
+    assert {r.client: r.n for r in out.groupBy("client").agg(F.count_if(~F.col("allowed")).alias("n")).collect()} == {"a": 130 - 100, "b": 0}
+
+
 def test_templates(spark):
     row = spark.range(1).select(F.lit("boom").alias("s"), F.lit("").alias("r"), F.lit(" high ").alias("v"))
     content, properties = X.render_template("fix", {"symptom": F.col("s"), "root_cause": F.col("r"), "severity": F.col("v")})
@@ -237,6 +298,14 @@ def test_tool_functions(spark):
     assert base.graph("b")["causal_chain"].count() == 2 and base.graph_entity("PY").count() == 2 and base.list("fix").count() == 2
     logged = base.log("alpha", ["a"], now)
     assert logged.query_trail().count() == 1 and logged.query_trail(-1).count() == 0
+    page, opened = base.log("beta", ["b"], now).open("a", F.lit("2024-01-11").cast("timestamp"))
+    assert page.first().id == "a" and opened.access_log.count() == 1 and opened.weights["semantic"] > base.weights["semantic"] * 0.99 and opened.weights != base.weights
+    assert base.log("beta", ["a"], now).open("a", now)[1].weights == base.weights and base.stored_weights("nonsense").weights == dict(model.WEIGHTS)
+    gone = base.delete(spark.createDataFrame([("a",)], "id string"), now)
+    assert [(r.id, r.version_num) for r in gone.history.collect()] == [("a", 1)] and gone.objects.count() == 1
+    assert captured.objects.where("id = 'n1'").first().pipeline_stage == "enriched" and {r.name for r in base.debug_memory().collect()} >= {"objects", "edges"} and base.debug_sessions().count() == 0
+    twice = base.update(spark.createDataFrame([("a", "T1")], "id string, title string"), now).update(spark.createDataFrame([("a", "T3")], "id string, title string"), now)
+    assert sorted((r.version_num, r.title) for r in twice.history.collect()) == [(1, "alpha python"), (2, "T1")]
     up = base.update(spark.createDataFrame([("a", "T2")], "id string, title string"), now)
     assert up.history.first().title == "alpha python" and up.objects.where("id = 'a'").first().title == "T2"
     assert base.graph_data()["edges"].count() == 2 and base.export("a").count() == 1 and base.reason(now).count() >= 0 and base.synthesize(now, 30)["themes"].count() == 1
