@@ -237,7 +237,7 @@ def sequence_ratio(a: Column, b: Column, over: float = -1.0) -> Column:
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([one(p or "", q or "") for p, q in zip(x, y, strict=True)])
 
-    return run(a, b)
+    return run.asNondeterministic()(a, b)  # so that no filter on it is pushed to where there are more rows
 
 
 def parse_front(text: str | None) -> dict[str, str]:
