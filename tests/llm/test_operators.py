@@ -432,6 +432,31 @@ def test_near_groups_equal_brute_force_at_the_border(spark, monkeypatch, cell, s
     assert sorted((r.id, r.keep) for r in near_dedup.near_groups(docs).collect()) == [(i, find(i)) for i in range(len(texts))]
 
 
+def test_sketches_never_show_less_than_sets_have_in_common():
+    rng = np.random.default_rng(7)
+    pool = rng.integers(-(1 << 63), (1 << 63) - 1, 4000)
+    for n, m in ((0, 0), (0, 5), (1, 1), (3, 9), (100, 120), (900, 700), (3000, 3500)):
+        a, b = (np.unique(rng.choice(pool, k, replace=False)) for k in (n, m))
+        common, both = near_dedup.most_common(near_dedup.sketch(a), near_dedup.sketch(b))
+        assert common >= len(np.intersect1d(a, b)) and both == n + m
+    assert near_dedup.sketch(np.arange(0, 1 << 20, 1 << 10)) is None  # a byte is too small: no bound, the pair is compared
+
+
+def test_bitmap_holds_what_is_listed(spark):
+    from pyspark.sql import functions as F
+
+    from graphloom.llm import common
+
+    rng = np.random.default_rng(1)
+    keys = [int(x) for x in rng.integers(-(1 << 63), (1 << 63) - 1, 300)]
+    found = common.bitmap(spark.createDataFrame([(k,) for k in keys[:100]], "k long"), F.col("k"))
+    assert all(common.in_bitmap(found, k) for k in keys[:100]) and sum(common.in_bitmap(found, k) for k in keys[100:]) < 3
+    docs, listed = spark.createDataFrame([(k, "t") for k in keys], "k long, slot string"), spark.createDataFrame([(k,) for k in keys[:100]], "l long")
+    rest, some = common.parted(docs, F.col("k"), listed, F.col("l"))
+    assert rest.columns == some.columns == docs.columns and rest.count() + some.count() == 300
+    assert {r.k for r in some.collect()} >= set(keys[:100]) and some.count() < 103
+
+
 def test_near_dedup_tells_namesakes_apart(spark):
     words = [f"w{i}" for i in range(60)]
     near, clean = " ".join([*words[:59], "other"]), "Quite\t another  text\u00c9 of its own"
