@@ -647,11 +647,53 @@ def test_chroma_search(spark):
     rows = [(i, bytearray(t)) for i, t in tunes.items()] + [(20, bytearray(tunes[3][640:])), (40, bytearray(tunes[4])), (60, None), (80, bytearray(b"")), (40, bytearray(tunes[4])), (None, bytearray(tunes[1]))]
     out = chroma.search(spark.createDataFrame(rows, "id long, data binary"), F.col("id") % 20 == 0, "id", "data").collect()
     got = {r.id: r for r in out}
-    assert len(out) == 6 and got[20].match_id == 3 and got[20].match_offset == 5 and got[20].match_errors == 0
+    assert len(out) == 6 and got[20].match_id == 3 and got[20].match_offset == 640 // chroma.HOP and got[20].match_errors == 0
     assert got[40].class_id == 4 and got[60].n_prints == 0 and got[80].n_classes == 0
     assert chroma.search(spark.createDataFrame([], "id long, data binary"), F.col("id") % 20 == 0, "id", "data").count() == 0
 
 
+def test_chroma_prints_do_not_depend_on_the_batch():
+    data = [_tune(1), b"short", _tune(2)[77:], b"", bytes(5000), _tune(3)]
+    for one, among in zip(data, chroma.prints_of(data), strict=True):
+        assert np.array_equal(chroma.fingerprint(one), among)
+
+
+def test_chroma_search_by_brute_force(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(1)
+    noisy = lambda x, k: np.clip(np.frombuffer(x, np.uint8).astype(int) + rng.integers(-k, k + 1, len(x)), 0, 255).astype(np.uint8).tobytes()
+    data = [_tune(i) for i in range(8)]
+    data += [noisy(_tune(i)[32 * i :], i) for i in range(8)] + [_tune(1)[2048:6000], _tune(1) * 3, bytes(3000), bytes(4000), b"ab" * 2000, b"x" * 200, b"y" * 200, b"x" * 200, None, b""]
+    data += [noisy(_tune(5), 2 + i) for i in range(12)]
+    rows = [(i, None if x is None else bytearray(x), "c", 1, 2) for i, x in enumerate(data)] + [(0, bytearray(data[0]), "c", 1, 2), (None, bytearray(data[2]), "c", 1, 2)]
+    media = spark.createDataFrame(rows, "id long, data binary, class string, least int, prints int").repartition(3).cache()
+    steps = chroma.fit(media, "data")
+    old, chroma.fit = chroma.fit, lambda *_: steps  # a sample of a table without files is its first rows
+    cell, chroma.CELL_ROWS = chroma.CELL_ROWS, 4  # pairs and tokens in several cells
+    try:
+        out = chroma.search(media, F.col("id") % 2 == 0, "id", "data").collect()
+    finally:
+        chroma.fit, chroma.CELL_ROWS = old, cell
+    prints = {i: chroma.fingerprint(x or b"", steps) for i, x in enumerate(data)}
+    one = lambda i: prints[i].tobytes() or data[i] or b""
+    least = {}
+    for i in prints:
+        least.setdefault(one(i), i)
+    expected = {}
+    for i in range(0, len(data), 2):
+        found = []
+        for j in least.values():
+            if one(j) != one(i) and (got := chroma.align(prints[j], prints[i])) and got[1] >= chroma.OVERLAP and got[2] <= chroma.ERRORS:
+                found.append((got[2], -got[1], j, got[0]))
+        expected[i] = (len(prints[i]), least[one(i)], len(found), min(x[:3] for x in found) if found else None)
+    assert len(out) == len(data) // 2 + len(data) % 2 + 1
+    for r in out:
+        best = None if r.match_id is None else (r.match_errors, -r.match_overlap, r.match_id)
+        assert (r.n_prints, r.class_id, r.n_classes, best) == expected[r.id], r
+    assert sum(e[2] for e in expected.values()) > 10
+
+
 # -- the pipeline
 
 
