@@ -61,6 +61,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(write_table(df, name))
 
 
+def numbered(df: DataFrame, name: str, column: str) -> DataFrame:
+    """df as a written table with its rows numbered from 0 without gaps in `column`: along the partitions' order, and in each as its rows come.
+
+    Only the partitions' counts pass through the driver.
+    """
+    spark = df.sparkSession
+    at = F.monotonically_increasing_id()
+    told = materialize(df.withColumn("__part", F.shiftright(at, 33)).withColumn("__seq", at.bitwiseAND(F.lit((1 << 33) - 1))), name)
+    counts = sorted((r["__part"], r["count"]) for r in told.groupBy("__part").count().collect())
+    starts, total = [], 0
+    for part, n in counts:
+        starts.append((part, total))
+        total += n
+    before = spark.createDataFrame(starts, "__part long, __start long")
+    return told.join(F.broadcast(before), "__part").withColumn(column, F.col("__start") + F.col("__seq")).drop("__part", "__seq", "__start")
+
+
 def drop_table(spark: SparkSession, path: str) -> None:
     """Delete a written table through Hadoop's file system, which knows every store that Spark can write to."""
     jvm = spark.sparkContext._jvm

@@ -61,3 +61,18 @@ best AS (
   QUALIFY row_number() OVER (PARTITION BY rid ORDER BY length(rule) DESC, verdict DESC) = 1)
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u LEFT JOIN best USING (rid)
 """
+
+ORACLE["op11_ego_join"] = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+v AS MATERIALIZED (
+  SELECT * FROM d WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0
+    AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS MATERIALIZED (
+  SELECT a.rid AS a, b.rid AS b FROM v a JOIN v b ON a.label = b.label AND a.rid <> b.rid AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98::DOUBLE),
+r(a, b) AS (SELECT rid, rid FROM d UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+c AS (SELECT a AS rid, min(d.vec_id) AS component_id FROM r JOIN d ON d.rid = r.b GROUP BY a),
+n AS (SELECT a AS rid, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept
+FROM d JOIN c USING (rid) LEFT JOIN n USING (rid)
+"""

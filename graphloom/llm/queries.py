@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chroma, mixing, ngram_lm, packing, quality_classifier, quality_rules, secrets, sharding, simhash, url_filter
+from . import chroma, ego_join, mixing, ngram_lm, packing, quality_classifier, quality_rules, secrets, sharding, simhash, url_filter
 
 #: Rules of the url query: (verdict, host/path).
 URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
@@ -61,7 +61,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rule_table(spark, URL_RULES))
 
 
-_ALL = (op1_quality_rules, op2_packing, op3_quality_classifier, op4_mixing, op5_sharding, op6_chroma, op7_simhash, op8_secrets, op9_katz_lm, op10_url_filter)
+def op11_ego_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ego_join.near_vectors(table(spark, sf_dir, "embeddings"), columns=["vec_id"])
+
+
+_ALL = (op1_quality_rules, op2_packing, op3_quality_classifier, op4_mixing, op5_sharding, op6_chroma, op7_simhash, op8_secrets, op9_katz_lm, op10_url_filter, op11_ego_join)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 
