@@ -76,3 +76,29 @@ n AS (SELECT a AS rid, count(*) AS n FROM l GROUP BY a)
 SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept
 FROM d JOIN c USING (rid) LEFT JOIN n USING (rid)
 """
+
+ORACLE["op12_collocations"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, 'und') AS lang,
+    string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces
+  FROM documents),
+p AS (SELECT lang, regexp_extract_all(unnest(pieces), '[^\x20\x09]+') AS w FROM d),
+o AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p),
+g AS (
+  SELECT lang, phrase, m, count(*) AS f
+  FROM (SELECT lang, m, w[i : i + m - 1] AS phrase FROM o, (VALUES (1), (2), (3)) AS ms(m) WHERE i + m - 1 <= len(w))
+  GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE m = 1 GROUP BY lang),
+c AS (SELECT * FROM g WHERE m > 1 AND f >= 10),
+k AS (SELECT *, unnest(range(1, m)) AS cut FROM c),
+s AS (
+  SELECT k.lang, k.phrase, k.m, k.f AS a, l.f AS l, r.f AS r, cut, (1000000::HUGEINT * k.f * k.f) // (l.f::HUGEINT * r.f) AS score
+  FROM k JOIN g AS l ON l.lang = k.lang AND l.phrase = k.phrase[1 : cut] JOIN g AS r ON r.lang = k.lang AND r.phrase = k.phrase[cut + 1 : ]
+  QUALIFY row_number() OVER (PARTITION BY k.lang, k.phrase ORDER BY score, cut) = 1),
+inner2 AS (SELECT lang, phrase[i : i + 1] AS phrase, max(f) AS longer FROM (SELECT lang, phrase, f, unnest([1, 2]) AS i FROM c WHERE m = 3) GROUP BY ALL),
+kept AS (
+  SELECT s.* FROM s LEFT JOIN inner2 AS x ON x.lang = s.lang AND x.phrase = s.phrase WHERE x.longer IS NULL OR 100 * x.longer < 50 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(phrase, ' ')) AS rank FROM kept)
+SELECT lang, rank::BIGINT AS rank, array_to_string(phrase, ' ') AS phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
