@@ -102,3 +102,31 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a
 SELECT lang, rank::BIGINT AS rank, array_to_string(phrase, ' ') AS phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
 FROM ranked JOIN n USING (lang) WHERE rank <= 2000
 """
+
+# CRC-32 of a word's UTF-8 bytes: the table by eight conditional shifts, then one step a byte.
+ORACLE["op13_importance"] = r"""
+WITH RECURSIVE t AS MATERIALIZED (
+  SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i) ORDER BY i) AS crc FROM range(256) AS r(i)),
+words AS (
+  SELECT 'd' AS side, doc_id, row_number() OVER () AS rid, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL
+  SELECT 't', NULL, NULL, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+o AS (SELECT side, rid, unnest(w) AS word FROM words),
+u AS (SELECT side, word, count(*) AS n FROM o GROUP BY ALL),
+h AS (
+  SELECT word, xor(list_reduce(list_transform(range(length(hex(encode(word))) // 2), lambda i: ('0x' || substr(hex(encode(word)), 2 * i + 1, 2))::BIGINT),
+      lambda c, b: xor(c // 256, crc[xor(c % 256, b) + 1]), 4294967295::BIGINT), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT word FROM u), t),
+s AS (SELECT bucket, coalesce(sum(n) FILTER (side = 'd'), 0) AS s, coalesce(sum(n) FILTER (side = 't'), 0) AS t FROM u JOIN h USING (word) GROUP BY bucket),
+g AS (
+  SELECT bucket, floor(1000 * ln(((t + 1) * (all_s + 10000))::DOUBLE / ((s + 1) * (all_t + 10000))::DOUBLE))::BIGINT AS gain
+  FROM s, (SELECT sum(s) AS all_s, sum(t) AS all_t FROM s)),
+w AS (SELECT rid, sum(gain)::BIGINT AS weight FROM o JOIN h USING (word) JOIN g USING (bucket) WHERE side = 'd' GROUP BY rid),
+v AS (
+  SELECT rid, doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM words LEFT JOIN w USING (rid) WHERE side = 'd'),
+r AS (
+  SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features DESC, weight DESC) AS rank, count(*) OVER () AS n FROM v WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM v LEFT JOIN r USING (rid)
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chroma, collocations, ego_join, mixing, ngram_lm, packing, quality_classifier, quality_rules, secrets, sharding, simhash, url_filter
+from . import chroma, collocations, ego_join, importance, mixing, ngram_lm, packing, quality_classifier, quality_rules, secrets, sharding, simhash, url_filter
 
 #: Rules of the url query: (verdict, host/path).
 URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
@@ -69,7 +69,11 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(table(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_quality_rules, op2_packing, op3_quality_classifier, op4_mixing, op5_sharding, op6_chroma, op7_simhash, op8_secrets, op9_katz_lm, op10_url_filter, op11_ego_join, op12_collocations)
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), columns=["doc_id"])
+
+
+_ALL = (op1_quality_rules, op2_packing, op3_quality_classifier, op4_mixing, op5_sharding, op6_chroma, op7_simhash, op8_secrets, op9_katz_lm, op10_url_filter, op11_ego_join, op12_collocations, op13_importance)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 
