@@ -25,15 +25,19 @@ def query_terms(query: str) -> list[str]:
     return list(dict.fromkeys("".join(c if c.isalnum() else " " for c in query.lower()).split()))
 
 
+def search_terms(query: str, stemmed: bool = False) -> list[str]:
+    """A query's terms as an index holds them."""
+    terms = query_terms(query)
+    return list(dict.fromkeys(porter(fold(t)) for t in terms)) if stemmed else terms
+
+
 def bm25(objects: DataFrame, query: str | list[str], weights: dict[str, float] = FIELD_WEIGHTS, stemmed: bool = False) -> DataFrame:
     """(id, raw): Okapi BM25 over weighted fields, documents that hold every term only.
 
     One scan counts the query's terms per document and one aggregate row holds the corpus statistics; no postings are
     exploded or shuffled.  A blank query has no rows.
     """
-    terms = query_terms(query) if isinstance(query, str) else query
-    if stemmed:
-        terms = list(dict.fromkeys(porter(fold(t)) for t in terms))
+    terms = search_terms(query if isinstance(query, str) else " ".join(query), stemmed)
     if not terms:
         return objects.select("id", F.lit(0.0).alias("raw")).limit(0)
     split = stems if stemmed else tokens

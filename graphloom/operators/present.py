@@ -23,12 +23,12 @@ def document(objects: DataFrame, edges: DataFrame, mentions: DataFrame, entities
     return with_entities(with_relationships(objects, edges), mentions, entities)
 
 
-def dossier(topic: str, objects: DataFrame, edges: DataFrame, mentions: DataFrame, entities: DataFrame, limit: int = 20, listed: int = 10) -> dict[str, DataFrame]:
+def dossier(topic: str, objects: DataFrame, edges: DataFrame, mentions: DataFrame, entities: DataFrame, limit: int = 20, listed: int = 10, index=None) -> dict[str, DataFrame]:
     """All about an entity, or where there is none about the best `limit` texts: objects (the `listed` newest), timeline, contradictions among them, entities."""
     known = entities.where(F.lower("name") == topic.lower()).select(F.col("id").alias("entity_id"))
     by_entity = objects.join(mentions.join(known, "entity_id", "left_semi"), objects.id == F.col("obj_id"), "left_semi")
     if known.isEmpty():
-        scores = X.bm25(objects, topic).orderBy(F.desc("raw"), "id").limit(limit)
+        scores = (X.bm25(objects, topic) if index is None else index.search(X.search_terms(topic, index.manifest["stemmed"]), limit)).orderBy(F.desc("raw"), "id").limit(limit)
         own = objects.join(scores.select("id"), "id", "left_semi")
     else:
         own = by_entity

@@ -10,14 +10,15 @@ from graphloom.functions import text as X
 from graphloom.model import WEIGHTS
 from graphloom.operators import graph
 from graphloom.operators.store import degree, equals
+from graphloom.sources.text_index import TextIndex
 
 OVERFETCH = 3
 
 
-def keyword_search(objects: DataFrame, query: str, kind: str = "", project: str = "", limit: int = 20, stemmed: bool = False) -> DataFrame:
-    """(id, raw, kw, kw_rank): best first; kw is the share of the best score."""
-    scores = X.bm25(objects, query, stemmed=stemmed)
-    if kind or project:
+def keyword_search(objects: DataFrame, query: str, kind: str = "", project: str = "", limit: int = 20, stemmed: bool = False, index: TextIndex | None = None) -> DataFrame:
+    """(id, raw, kw, kw_rank): best first; kw is the share of the best score.  With a stored index only its terms' rows are read, else all texts."""
+    scores = X.bm25(objects, query, stemmed=stemmed) if index is None else index.search(X.search_terms(query, index.manifest["stemmed"]), limit, type=kind, project=project)
+    if index is None and (kind or project):
         scores = scores.join(equals(objects, type=kind, project=project).select("id"), "id", "left_semi")
     top = scores.orderBy(F.desc("raw"), "id").limit(limit)
     everything = Window.partitionBy(F.lit(1))  # at most `limit` rows
@@ -34,7 +35,7 @@ def semantic_search(vectors: DataFrame, query: list[float], limit: int = 20) ->
 
 def search(
     objects: DataFrame, vectors: DataFrame | None, edges: DataFrame, query: str, as_of: Column, query_vector: list[float] | None = None, mentions: DataFrame | None = None, entities: DataFrame | None = None, kind: str = "",
-    project: str = "", entity: str = "", limit: int = 20, min_relevance: float = 0.0, weights: dict[str, float] = WEIGHTS, strict_entity: bool = False, prefilter: bool = False, stemmed: bool = False,
+    project: str = "", entity: str = "", limit: int = 20, min_relevance: float = 0.0, weights: dict[str, float] = WEIGHTS, strict_entity: bool = False, prefilter: bool = False, stemmed: bool = False, index: TextIndex | None = None,
 ) -> DataFrame:
     """(id, title, type, project, created_at, score, keyword, semantic, graph, recency), best first.
 
@@ -43,7 +44,7 @@ def search(
     legs is broadcast by size; ties are ordered by keyword rank, then semantic rank, then id.
     """
     n = limit * OVERFETCH
-    kw = keyword_search(objects, query, kind, project, n, stemmed).drop("raw")
+    kw = keyword_search(objects, query, kind, project, n, stemmed, index).drop("raw")
     if vectors is not None and query_vector is not None and query.strip():
         own = vectors.join(equals(objects, type=kind, project=project).select("id"), "id", "left_semi") if prefilter else vectors
         sem = semantic_search(own, query_vector, n)

@@ -13,6 +13,7 @@ from graphloom.model import ENTITY_TYPES, OBJECT_TYPES, REL_TYPES
 from graphloom.operators import detect, graph, ingest, learn, metrics, present, store, temporal
 from graphloom.plans import hybrid, pipeline
 from graphloom.sources.mapping import Sample, duckdb_sql
+from graphloom.sources.text_index import TextIndex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -152,12 +153,11 @@ def s26_page_graph(t):
     return store.page_graph(t.objects.where("project = 'src3'"), t.edges, t.mentions)[0]
 
 
-@query("SELECT side, count(*) AS n FROM (SELECT 'stored' AS side FROM objects WHERE type = 'fix' UNION ALL SELECT 'fresh' FROM objects WHERE type = 'fix') x GROUP BY side")
+@query("SELECT id, CASE type WHEN 'fix' THEN 'differs' WHEN 'idea' THEN 'missing' ELSE 'surplus' END AS fault FROM objects WHERE type IN ('fix', 'idea', 'source')")
 def s28_index_integrity(t):
-    """An index whose rows of one type went stale, against one made anew: what differs on either side."""
-    fresh = t.objects.select("id", F.size(F.split("content", " ")).alias("words"))
-    stored = t.objects.select("id", F.when(F.col("type") == "fix", -1).otherwise(F.size(F.split("content", " "))).alias("words"))
-    return store.index_differences(stored, fresh).groupBy("side").agg(F.count("*").alias("n"))
+    """A stored index that was not told of changes - texts that changed, objects that came and that went - against the objects as they are."""
+    before = t.objects.where("type <> 'idea'").withColumn("content", F.when(F.col("type") == "fix", F.concat("content", F.lit(" outdated"))).otherwise(F.col("content")))
+    return TextIndex.of(before).check(t.objects.where("type <> 'source'"))
 
 
 @query("SELECT id, title, type, project, epoch(created_at)::BIGINT AS created_s FROM objects")
@@ -664,12 +664,12 @@ bm AS (SELECT id, {s} AS raw FROM tf, st WHERE {' AND '.join(f'tf{i} > 0' for i
 
 @query(f"WITH {_bm25_sql(['that'])} SELECT id, round(raw, 6) AS score FROM bm ORDER BY raw DESC, id LIMIT 20")
 def r1_bm25_topk(t):
-    return hybrid.keyword_search(t.objects, TERM).select("id", F.round("raw", 6).alias("score"))
+    return hybrid.keyword_search(t.objects, TERM, index=TextIndex.of(t.objects)).select("id", F.round("raw", 6).alias("score"))
 
 
 @query(f"WITH {_bm25_sql(['with', 'from'])} SELECT id, round(raw, 6) AS score FROM bm JOIN objects USING (id) WHERE project = 'src8' ORDER BY raw DESC, id LIMIT 20")
 def r1_bm25_conjunctive(t):
-    return hybrid.keyword_search(t.objects, TWO_TERMS, project="src8").select("id", F.round("raw", 6).alias("score"))
+    return hybrid.keyword_search(t.objects, TWO_TERMS, project="src8", index=TextIndex.of(t.objects)).select("id", F.round("raw", 6).alias("score"))
 
 
 def _query_vector(t) -> list[float]:
@@ -701,17 +701,17 @@ _HYBRID = ("id", "title", "type", "project", "score", "keyword", "semantic", "gr
 
 @query(_hybrid_sql())
 def r3_hybrid_search(t):
-    return hybrid.search(t.objects, t.vectors, t.edges, TERM, as_of(), _query_vector(t)).select(*_HYBRID)
+    return hybrid.search(t.objects, t.vectors, t.edges, TERM, as_of(), _query_vector(t), index=TextIndex.of(t.objects)).select(*_HYBRID)
 
 
 @query(_hybrid_sql("project = 'src10'"))
 def r3_hybrid_filtered(t):
-    return hybrid.search(t.objects, t.vectors, t.edges, TERM, as_of(), _query_vector(t), project="src10").select(*_HYBRID)
+    return hybrid.search(t.objects, t.vectors, t.edges, TERM, as_of(), _query_vector(t), project="src10", index=TextIndex.of(t.objects)).select(*_HYBRID)
 
 
 @query(_hybrid_sql(floor=0.3))
 def p9_min_relevance(t):
-    return hybrid.search(t.objects, t.vectors, t.edges, TERM, as_of(), _query_vector(t), min_relevance=0.3).select(*_HYBRID)
+    return hybrid.search(t.objects, t.vectors, t.edges, TERM, as_of(), _query_vector(t), min_relevance=0.3, index=TextIndex.of(t.objects)).select(*_HYBRID)
 
 
 def _adapt_steps(n: int) -> str:
@@ -797,7 +797,7 @@ def x7_dossier(t):
 
 @query(f"WITH {_bm25_sql(['that'])} SELECT id FROM (SELECT id FROM bm ORDER BY raw DESC, id LIMIT 20) x JOIN objects USING (id) ORDER BY created_at DESC, id LIMIT 10")
 def x7_dossier_by_text(t):
-    return present.dossier(TERM, t.objects, t.edges, t.mentions, t.entities)["objects"].select("id")
+    return present.dossier(TERM, t.objects, t.edges, t.mentions, t.entities, index=TextIndex.of(t.objects))["objects"].select("id")
 
 
 @query("SELECT o.id, count(DISTINCT e.src || e.rel_type || e.dst) AS n FROM objects o LEFT JOIN edges e ON e.src = o.id OR e.dst = o.id WHERE o.id IN ('4', '40', '400') GROUP BY o.id")

@@ -26,3 +26,12 @@ def shared_dir(spark: SparkSession) -> None:
 
             folder = tempfile.mkdtemp(prefix="graphloom-")
         sc.setCheckpointDir(folder)
+
+
+def work_dir(spark: SparkSession) -> str:
+    """The shared folder for stored tables: spark.checkpoint.dir, or in local mode the temporary one that `shared_dir` sets."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    shared_dir(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
