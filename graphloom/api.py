@@ -13,6 +13,7 @@ from graphloom.functions import scoring
 from graphloom.functions.embed import Provider, embed, hashing_provider
 from graphloom.operators import detect, graph, ingest, learn, present, store, temporal
 from graphloom.plans import hybrid, pipeline
+from graphloom.sources.text_index import TextIndex
 
 MOST = 1000
 
@@ -31,19 +32,20 @@ class Engine:
     history: DataFrame | None = None
     weights: dict[str, float] = field(default_factory=lambda: dict(model.WEIGHTS))
     provider: Provider = field(default_factory=hashing_provider)
+    index: TextIndex | None = None
 
     # -- public
 
     def search(self, query: str, now: Column, kind: str = "", project: str = "", entity: str = "", limit: int = 20, min_relevance: float = 0.0, **options) -> DataFrame:
         """Hybrid search with the weights that the engine holds; `adapted` and `stored_weights` change them."""
         vector = [float(x) for x in self.provider([query])[0]] if self.vectors is not None else None
-        return hybrid.search(self.objects, self.vectors, self.edges, query, now, vector, self.mentions, self.entities, model.known_type(kind), project, entity, limit, min_relevance, self.weights, **options)
+        return hybrid.search(self.objects, self.vectors, self.edges, query, now, vector, self.mentions, self.entities, model.known_type(kind), project, entity, limit, min_relevance, self.weights, index=self.index, **options)
 
     def context(self, topic: str, now: Column, limit: int = 10) -> DataFrame:
         return present.briefing(self.search(topic, now, limit=limit))
 
     def dossier(self, topic: str) -> dict[str, DataFrame]:
-        return present.dossier(topic, self.objects, self.edges, self.mentions, self.entities)
+        return present.dossier(topic, self.objects, self.edges, self.mentions, self.entities, index=self.index)
 
     def read(self, prefix: str) -> DataFrame:
         """The document of an id or an unambiguous prefix; several rows where it is ambiguous."""
@@ -58,17 +60,17 @@ class Engine:
         return self.read(prefix), after.adapted(read)
 
     def adapted(self, reads: DataFrame) -> Engine:
-        """Weights after the misses among reads (obj_id, ts): one of the 50 best by keyword boosts the keyword signal, else semantic gains."""
+        """Weights after the misses among reads (obj_id, ts): one of the 50 best by keyword boosts the keyword signal, else semantic gains.
+
+        All misses are diagnosed in one pass; rows of one time go by id and, in the log, by a hash of what they hold, so reruns agree.
+        """
         if self.query_log is None:
             return self
-        log = self.query_log.select(F.col("timestamp").alias("ts"), F.monotonically_increasing_id().alias("event_id"), "tool", "params", F.from_json("result_ids", "array<string>").alias("result_ids"))
-        asked = reads.select(F.col("obj_id").alias("obj"), "ts", F.monotonically_increasing_id().alias("event_id"))
+        log = self.query_log.select(F.col("timestamp").alias("ts"), F.xxhash64("tool", "params", "result_ids").alias("event_id"), "tool", "params", F.from_json("result_ids", "array<string>").alias("result_ids"))
+        asked = reads.select(F.col("obj_id").alias("obj"), "ts", F.xxhash64("obj_id").alias("event_id"))
         missed = learn.misses(temporal.latest_before(asked, log, None)).select(F.col("obj").alias("id"), "ts", F.get_json_object("prev.params", "$.query").alias("query"))
-        boosts = []
-        for m in missed.orderBy("ts", "id").collect():  # the misses of a session
-            best = hybrid.keyword_search(self.objects, m.query or "", limit=50).where(F.col("id") == m.id)
-            boosts.append("semantic" if best.isEmpty() else "keyword")
-        return replace(self, weights=learn.adapt(dict(self.weights), boosts))
+        told = learn.diagnose_all(missed, self.index or TextIndex.of(self.objects))
+        return replace(self, weights=learn.adapt_runs(dict(self.weights), learn.boost_runs(told, ["ts", "id"])))
 
     def stored_weights(self, text: str | None) -> Engine:
         """The engine with weights read back from the configuration's text; broken ones give the defaults."""
@@ -83,7 +85,7 @@ class Engine:
         full = made.select("id", "type", "title", "content", *(F.lit("").alias(c) for c in ("summary", "project", "tags")), F.lit("archive").alias("tier"), F.lit(1.0).alias("confidence"), F.lit("user").alias("captured_by"), F.lit("ingest").alias("pipeline_stage"), "created_at", F.col("created_at").alias("updated_at"))
         fit = full.join(store.rejected(full).select("id"), "id", "left_anti").join(self.objects.select("id"), "id", "left_anti")
         new, _ = replace(self, objects=fit).pipeline(found)
-        return replace(new, objects=store.insert(self.objects, new.objects))
+        return replace(new, objects=store.insert(self.objects, new.objects), index=self.index and self.index.apply(new.objects))
 
     def link(self, new: DataFrame) -> Engine:
         return replace(self, edges=store.link(self.edges, new))
@@ -113,7 +115,7 @@ class Engine:
     def classify(self, rows: DataFrame, now: Column) -> Engine:
         """Given classifications replace non-empty fields, with confidence 0.9."""
         kind, _ = scoring.classified(F.col("type"), F.lit(0.9))
-        return replace(self, objects=store.update(self.objects, rows.withColumn("type", kind).withColumn("confidence", F.lit(0.9)), now))
+        return replace(self, objects=store.update(self.objects, rows.withColumn("type", kind).withColumn("confidence", F.lit(0.9)), now))._reindexed(rows)
 
     # -- administration
 
@@ -140,7 +142,7 @@ class Engine:
 
     def _without(self, ids: DataFrame) -> Engine:
         o, e, m = store.delete(self.objects, self.edges, self.mentions, ids)
-        return replace(self, objects=o, edges=e, mentions=m, vectors=self.vectors and self.vectors.join(ids.select("id"), "id", "left_anti"))
+        return replace(self, objects=o, edges=e, mentions=m, vectors=self.vectors and self.vectors.join(ids.select("id"), "id", "left_anti"), index=self.index and self.index.apply(gone=ids))
 
     def delete_entity(self, ids: DataFrame) -> Engine:
         gone = ids.select("id")
@@ -148,7 +150,17 @@ class Engine:
 
     def update(self, changes: DataFrame, now: Column) -> Engine:
         """Partial update; the rows as they were go to the history with a version number."""
-        return replace(self.kept_versions(changes, now), objects=store.update(self.objects, changes, now))
+        return replace(self.kept_versions(changes, now), objects=store.update(self.objects, changes, now))._reindexed(changes)
+
+    def _reindexed(self, ids: DataFrame) -> Engine:
+        """The engine with its index told of the present rows of ids."""
+        if self.index is None:
+            return self
+        return replace(self, index=self.index.apply(self.objects.join(ids.select("id").distinct(), "id", "left_semi")))
+
+    def with_index(self) -> Engine:
+        """Keep a stored text index from now on; searches read it, and every change of objects is applied to it."""
+        return replace(self, index=TextIndex.of(self.objects))
 
     def unlink(self, gone: DataFrame) -> Engine:
         return replace(self, edges=store.unlink(self.edges, gone))

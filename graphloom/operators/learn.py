@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions import text as X
 from graphloom.functions.scoring import rebalance
+from graphloom.model import WEIGHTS
+from graphloom.sources.text_index import TextIndex
 
 PROMOTE_AT = 10
+SIGNALS = tuple(WEIGHTS)
 
 
 def access_stats(log: DataFrame) -> DataFrame:
@@ -34,6 +41,56 @@ def diagnose(missed: DataFrame, keyword_top: DataFrame) -> DataFrame:
     return missed.join(hit, "id", "left").withColumn("boost", F.coalesce("__boost", F.lit("semantic"))).drop("__boost")
 
 
+def diagnose_all(missed: DataFrame, index: TextIndex, limit: int = 50) -> DataFrame:
+    """missed (id, query, ...) with the signal to boost: keyword where the document is among the query's best `limit` by keywords, else semantic.
+
+    All queries are searched in one pass; a query that many rows missed is searched once.
+    """
+    asked = missed.select(F.col("query").alias("query_id"), X.tokens(F.col("query")).alias("terms")).distinct()
+    best = index.search_many(asked, limit).select(F.col("query_id").alias("query"), "id", F.lit("keyword").alias("__boost"))
+    return missed.join(best, ["query", "id"], "left").select(*missed.columns, F.coalesce("__boost", F.lit("semantic")).alias("boost"))
+
+
+def boost_runs(boosts: DataFrame, order: list[str]) -> list[tuple[str, int]]:
+    """The boosts (boost, order columns) as runs of equal ones in order.
+
+    Sorted by range and put into runs where they lie; a partition sends its runs as one row, so the driver gets two numbers for each change
+    of the signal and no row of the log.
+    """
+    names = sorted(SIGNALS)
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signals, counts = [], []
+        for batch in batches:
+            for b in batch.column(0).to_pylist():
+                if signals and signals[-1] == b:
+                    counts[-1] += 1
+                else:
+                    signals.append(b)
+                    counts.append(1)
+        if signals:
+            yield pa.RecordBatch.from_pydict({"signals": pa.array([[names.index(s) for s in signals]], pa.list_(pa.int8())), "counts": pa.array([counts], pa.list_(pa.int64()))})
+
+    ordered = boosts.repartitionByRange(*order).sortWithinPartitions(*order).select("boost").mapInArrow(runs, "signals array<tinyint>, counts array<long>")
+    rows = ordered.withColumn("part", F.spark_partition_id()).collect()
+    out: list[tuple[str, int]] = []
+    for r in sorted(rows, key=lambda r: r.part):
+        for s, n in zip(r.signals, r.counts, strict=True):
+            out.append((names[s], n))
+    return out
+
+
+def adapt_runs(weights: dict[str, float], runs: list[tuple[str, int]], step: float = 0.05) -> dict[str, float]:
+    """Weights after runs of boosts, oldest first.  Rounded weights come to rest within a run; the rest of it then changes nothing."""
+    for signal, n in runs:
+        for _ in range(n):
+            new = adapt(weights, [signal], step)
+            if new == weights:
+                break
+            weights = new
+    return weights
+
+
 def adapt(weights: dict[str, float], boosts: list[str], step: float = 0.05) -> dict[str, float]:
     """Weights after a run of boosts, oldest first.  The list is a session's misses, a few at most."""
     for b in boosts:

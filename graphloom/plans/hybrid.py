@@ -9,7 +9,7 @@ from graphloom.functions import scoring as S
 from graphloom.functions import text as X
 from graphloom.model import WEIGHTS
 from graphloom.operators import graph
-from graphloom.operators.store import degree, equals
+from graphloom.operators.store import equals
 from graphloom.sources.text_index import TextIndex
 
 OVERFETCH = 3
@@ -56,7 +56,8 @@ def search(
         known = entities.where(F.lower("name") == entity.lower()).select(F.col("id").alias("entity_id"))
         if strict_entity or not known.isEmpty():
             found = found.join(mentions.join(known, "entity_id", "left_semi").select(F.col("obj_id").alias("id")), "id", "left_semi")
-    ends = degree(_of(edges, merged.select("id")))
+    # Both ends of every edge in one pass; only those of the few candidates are counted.
+    ends = edges.where("rel_type <> 'mentions'").select(F.explode(F.array("src", "dst")).alias("id")).join(F.broadcast(merged.select("id")), "id").groupBy("id").agg(F.count("*").alias("degree"))
     found = found.join(ends, "id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     signals = {"keyword": zero(F.col("kw")), "semantic": zero(F.col("sem")), "graph": S.graph_score(F.col("degree")), "recency": S.recency(F.col("created_at"), as_of)}
@@ -66,14 +67,6 @@ def search(
     return scored.orderBy(F.desc("score"), "origin", "id").limit(limit).drop("origin")
 
 
-def _of(edges: DataFrame, ids: DataFrame) -> DataFrame:
-    """Edges that touch a few ids, each once."""
-    few = F.broadcast(ids)
-    src = edges.join(few, edges.src == few.id, "left_semi")
-    dst = edges.join(few, edges.dst == few.id, "left_semi").join(few, F.col("src") == few.id, "left_anti")
-    return src.unionByName(dst)
-
-
 def log_row(spark, query: str, result_ids: list[str], at: Column, tool: str = "hybrid_search", **params) -> DataFrame:
     """One row for the query log."""
     ids = F.array(*map(F.lit, result_ids)) if result_ids else F.array().cast("array<string>")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import scoring as S
 from graphloom.functions import text as X
-from graphloom.model import ENTITY_TYPES, OBJECT_TYPES, REL_TYPES
+from graphloom.model import ENTITY_TYPES, OBJECT_TYPES, REL_TYPES, WEIGHTS
 from graphloom.operators import detect, graph, ingest, learn, metrics, present, store, temporal
 from graphloom.plans import hybrid, pipeline
 from graphloom.sources.mapping import Sample, duckdb_sql
@@ -324,9 +324,34 @@ def j28_miss_asof(t):
     return learn.misses(_reads_with_prev(t, None)).select("event_id", "obj", F.get("prev.result_ids", F.lit(0)).alias("k"))
 
 
-@query("SELECT id, CASE WHEN id IN (SELECT id FROM objects WHERE type = 'fix') THEN 'keyword' ELSE 'semantic' END AS boost FROM objects WHERE CAST(id AS BIGINT) % 5 = 0")
+#: Every search of the log asked for the first words of the object whose number it holds; each is ranked over all objects, in SQL by one join on terms.
+_DIAGNOSED = _READS + r""", asks AS (SELECT DISTINCT k FROM last WHERE tool = 'hybrid_search' AND obj <> k),
+words AS (SELECT id, list_filter(regexp_split_to_array(lower(coalesce(title, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS a,
+  list_filter(regexp_split_to_array(lower(coalesce(content, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS b, list_filter(regexp_split_to_array(lower(coalesce(tags, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS c FROM objects),
+q AS (SELECT k, list_distinct(list_filter(regexp_split_to_array(lower(array_to_string(string_split(title, ' ')[1:2], ' ')), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS terms FROM asks JOIN objects ON id = CAST(k AS VARCHAR)),
+qt AS (SELECT k, len(terms) AS m, unnest(terms) AS term FROM q),
+flat AS (SELECT id, unnest(a) AS term, 10.0::DOUBLE AS w FROM words UNION ALL SELECT id, unnest(b), 1.0 FROM words UNION ALL SELECT id, unnest(c), 5.0 FROM words),
+tf AS (SELECT id, term, sum(w) AS tf FROM flat WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
+size AS (SELECT id, len(a) + len(b) + len(c) AS l FROM words), st AS (SELECT count(*) AS n_docs, sum(l) / count(*) AS avg_len FROM size),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+part AS (SELECT id, term, greatest(ln((n_docs - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / avg_len)) AS part FROM tf JOIN df USING (term) JOIN size USING (id), st),
+hit AS (SELECT k, id, sum(part ORDER BY term) AS raw FROM qt JOIN part USING (term) GROUP BY k, id, m HAVING count(*) = m),
+best AS (SELECT k, id FROM hit QUALIFY row_number() OVER (PARTITION BY k ORDER BY round(raw, 9) DESC, id) <= 50),
+told AS MATERIALIZED (SELECT x.event_id, x.obj, CASE WHEN b.id IS NULL THEN 'semantic' ELSE 'keyword' END AS boost
+  FROM (SELECT * FROM last WHERE tool = 'hybrid_search' AND obj <> k) x LEFT JOIN best b ON b.k = x.k AND b.id = CAST(x.obj AS VARCHAR))"""
+
+
+def _diagnosed(t) -> DataFrame:
+    """(event_id, ts, obj, boost) of every miss of the log."""
+    asked = t.objects.select(F.col("id").alias("k"), F.array_join(F.slice(F.split("title", " "), 1, 2), " ").alias("query"))
+    missed = learn.misses(_reads_with_prev(t, None)).select("event_id", "ts", F.col("obj").cast("string").alias("id"), F.get("prev.result_ids", F.lit(0)).cast("string").alias("k"))
+    return learn.diagnose_all(missed.join(asked, "k", "left").drop("k"), TextIndex.of(t.objects))
+
+
+@query(_DIAGNOSED + " SELECT event_id, obj, boost FROM told")
 def j29_miss_diagnosis(t):
-    return learn.diagnose(t.objects.where("CAST(id AS BIGINT) % 5 = 0").select("id"), t.objects.where("type = 'fix'"))
+    """Every miss of the log, by the 50 best of its own search; all searches in one pass."""
+    return _diagnosed(t).select("event_id", F.col("id").cast("long").alias("obj"), "boost")
 
 
 @query("SELECT src, rel_type, dst, confidence, inferred_by FROM edges WHERE inferred_by <> ''")
@@ -714,19 +739,17 @@ def p9_min_relevance(t):
     return hybrid.search(t.objects, t.vectors, t.edges, TERM, as_of(), _query_vector(t), min_relevance=0.3, index=TextIndex.of(t.objects)).select(*_HYBRID)
 
 
-def _adapt_steps(n: int) -> str:
-    """One boost of 0.05 after another, from w0 and the list b.l, and shares of the sum to four places; a list that ends early changes nothing more."""
-    names = ("keyword", "semantic", "graph", "recency")
-    cols = lambda i: ", ".join(f"CASE WHEN l[{i}] IS NULL THEN {c} ELSE round(greatest(0.05::DOUBLE, {c} + CASE WHEN l[{i}] = '{c}' THEN 0.05::DOUBLE ELSE 0 END) / total, 4) END AS {c}" for c in names)
-    return ", ".join(f"w{i} AS (SELECT {cols(i)} FROM (SELECT *, keyword + semantic + graph + recency + 0.05 AS total FROM w{i - 1}, b) x)" for i in range(1, n + 1))
-
-
-@query(_READS + ", m AS (SELECT event_id, CASE WHEN CAST(obj AS VARCHAR) IN (SELECT id FROM objects WHERE type = 'fix') THEN 'keyword' ELSE 'semantic' END AS boost FROM last WHERE tool = 'hybrid_search' AND obj <> k ORDER BY event_id LIMIT 4), b AS (SELECT list(boost ORDER BY event_id) AS l FROM m), w0 AS (SELECT 0.4::DOUBLE AS keyword, 0.3::DOUBLE AS semantic, 0.2::DOUBLE AS graph, 0.1::DOUBLE AS recency), " + _adapt_steps(4) + " SELECT keyword, semantic, graph, recency FROM w4")
+@query(_DIAGNOSED.replace("WITH log AS", "WITH RECURSIVE log AS") + """, b AS MATERIALIZED (SELECT boost, row_number() OVER (ORDER BY event_id) AS i FROM told),
+w(i, keyword, semantic, graph, recency) AS (
+  SELECT 0::BIGINT, 0.4::DOUBLE, 0.3::DOUBLE, 0.2::DOUBLE, 0.1::DOUBLE
+  UNION ALL
+  SELECT b.i, round(greatest(0.05::DOUBLE, keyword + CASE WHEN boost = 'keyword' THEN 0.05::DOUBLE ELSE 0 END) / total, 4), round(greatest(0.05::DOUBLE, semantic + CASE WHEN boost = 'semantic' THEN 0.05::DOUBLE ELSE 0 END) / total, 4),
+    round(greatest(0.05::DOUBLE, graph) / total, 4), round(greatest(0.05::DOUBLE, recency) / total, 4)
+  FROM (SELECT *, greatest(0.05::DOUBLE, keyword) + greatest(0.05::DOUBLE, semantic) + greatest(0.05::DOUBLE, graph) + greatest(0.05::DOUBLE, recency) + 0.05::DOUBLE AS total FROM w) x JOIN b ON b.i = x.i + 1)
+SELECT keyword, semantic, graph, recency FROM w ORDER BY i DESC LIMIT 1""")
 def r5_adapt_weights(t):
-    """The first four misses of the log, diagnosed, boost one signal each."""
-    missed = learn.misses(_reads_with_prev(t, None)).select(F.col("obj").cast("string").alias("id"), "event_id").orderBy("event_id").limit(4)
-    boosts = [r.boost for r in learn.diagnose(missed, t.objects.where("type = 'fix'")).orderBy("event_id").collect()]  # four rows
-    w = learn.adapt(dict(keyword=0.4, semantic=0.3, graph=0.2, recency=0.1), boosts)
+    """All misses of the log, each diagnosed by the 50 best of its search, boost one signal after another."""
+    w = learn.adapt_runs(dict(WEIGHTS), learn.boost_runs(_diagnosed(t), ["event_id"]))
     return t.spark.range(1).select(*(F.lit(v).alias(k) for k, v in w.items()))
 
 

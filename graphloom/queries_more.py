@@ -321,6 +321,24 @@ def k7_stream_postings(t):
     return _streamed(t, lambda s: streams.postings(rows(s)), "complete", "postings").select("id", "term", "tf")
 
 
+@query("""WITH last AS (SELECT CAST(event_id % 400 AS VARCHAR) AS id, arg_max(event_type, event_id) AS kind, arg_max(event_type || ' ' || props, event_id) AS content FROM events GROUP BY 1)
+SELECT id, term, count(*)::INT AS tf FROM (SELECT id, unnest(list_filter(regexp_split_to_array(lower(content), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS term FROM last WHERE kind <> 'signup') x GROUP BY 1, 2""")
+def k7_stream_index(t):
+    """A stored index kept by a stream of changes: every event sets the text of one of 400 objects, a signup deletes it; the last event counts."""
+    import uuid
+
+    from graphloom.session import work_dir
+    from graphloom.sources.text_index import TextIndex
+    from graphloom.streaming import streams
+
+    folder = f"{work_dir(t.spark)}/stream-index-{uuid.uuid4().hex}"
+    index = TextIndex.create(t.spark, f"{folder}/index", fields=("content",), attributes=())
+    events = streams.read(t.spark, t.sf_dir, t.table("events").schema, "events.parquet")
+    changes = events.select(F.col("event_id").alias("seq"), (F.col("event_id") % 400).cast("string").alias("id"), F.col("event_type").alias("kind"), F.concat_ws(" ", "event_type", "props").alias("content"))
+    streams.run_available(changes, f"{folder}/progress", index.sink("events", lambda b: b.where("kind = 'signup'"), "seq"))
+    return TextIndex.open(t.spark, index.path).postings().select("id", "term", F.col("n0").alias("tf"))
+
+
 @query(f"SELECT obj_id, count(*) AS n, floor(epoch(max(ts)))::BIGINT AS last_s FROM access_log WHERE ts < {ASOF_SQL} GROUP BY obj_id")
 def k4_stream_sessions(t):
     from graphloom.streaming import streams

@@ -19,12 +19,12 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as X
@@ -34,7 +34,7 @@ from graphloom.session import work_dir
 #: Document numbers of a block; blocks that a search scores first.
 BLOCK, FIRST_BLOCKS = 4096, 64
 #: Postings that a folder of terms shall hold, and how many folders a segment has at least and at most.
-BUCKET_POSTINGS, LEAST_BUCKETS, MOST_BUCKETS = 8 << 20, 8, 4096
+BUCKET_POSTINGS, LEAST_BUCKETS, MOST_BUCKETS = 8 << 20, 32, 4096
 #: Segments of one size class that are merged, and the factor between classes.
 MERGE_AT = 4
 #: Rows that are looked up by listed numbers instead of a join.
@@ -83,23 +83,65 @@ def forward(objects: DataFrame, fields: tuple[str, ...], attributes: tuple[str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lens, offsets, terms, by_field = [], [0], [], [[] for _ in fields]
-            for row in zip(*(batch.column(f"t{i}").to_pylist() for i in range(len(fields))), strict=True):
-                found = [Counter(ts) for ts in row]
-                own = dict.fromkeys(t for c in found for t in c)
-                lens.append(sum(map(len, row)))
-                terms += own
-                offsets.append(len(terms))
-                for c, into in zip(found, by_field, strict=True):
-                    into += [c[t] for t in own]
-            at = pa.array(offsets, pa.int32())
-            lists = [pa.ListArray.from_arrays(at, pa.array(v, kind)) for v, kind in ((terms, pa.string()), *((f, pa.int32()) for f in by_field))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", *attributes)), pa.array(lens, pa.int32()), *lists], ["id", *attributes, "len", "terms", *counts])
-
-    rows = objects.select("id", *attributes, *(split(F.col(f)).alias(f"t{i}") for i, f in enumerate(fields)))
+            lists = [batch.column(f"t{i}") for i in range(len(fields))]
+            sizes = [c.value_lengths().to_numpy(zero_copy_only=False) for c in lists]
+            flat = pa.concat_arrays([c.flatten() for c in lists])
+            coded = flat.dictionary_encode()
+            n_codes = max(1, len(coded.dictionary))
+            row = np.concatenate([np.repeat(np.arange(batch.num_rows), s) for s in sizes])
+            pairs, at = np.unique(row * n_codes + coded.indices.to_numpy(zero_copy_only=False), return_inverse=True)
+            edges = np.cumsum([0, *(int(s.sum()) for s in sizes)])
+            by_field = [np.bincount(at[i:j], minlength=len(pairs)) for i, j in zip(edges, edges[1:], strict=False)]
+            offsets = pa.array(np.searchsorted(pairs // n_codes, np.arange(batch.num_rows + 1)), pa.int32())
+            terms = coded.dictionary.take(pa.array(pairs % n_codes)).cast(pa.string())
+            made = [pa.ListArray.from_arrays(offsets, v) for v in (terms, *(pa.array(c, pa.int32()) for c in by_field))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", *attributes)), pa.array(sum(sizes), pa.int32()), *made], ["id", *attributes, "len", "terms", *counts])
+
+    # Adaptive execution deals the texts out evenly; a few large files would be a few tasks.
+    spread = objects.select("id", *attributes, *fields).hint("rebalance")
+    rows = spread.select("id", *attributes, *(split(F.col(f)).alias(f"t{i}") for i, f in enumerate(fields)))
     return rows.mapInArrow(run, f"id string, {''.join(f'{a} string, ' for a in attributes)}len int, terms array<string>, {', '.join(f'{c} array<int>' for c in counts)}")
 
 
+def _blocked(counts: list[str]) -> Callable:
+    """Entries sorted by (bucket, term, block, no) to one row a block, with what bounds it."""
+    columns = ["no", *counts, "len"]
+
+    def rows(table: pa.Table) -> pa.RecordBatch:
+        term = table["term"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        block = table["block"].to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])]))
+        at = pa.array(first)
+        values = {c: table[c].to_numpy() for c in columns}
+        made = {"bucket": table["bucket"].take(at), "term": table["term"].take(at), "block": table["block"].take(at), "n": pa.array(np.diff(np.append(first, len(term))).astype(np.int32))}
+        made |= {"least": pa.array(np.minimum.reduceat(values["len"], first))} | {f"most_{c}": pa.array(np.maximum.reduceat(values[c], first)) for c in counts}
+        entries = pa.StructArray.from_arrays([pa.array(values[c]) for c in columns], columns)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(term)).astype(np.int32)), entries)
+        whole = {k: v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v for k, v in made.items()}
+        return pa.RecordBatch.from_arrays([*whole.values(), lists], [*whole, "entries"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table]).combine_chunks()
+            term, block = table["term"], table["block"].to_numpy()
+            n = table.num_rows
+            # The last block may go on in the next batch: at most BLOCK entries are held back.
+            same = np.flatnonzero(block[max(0, n - BLOCK - 1) :] != block[-1])
+            cut = max(0, n - BLOCK - 1) + (int(same[-1]) + 1 if len(same) else 0)
+            while cut < n and term[cut].as_py() != term[n - 1].as_py():
+                later = term.slice(cut).index(term[n - 1])
+                cut += later.as_py()
+            if cut:
+                yield rows(table.slice(0, cut).combine_chunks())
+            held = table.slice(cut)
+        if held is not None and held.num_rows:
+            yield rows(held.combine_chunks())
+
+    return run
+
+
 def _last(changes: DataFrame, order: str | None) -> DataFrame:
     """Of several rows of an id the last one by `order`."""
     if order is None:
@@ -130,10 +172,16 @@ class TextIndex:
 
     @staticmethod
     def of(objects: DataFrame, stemmed: bool = False) -> TextIndex:
-        """The index of a table of files, kept in the shared folder under a name that its files, their sizes and times and its plan make; built where it is not there."""
+        """The index of a table of files, kept in the shared folder under a name that its files, their sizes and times and its plan make; built where it is not there.
+
+        A table without files has no such name, so each call builds one.
+        """
         spark = objects.sparkSession
+        files = sorted(objects.inputFiles())
+        if not files:
+            return TextIndex.create(spark, f"{work_dir(spark)}/text-index-{uuid.uuid4().hex}", stemmed=stemmed).apply(objects)
         marks = [str(objects.select(*objects.columns).semanticHash())]
-        for f in sorted(objects.inputFiles()):
+        for f in files:
             p, fs = _paths(spark, f)
             s = fs.getFileStatus(p)
             marks.append(f"{f}:{s.getLen()}:{s.getModificationTime()}")
@@ -154,6 +202,10 @@ class TextIndex:
     def _counts(self) -> list[str]:
         return [f"n{i}" for i in range(len(self.manifest["fields"]))]
 
+    @property
+    def _entry(self) -> str:
+        return f"struct<no:int, {', '.join(f'{c}:int' for c in self._counts)}, len:int>"
+
     def _docs(self, columns: str, segments: list[dict] | None = None) -> DataFrame | None:
         """Rows of the forward tables, deleted ones too; columns by name, `seg` and `no` among them."""
         own = self.manifest["segments"] if segments is None else segments
@@ -181,8 +233,7 @@ class TextIndex:
             paths += [f"{self.path}/postings/seg={s['id']}/bucket={b}" for b in wanted]
         if not paths:
             return None
-        entry = f"struct<no:int, {', '.join(f'{c}:int' for c in self._counts)}, len:int>"
-        schema = f"seg int, bucket int, term string, block int, n int, least int, {', '.join(f'most_{c} int' for c in self._counts)}, entries array<{entry}>"
+        schema = f"seg int, bucket int, term string, block int, n int, least int, {', '.join(f'most_{c} int' for c in self._counts)}, entries array<{self._entry}>"
         rows = self.spark.read.option("basePath", f"{self.path}/postings").schema(schema).parquet(*paths)
         return rows if terms is None else rows.where(F.col("term").isin(terms))
 
@@ -213,14 +264,14 @@ class TextIndex:
         n_postings = sum(p[3] for p in parts)
         buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << (n_postings // BUCKET_POSTINGS).bit_length()))
         docs = self._docs(f"no len terms {' '.join(self._counts)}", [{"id": number}])
-        entry = docs.select("no", "len", F.explode(F.arrays_zip("terms", *self._counts)).alias("p")).select("no", "len", F.col("p.terms").alias("term"), *(F.col(f"p.{c}") for c in self._counts))
-        grouped = entry.groupBy("term", F.floor(F.col("no") / BLOCK).cast("int").alias("block")).agg(
-            F.count("*").cast("int").alias("n"), F.min("len").alias("least"), *(F.max(c).alias(f"most_{c}") for c in self._counts), F.array_sort(F.collect_list(F.struct("no", *self._counts, "len"))).alias("entries")
-        )
-        bucket = F.pmod(F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("long"), F.lit(buckets)).cast("int")
+        bucket = F.pmod(F.conv(F.substring(F.md5("p.terms"), 1, 8), 16, 10).cast("long"), F.lit(buckets)).cast("int")
+        columns = [bucket.alias("bucket"), F.col("p.terms").alias("term"), F.floor(F.col("no") / BLOCK).cast("int").alias("block"), "no", *(F.col(f"p.{c}") for c in self._counts), "len"]
+        entry = docs.select("no", "len", F.explode(F.arrays_zip("terms", *self._counts)).alias("p")).select(*columns)
         # Blocks of one term are dealt out too: the commonest term has a row for every block.
-        dealt = grouped.withColumn("bucket", bucket).repartition("bucket", F.floor(F.col("block") / 64)).sortWithinPartitions("bucket", "term", "block")
-        dealt.write.partitionBy("bucket").option("parquet.block.size", 8 << 20).parquet(f"{self.path}/postings/seg={number}")
+        dealt = entry.repartition("bucket", F.floor(F.col("block") / 64)).sortWithinPartitions("bucket", "term", "block", "no")
+        most = ", ".join(f"most_{c} int" for c in self._counts)
+        blocks = dealt.mapInArrow(_blocked(self._counts), f"bucket int, term string, block int, n int, least int, {most}, entries array<{self._entry}>")
+        blocks.write.partitionBy("bucket").option("parquet.block.size", 8 << 20).parquet(f"{self.path}/postings/seg={number}")
         folders = sorted(int(n.partition("=")[2]) for n in _list(spark, f"{self.path}/postings/seg={number}") if n.startswith("bucket="))
         p, fs = _paths(spark, staged)
         fs.delete(p, True)
@@ -371,29 +422,33 @@ class TextIndex:
     def _with_ids(self, hits: DataFrame) -> DataFrame:
         return hits.join(self._docs("seg no id"), ["seg", "no"]).select("id", "raw")
 
-    def search_many(self, queries: DataFrame, k: int = 50, weights: dict[str, float] = FIELD_WEIGHTS, bounded: bool = True) -> DataFrame:
-        """(query_id, id, raw, rank): the best k of every query (query_id, terms) in one pass; queries without terms have no rows.
+    def search_many(self, queries: DataFrame, k: int = 50, weights: dict[str, float] = FIELD_WEIGHTS) -> DataFrame:
+        """(query_id, id, raw, rank): the best k of every query (query_id, terms) in one pass; queries without terms or hits have no rows.
 
-        Queries that ask the same are one.  Their terms meet the postings by an equi-join; a query keeps k rows a task
-        before the rest is brought together, so a common term's documents are not shuffled by query.
+        Queries that ask the same are one.  Their terms meet the postings by an equi-join, and a task keeps k rows of a query, and those that
+        tie with the last, before a query's rows are brought together and get their ids.  No job is run for each query.
         """
-        from pyspark.sql import Window
-
-        spark = self.spark
-        asked = queries.select("query_id", F.array_sort(F.array_distinct("terms")).alias("terms")).where(F.size("terms") > 0)
-        distinct = asked.select("terms").distinct().withColumn("q", F.xxhash64("terms"))
-        wanted = distinct.select("terms", "q", F.size("terms").alias("m"), F.explode("terms").alias("term"))
-        rows = self._postings()
-        if rows is None:
-            return spark.createDataFrame([], "query_id string, id string, raw double, rank int").select(F.col("query_id").cast(queries.schema["query_id"].dataType), "id", "raw", "rank")
+        asked = queries.select("query_id", F.array_join(F.array_sort(F.array_distinct("terms")), " ").alias("asked")).where("asked <> ''")
+        distinct = asked.select("asked").distinct()
+        wanted = distinct.select("asked", F.split("asked", " ").alias("terms")).select("asked", F.size("terms").alias("m"), F.explode("terms").alias("term"))
+        some = [r.term for r in wanted.select("term").distinct().limit(LISTED + 1).collect()]
+        rows = self._postings(some) if 0 < len(some) <= LISTED else self._postings()
+        if rows is None or not some:
+            return queries.select("query_id", F.lit("").alias("id"), F.lit(0.0).alias("raw"), F.lit(0).alias("rank")).limit(0)
+        if len(some) > LISTED:
+            rows = rows.join(wanted.select("term").distinct(), "term", "left_semi")
         n_docs, length = self.statistics()
-        hits = self._hits(rows.join(wanted.select("term").distinct(), "term", "left_semi"), weights)
+        hits = self._hits(rows, weights)
         df = hits.groupBy("term").agg(F.count("*").alias("df"))
-        parts = hits.join(df, "term").select("seg", "no", "term", _part(n_docs, length, F.col("df"), F.col("tf"), F.col("len")).alias("part"))
-        met = parts.join(wanted, "term").groupBy("terms", "m", "seg", "no").agg(F.array_sort(F.collect_list(F.struct("term", "part"))).alias("p")).where(F.size("p") == F.col("m"))
-        raw = met.select("terms", "seg", "no", F.aggregate("p", F.lit(0.0), lambda s, x: s + x["part"]).alias("raw")).join(self._docs("seg no id"), ["seg", "no"])
-        best = raw.withColumn("rank", F.row_number().over(Window.partitionBy("terms").orderBy(F.desc("raw"), "id"))).where(F.col("rank") <= k)
-        return asked.join(best, "terms").select("query_id", "id", "raw", "rank")
+        parts = hits.join(F.broadcast(df) if len(some) <= LISTED else df, "term").select("seg", "no", "term", _part(n_docs, length, F.col("df"), F.col("tf"), F.col("len")).alias("part"))
+        met = parts.join(wanted, "term")
+        several = met.where("m > 1").groupBy("asked", "m", "seg", "no").agg(F.array_sort(F.collect_list(F.struct("term", "part"))).alias("p")).where(F.size("p") == F.col("m"))
+        summed = several.select("asked", "seg", "no", F.aggregate("p", F.lit(0.0), lambda s, x: s + x["part"]).alias("raw"))
+        raw = met.where("m = 1").select("asked", "seg", "no", F.col("part").alias("raw")).unionAll(summed)
+        near = raw.withColumn("near", F.rank().over(Window.partitionBy("asked").orderBy(F.desc("raw")))).where(F.col("near") <= k)
+        named = near.join(self._docs("seg no id"), ["seg", "no"])
+        best = named.withColumn("rank", F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("raw"), "id"))).where(F.col("rank") <= k)
+        return asked.join(best, "asked").select("query_id", "id", "raw", "rank")
 
     def postings(self) -> DataFrame:
         """(id, term, n0, n1, ...) of all live documents."""
