@@ -14,11 +14,12 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import lookup_join, materialize, parted, tidy
 
@@ -120,15 +121,31 @@ def redact(docs: DataFrame, mark: str = "[secret]", text_col: str = "text", n_ch
     told = materialize(told, "secrets-found")
     untouched, some = parted(docs, key, told, F.col("__key"))
     joined = some.withColumn("__key", key).join(told, "__key", "left")
-    # Walk the sorted spans once: the pieces so far, and the end of the last span.
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at"))
-    t = F.col(text_col)
-
-    def step(a, f):
-        gap = F.when(f["start"] >= a["at"], F.array(t.substr(a["at"] + 1, f["start"] - a["at"]), F.lit(mark))).otherwise(F.array().cast("array<string>"))
-        return F.struct(F.concat(a["out"], gap).alias("out"), F.greatest(a["at"], f["end"]).alias("at"))
-
-    new = F.aggregate("__found", start, step, lambda a: F.concat(F.array_join(a["out"], ""), t.substr(a["at"] + 1, F.length(t))))
-    out = joined.withColumn("__new", F.when(F.col("__found").isNotNull(), new).otherwise(t))
-    cols = [F.col("__new").alias(c) if c == text_col else F.when(F.col("__found").isNotNull(), F.length("__new")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == n_chars_col else F.col(c) for c in docs.columns]
-    return untouched.unionByName(out.select(*cols))
+    schema = docs.schema
+    whole = joined.select(*(F.col(f"`{c}`") for c in docs.columns), "__found")
+    return untouched.unionByName(whole.mapInArrow(tidy(_redacted(mark, text_col, n_chars_col, schema)), schema))
+
+
+def _without(text: str, found: list[dict], mark: str) -> str:
+    """The text with the sorted spans replaced, overlapping ones by one mark; each piece is copied once."""
+    out, at = [], 0
+    for f in found:
+        if f["start"] >= at:
+            out += [text[at : f["start"]], mark]
+        at = max(at, f["end"])
+    return "".join([*out, text[at:]])
+
+
+def _redacted(mark: str, text_col: str, n_chars_col: str, schema: T.StructType) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = {c: batch.column(c) for c in schema.names}
+            texts, found = columns[text_col].to_pylist(), batch.column("__found").to_pylist()
+            told = [_without(t, f, mark) if f else t for t, f in zip(texts, found, strict=True)]
+            if n_chars_col in columns:
+                sizes = [len(n) if f else x for n, f, x in zip(told, found, columns[n_chars_col].to_pylist(), strict=True)]
+                columns[n_chars_col] = pa.array(sizes, columns[n_chars_col].type)
+            columns[text_col] = pa.array(told, columns[text_col].type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), schema.names)
+
+    return run
