@@ -28,7 +28,7 @@ from string import ascii_lowercase, ascii_uppercase
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WS, bitmap, in_bitmap, lookup_join, materialize, parted, sample_rows, tidy
@@ -172,9 +172,10 @@ def _by_fingerprint(classes: DataFrame) -> DataFrame:
 def _links(rows: DataFrame, marked: DataFrame, classes: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Verified links (u, v) of classes that connect all that are alike, by components."""
     keyed = marked.dropDuplicates(["class"]).select("class", "size", F.posexplode("firsts").alias("place", "key"))
-    one = Window.partitionBy("key")
-    centre = F.min_by(F.struct("class", "size"), F.struct("place", "class")).over(one)
-    shared = materialize(keyed.select("key", "class", "size", centre.alias("centre"), F.count("*").over(one).alias("n")).where("n > 1"), "near-shared")
+    # A shingle that very many texts begin with is counted before the shuffle and split off by lookup_join; no key is one task's.
+    centre = F.min_by(F.struct("class", "size"), F.struct("place", "class")).alias("centre")
+    keys = materialize(keyed.groupBy("key").agg(centre, F.count("*").alias("n")).where("n > 1").withColumn("m", F.col("n")), "near-keys")
+    shared = materialize(lookup_join(keyed.select("key", "class", "size"), keys, "key", "m").where("n IS NOT NULL"), "near-shared")
     turned = F.col("class") > F.col("centre.class")
     tries = shared.where(F.col("class") != F.col("centre.class")).select(
         F.least("class", "centre.class").alias("u"), F.greatest("class", "centre.class").alias("v"),
@@ -185,7 +186,9 @@ def _links(rows: DataFrame, marked: DataFrame, classes: DataFrame, shingle: int,
     roots = materialize(components(first).withColumnRenamed("node", "class"), "near-first")
     rooted = shared.join(roots, "class", "left").select("key", "class", "size", "n", F.coalesce("root", "class").alias("root"))
     cells = F.ceil(F.col("n") / CELL)
-    open_ = rooted.withColumn("several", F.min("root").over(one) != F.max("root").over(one)).where("several")
+    rooted = materialize(rooted, "near-rooted")
+    several = rooted.groupBy("key").agg((F.min("root") != F.max("root")).alias("several"), F.count("*").alias("m")).where("several")
+    open_ = lookup_join(rooted, materialize(several, "near-several"), "key", "m").where("several")
     own = open_.withColumn("block", F.pmod(F.xxhash64("class"), cells)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), cells - 1)))
     dealt = own.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "class", "size", "root", "block")
     dealt = materialize(dealt, "near-cells")

@@ -275,3 +275,53 @@ def test_radix_selection_takes_exactly_k(spark):
 def test_numbers_have_no_gaps(spark):
     rows = common.numbered(spark.range(0, 1000, 1, 7).where("id % 3 > 0 and id > 300"), "n", "at").orderBy("id").collect()
     assert [r.at for r in rows] == list(range(len(rows)))
+
+
+# -- redaction
+
+
+def test_redaction_of_a_long_log_is_linear(spark):
+    import time
+
+    from graphloom.llm import secrets
+
+    line = "x password=hunter{} y\n"
+    docs = lambda n: spark.createDataFrame([(1, "".join(line.format(100_000 + i) for i in range(n)), "s", 0)], "doc_id long, text string, source string, n_chars long")
+    took = {}
+    for n in (100, 20_000, 80_000):
+        began = time.perf_counter()
+        (row,) = secrets.redact(docs(n)).collect()
+        took[n] = time.perf_counter() - began
+        assert row.text == "x [secret] y\n" * n and row.n_chars == len(row.text)
+    assert took[80_000] - took[100] < 12 * max(1, took[20_000] - took[100])
+
+
+def test_redaction_joins_overlapping_spans_and_keeps_other_columns(spark):
+    from graphloom.llm import secrets
+
+    spans = [(0, 3), (2, 5), (3, 4), (7, 9), (9, 10)]
+    assert secrets._without("0123456789ab", [{"start": a, "end": b} for a, b in spans], "*") == "*56**ab"
+    empty = spark.createDataFrame([], SCHEMA)
+    assert secrets.redact(empty).count() == 0 and secrets.redact(empty).columns == empty.columns
+
+
+def test_near_groups_with_a_shingle_in_most_texts(spark, monkeypatch):
+    from graphloom.llm import near_dedup
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(common, "HOT_PARTS", 20)
+    monkeypatch.setattr(near_dedup, "CELL", 8)
+    rng = random.Random(1)
+    words = [f"w{i}" for i in range(30)]
+    head = "the same five first words here "
+    texts = [head + " ".join(rng.choice(words) for _ in range(12)) for _ in range(60)]
+    texts += [t + " end" for t in texts[:20]] + [head + "only"] * 3
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    up = list(range(len(texts)))
+    for _ in texts:
+        for i in range(len(texts)):
+            for j in range(i):
+                if up[i] != up[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9:
+                    up[i] = up[j] = min(up[i], up[j])
+    assert {r.id: r.keep for r in near_dedup.near_groups(rows).collect()} == dict(enumerate(up))
