@@ -149,7 +149,17 @@ class Engine:
         return replace(self, entities=self.entities.join(gone, "id", "left_anti"), mentions=self.mentions.join(gone, self.mentions.entity_id == gone.id, "left_anti"))
 
     def update(self, changes: DataFrame, now: Column) -> Engine:
-        """Partial update; the rows as they were go to the history with a version number."""
+        """Partial update; the rows as they were go to the history with a version number.
+
+        With a column `seq` several changes of an object are applied one after another: each makes a version, and the last values stay.
+        """
+        if "seq" in changes.columns:
+            log = changes.join(self.objects.select("id"), "id", "left_semi").withColumns({"at": now, "op": F.lit("set")})
+            objects, old = temporal.fold(self.objects, log, model.EDITABLE)
+            seen = None if self.history is None else self.history.groupBy("id").agg(F.max("version_num").alias("__n"))
+            numbered = old.withColumn("__n", F.lit(0)) if seen is None else old.join(seen, "id", "left")
+            made = numbered.select(*self.objects.columns, (F.coalesce("__n", F.lit(0)) + F.col("version_num")).alias("version_num"), F.col("valid_to").alias("replaced_at"))
+            return replace(self, objects=objects, history=made if self.history is None else self.history.unionByName(made))._reindexed(changes)
         return replace(self.kept_versions(changes, now), objects=store.update(self.objects, changes, now))._reindexed(changes)
 
     def _reindexed(self, ids: DataFrame) -> Engine:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.store import adjacency, canonical_pairs
-from graphloom.session import shared_dir
+from graphloom.session import shared_dir, stored
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -18,39 +19,79 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def reach(edges: DataFrame, start: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """(origin, id, hop) of all nodes that edges (src, dst) lead to from start (id), by shortest hop, the start at hop 0.
+def _together(tables: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionAll, tables)
 
-    Only nodes that are new go on to the next level, so cycles end; the visited set is checkpointed at each level.
+
+def closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(src, dst, hop) of all pairs that edges (src, dst) connect, by shortest hop, in as many rounds as the longest one has binary digits.
+
+    A round knows all pairs up to n hops and finds those up to 2n: a shortest path of more than n hops is one of exactly n to some node
+    and one of at most n from there.  So only the pairs at exactly n hops are joined, to all that are known.  What a round finds is a table
+    of its own and is never written again; pairs that are known already are left out, so cycles end.
+    """
+    found = [stored(edges.select("src", "dst").where("src <> dst").distinct().withColumn("hop", F.lit(1)), "closure")]
+    n = 1
+    while max_depth is None or n < max_depth:
+        known = _together(found)
+        most = 2 * n if max_depth is None else min(2 * n, max_depth)
+        far, near = known.where(F.col("hop") == n).alias("f"), known.alias("k")
+        met = far.join(near, F.col("f.dst") == F.col("k.src")).select(F.col("f.src").alias("src"), F.col("k.dst").alias("dst"), (F.col("f.hop") + F.col("k.hop")).alias("hop"))
+        new = met.where((F.col("src") != F.col("dst")) & (F.col("hop") <= most)).groupBy("src", "dst").agg(F.min("hop").alias("hop")).join(known, ["src", "dst"], "left_anti")
+        new = stored(new, "closure")
+        if new.isEmpty():
+            break
+        found.append(new)
+        n = most
+    return _together(found)
+
+
+def reach(edges: DataFrame, start: DataFrame, max_depth: int) -> DataFrame:
+    """(origin, id, hop) of all nodes that edges (src, dst) lead to from some nodes start (id), by shortest hop, the start at hop 0.
+
+    Level by level, at most max_depth of them; a level is a table of its own.  For all nodes, or without a depth, there is `closure`.
     """
     pairs = edges.select("src", "dst").distinct()
-    visited = cut(start.select(F.col("id").alias("origin"), "id").distinct().withColumn("hop", F.lit(0)))
-    front, hop = visited, 0
-    while max_depth is None or hop < max_depth:
-        hop += 1
-        new = front.join(pairs, front.id == pairs.src).select("origin", F.col("dst").alias("id")).distinct().join(visited, ["origin", "id"], "left_anti")
-        front = cut(new.withColumn("hop", F.lit(hop)))
-        if front.isEmpty():
+    levels = [stored(start.select(F.col("id").alias("origin"), "id").distinct().withColumn("hop", F.lit(0)), "level")]
+    for hop in range(1, max_depth + 1):
+        front = levels[-1]
+        new = front.join(pairs, front.id == pairs.src).select("origin", F.col("dst").alias("id")).distinct().join(_together(levels), ["origin", "id"], "left_anti")
+        levels.append(stored(new.withColumn("hop", F.lit(hop)), "level"))
+        if levels[-1].isEmpty():
             break
-        visited = cut(visited.unionByName(front))
-    return visited
+    return _together(levels)
+
+
+def _reached(edges: DataFrame, start: DataFrame | None, nodes: DataFrame, max_depth: int | None) -> DataFrame:
+    """(origin, id, hop) from start, or from all nodes where there is none."""
+    if start is not None and max_depth is not None:
+        return reach(edges, start, max_depth)
+    own = nodes if start is None else start
+    pairs = closure(edges, max_depth).select(F.col("src").alias("origin"), F.col("dst").alias("id"), "hop")
+    pairs = pairs.join(own.select(F.col("id").alias("origin")).distinct(), "origin", "left_semi")
+    return own.select(F.col("id").alias("origin"), "id").distinct().withColumn("hop", F.lit(0)).unionByName(pairs)
 
 
-def causal_chain(edges: DataFrame, objects: DataFrame, start: DataFrame, max_depth: int = 10, forward: bool = True) -> DataFrame:
-    """(origin, id, hop): causes at negative hops, effects at positive ones; edges to missing objects end a branch."""
+def causal_chain(edges: DataFrame, objects: DataFrame, start: DataFrame | None = None, max_depth: int = 10, forward: bool = True) -> DataFrame:
+    """(origin, id, hop): causes at negative hops, effects at positive ones; edges to missing objects end a branch.  Of all objects without a start."""
     ids = objects.select("id")
     live = edges.join(ids, edges.dst == ids.id, "left_semi")
-    out = reach(live.where("rel_type = 'causedBy'"), start, max_depth).withColumn("hop", -F.col("hop"))
+    out = _reached(live.where("rel_type = 'causedBy'"), start, ids, max_depth).withColumn("hop", -F.col("hop"))
     if forward:
-        out = out.unionByName(reach(live.where("rel_type = 'ledTo'"), start, max_depth).where("hop > 0"))
+        out = out.unionByName(_reached(live.where("rel_type = 'ledTo'"), start, ids, max_depth).where("hop > 0"))
     return out
 
 
-def evolution(edges: DataFrame, objects: DataFrame, start: DataFrame) -> DataFrame:
-    """(origin, id, created_at): all that an object supersedes, it itself, and all that supersede it."""
-    s = edges.where("rel_type = 'supersedes'")
-    both = reach(s, start).unionByName(reach(s.select(F.col("dst").alias("src"), F.col("src").alias("dst")), start))
-    return both.select("origin", "id").distinct().join(objects.select("id", "created_at"), "id").select("origin", "id", "created_at")
+def evolution(edges: DataFrame, objects: DataFrame, start: DataFrame | None = None) -> DataFrame:
+    """(origin, id, created_at): all that an object supersedes, it itself, and all that supersede it.  Of all objects without a start.
+
+    One closure serves both ways: what supersedes a node are the other ends of the pairs that lead to it.
+    """
+    pairs = closure(edges.where("rel_type = 'supersedes'")).select("src", "dst")
+    ids = (objects if start is None else start).select("id").distinct()
+    both = pairs.select(F.col("src").alias("origin"), F.col("dst").alias("id")).unionAll(pairs.select(F.col("dst").alias("origin"), F.col("src").alias("id"))).join(ids.select(F.col("id").alias("origin")), "origin", "left_semi")
+    every = both.unionAll(ids.select(F.col("id").alias("origin"), "id")).distinct()
+    return every.join(objects.select("id", "created_at"), "id").select("origin", "id", "created_at")
 
 
 def contradiction_map(edges: DataFrame, objects: DataFrame, scope: DataFrame | None = None) -> DataFrame:

@@ -81,12 +81,15 @@ def rejected(new: DataFrame) -> DataFrame:
 def update(objects: DataFrame, changes: DataFrame, at: Column) -> DataFrame:
     """Partial update: non-empty values of editable columns replace old ones and bump updated_at.
 
-    Of several changes to one object the greatest non-empty value of each column counts; an id that is not there changes nothing.
+    With a column `seq` the last non-empty value of each column by it counts, else, as nothing tells an order, the greatest; an id that
+    is not there changes nothing.  `temporal.fold` keeps a version of every change besides.
     """
-    cols = [c for c in changes.columns if c != "id"]
+    ordered = "seq" in changes.columns
+    cols = [c for c in changes.columns if c not in ("id", "seq")]
     if bad := [c for c in cols if c not in EDITABLE]:
         raise ValueError(f"not editable: {', '.join(bad)}")
-    given = [F.max(F.when(F.col(c).cast("string") != "", F.col(c))).alias(f"__{c}") for c in cols]
+    filled = lambda c: F.when(F.col(c).cast("string") != "", F.col(c))
+    given = [(F.max_by(filled(c), F.when(filled(c).isNotNull(), F.col("seq"))) if ordered else F.max(filled(c))).alias(f"__{c}") for c in cols]
     new = changes.groupBy("id").agg(F.lit(True).alias("__hit"), *given)
     joined = objects.join(new, "id", "left")
     value = lambda c: F.coalesce(F.col(f"__{c}"), F.col(c)) if c in cols else F.coalesce(F.when(F.col("__hit"), at), F.col(c)) if c == "updated_at" else F.col(c)

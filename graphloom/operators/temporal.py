@@ -5,11 +5,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.ranges import carry
+
 
 def versions(changes: DataFrame, key: str = "doc_id", at: str = "updated_at", tie: str = "seq") -> DataFrame:
-    """changes plus version_num and the half-open interval [valid_from, valid_to); the last one is open."""
-    w = Window.partitionBy(key).orderBy(at, tie)
-    return changes.withColumns({"version_num": F.row_number().over(w), "valid_from": F.col(at), "valid_to": F.lead(at).over(w)})
+    """changes plus version_num and the half-open interval [valid_from, valid_to); the last one is open.  A key with very many changes is not one task's."""
+    names = changes.columns
+    numbered = carry(changes, [key], [F.col(at), F.col(tie)], [at]).select(*names, F.col("nth").cast("int").alias("version_num"))
+    following = carry(numbered, [key], [F.col("version_num").desc()], [at], exclusive=True)
+    return following.select(*names, "version_num", F.col(at).alias("valid_from"), F.col(f"carried.{at}").alias("valid_to"))
+
+
+def fold(objects: DataFrame, log: DataFrame, columns: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """(objects as they are after the log, versions): changes (id, seq, at, op and some of `columns`) applied one after another by seq.
+
+    op is `set` or `delete`.  In a set a null or empty value leaves the column as it is; what follows a deletion starts from nothing.  versions: every
+    state that was replaced or deleted, with version_num and [valid_from, valid_to), from the object's updated_at or the change's time on.
+    An object without changes has no versions.
+    """
+    given = [c for c in columns if c in log.columns]
+    blank = lambda c: F.when(F.col(c).cast("string") == "", None).otherwise(F.col(c))
+    touched = objects.join(log.select("id").distinct(), "id", "left_semi")
+    first = touched.select("id", F.lit(None).cast("long").alias("seq"), F.col("updated_at").alias("at"), F.lit("set").alias("op"), *given, F.struct(*objects.columns).alias("base"))
+    later = log.select("id", F.col("seq").cast("long").alias("seq"), F.col("at").cast(objects.schema["updated_at"].dataType).alias("at"), "op", *(blank(c).cast(objects.schema[c].dataType).alias(c) for c in given), F.lit(None).cast(first.schema["base"].dataType).alias("base"))
+    # A deletion ends a life; values are carried within one life only.
+    steps = first.unionByName(later).withColumn("died", F.when(F.col("op") == "delete", F.struct("seq")))
+    order = [F.col("seq").asc_nulls_first()]
+    lives = carry(steps, ["id"], order, ["died"], exclusive=True).select("id", "seq", "at", "op", *given, "base", "nth", F.col("carried.died.seq").alias("life"))
+    state = carry(lives.withColumnRenamed("nth", "step"), ["id", "life"], order, [*given, "base"]).select("id", "seq", "at", "op", "step", "carried")
+    ended = _next_at(state)
+    alive = ended.where("op = 'set'")
+    full = [F.col("id") if c == "id" else F.col("at").alias(c) if c == "updated_at" else F.col(f"now.{c}").alias(c) if c in given else F.col(f"now.base.{c}").alias(c) for c in objects.columns]
+    current = alive.where("valid_to IS NULL").select(*full)
+    old = alive.where("valid_to IS NOT NULL").select(*full, F.col("step").cast("int").alias("version_num"), F.col("at").alias("valid_from"), "valid_to")
+    return objects.join(log.select("id").distinct(), "id", "left_anti").unionByName(current), old
+
+
+def _next_at(state: DataFrame) -> DataFrame:
+    """state with `now`, what it carried, and `valid_to`, the time of the next step of the id."""
+    named = state.withColumnRenamed("carried", "now")
+    return carry(named, ["id"], [F.col("step").desc()], ["at"], exclusive=True).withColumn("valid_to", F.col("carried.at")).drop("carried", "nth")
 
 
 def state_at(version: DataFrame, current: DataFrame, when: Column, key: str = "doc_id") -> DataFrame:
@@ -24,27 +59,19 @@ def state_at(version: DataFrame, current: DataFrame, when: Column, key: str = "d
     return best.unionByName(rest)
 
 
-def latest_before(events: DataFrame, log: DataFrame, key: str | None, at: str = "ts", tie: str = "event_id", slice_seconds: int = 3600) -> DataFrame:
+def latest_before(events: DataFrame, log: DataFrame, key: str | None, at: str = "ts", tie: str = "event_id") -> DataFrame:
     """events with `prev`, the last row of log (a struct) before or at the event, of the same key or, without one, of the whole log.
 
-    No range join: both sides are sorted within slices of time, and the last row of each slice is carried to those after
-    it, one row per slice, so neither a busy key nor the whole log is one task's.  Of equal times the log's row comes first.
+    No range join: both sides are dealt out by ranges of (key, time, tie) and walked once, and a partition's last row of the log is carried to
+    those after it, so neither a busy key nor one second that holds all rows is one task's.  Of equal times the log's rows come first.
     """
-    keys = [key] if key else []
-    packed = F.struct(*[c for c in log.columns if c not in keys])
-    left = events.select(*keys, F.col(at).alias("__at"), F.lit(1).alias("__side"), F.col(tie).alias("__tie"), F.struct(*events.columns).alias("__event"), F.lit(None).cast(log.select(packed.alias("p")).schema["p"].dataType).alias("prev"))
-    right = log.select(*keys, F.col(at).alias("__at"), F.lit(0).alias("__side"), F.col(tie).alias("__tie"), F.lit(None).cast(left.schema["__event"].dataType).alias("__event"), packed.alias("prev"))
-    both = left.unionByName(right).withColumn("__slice", F.floor(F.unix_micros("__at") / (slice_seconds * 1_000_000)))
-    inside = Window.partitionBy(*keys, "__slice").orderBy("__at", "__side", "__tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    own = both.withColumn("__own", F.last("prev", ignorenulls=True).over(inside)).where("__side = 1")
-    logged = F.col("__side") == 0
-    last = both.groupBy(*keys, "__slice").agg(F.max_by(F.when(logged, F.col("prev")), F.when(logged, F.struct("__at", "__tie"))).alias("__last"))
-    before = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    carried = last.select(*(F.col(k).alias("__k") for k in keys), F.col("__slice").alias("__s"), F.last("__last", ignorenulls=True).over(before).alias("__carried"))
-    meet = F.col("__slice").eqNullSafe(F.col("__s"))
-    for k in keys:
-        meet &= F.col(k).eqNullSafe(F.col("__k"))
-    return own.join(carried, meet, "left").select("__event.*", F.coalesce("__own", "__carried").alias("prev"))
+    keys = ["__key"] if key else []
+    packed = F.struct(*[c for c in log.columns if c != key])
+    own = [F.col(key).alias("__key")] if key else []
+    left = events.select(*own, F.col(at).alias("__at"), F.lit(1).alias("__side"), F.col(tie).alias("__tie"), F.struct(*events.columns).alias("__event"), F.lit(None).cast(log.select(packed.alias("p")).schema["p"].dataType).alias("prev"))
+    right = log.select(*own, F.col(at).alias("__at"), F.lit(0).alias("__side"), F.col(tie).alias("__tie"), F.lit(None).cast(left.schema["__event"].dataType).alias("__event"), packed.alias("prev"))
+    told = carry(left.unionByName(right), keys, [F.col("__at"), F.col("__side"), F.col("__tie")], ["prev"])
+    return told.where("__side = 1").select("__event.*", F.col("carried.prev").alias("prev"))
 
 
 def rate_limit(requests: DataFrame, seconds: int = 60, most: int = 100) -> DataFrame:

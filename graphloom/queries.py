@@ -98,7 +98,7 @@ def s9_query_log(t):
 
 @query("SELECT version_num, epoch(updated_at)::BIGINT AS from_s, price FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY updated_at, seq) AS version_num FROM changes) v WHERE doc_id = '7' ORDER BY version_num")
 def s10_list_versions(t):
-    return temporal.versions(t.changes).where("doc_id = '7'").orderBy("version_num").select("version_num", F.unix_seconds("valid_from").alias("from_s"), "price")
+    return temporal.versions(t.changes.where("doc_id = '7'")).orderBy("version_num").select("version_num", F.unix_seconds("valid_from").alias("from_s"), "price")
 
 
 @query("SELECT doc_id, status, price FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY updated_at, seq) AS version_num FROM changes) v WHERE version_num = 2")
@@ -136,6 +136,41 @@ def s20_update(t):
     return store.update(t.objects, changes, as_of()).select("id", "project", secs("updated_at").alias("updated_s"))
 
 
+#: A log of changes to 300 objects: clicks set a title, views a project, one signup in five deletes.  In SQL a life is told by the deletions before it.
+_LOG = """WITH log AS (
+  SELECT CAST(event_id % 300 AS VARCHAR) AS id, event_id AS seq, floor(epoch(CAST(ts AS TIMESTAMP)))::BIGINT AS at_s, CASE WHEN event_type = 'signup' AND event_id % 5 = 0 THEN 'delete' ELSE 'set' END AS op,
+    CASE WHEN event_type = 'click' THEN 'T ' || props END AS title, CASE WHEN event_type = 'view' THEN 'p' || regexp_extract(props, '[0-9]+') END AS project FROM events),
+steps AS (SELECT id, -1 AS seq, epoch(updated_at)::BIGINT AS at_s, 'set' AS op, title, project FROM objects WHERE id IN (SELECT id FROM log) UNION ALL SELECT * FROM log),
+lives AS (SELECT *, coalesce(sum(CASE WHEN op = 'delete' THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS life FROM steps),
+numbered AS (
+  SELECT s.*, l.n, lead(s.at_s) OVER (PARTITION BY s.id ORDER BY n) AS to_s
+  FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq) AS n FROM lives) l
+  JOIN (SELECT l2.id, l2.seq, l2.op, l2.at_s, last_value(title IGNORE NULLS) OVER w AS title, last_value(project IGNORE NULLS) OVER w AS project FROM lives l2 WINDOW w AS (PARTITION BY id, life ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) s USING (id, seq))
+"""
+
+
+def _log(t) -> DataFrame:
+    e = F.col("event_type")
+    return t.table("events").select(
+        (F.col("event_id") % 300).cast("string").alias("id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("at"), F.when((e == "signup") & (F.col("event_id") % 5 == 0), "delete").otherwise("set").alias("op"),
+        F.when(e == "click", F.concat(F.lit("T "), "props")).alias("title"), F.when(e == "view", F.concat(F.lit("p"), F.get_json_object("props", "$.k"))).alias("project"),
+    )
+
+
+@query(_LOG + "SELECT id, title, project, at_s AS updated_s FROM numbered WHERE to_s IS NULL AND op = 'set' UNION ALL SELECT id, title, project, epoch(updated_at)::BIGINT FROM objects WHERE id NOT IN (SELECT id FROM log)")
+def m2_change_log(t):
+    """The objects after a log of updates and deletions, applied in its order."""
+    now, _ = temporal.fold(t.objects, _log(t), ("title", "project"))
+    return now.select("id", "title", "project", secs("updated_at").alias("updated_s"))
+
+
+@query(_LOG + "SELECT id, n::INT AS version_num, title, project, at_s AS from_s, to_s FROM numbered WHERE to_s IS NOT NULL AND op = 'set'")
+def m3_change_log_versions(t):
+    """Every state that an update replaced or a deletion ended, with its number and interval."""
+    _, old = temporal.fold(t.objects, _log(t), ("title", "project"))
+    return old.select("id", "version_num", "title", "project", secs("valid_from").alias("from_s"), secs("valid_to").alias("to_s"))
+
+
 @query("SELECT 'object' AS kind, count(*) AS n FROM objects WHERE CAST(id AS BIGINT) % 10 <> 0 UNION ALL SELECT 'edge', count(*) FROM edges WHERE NOT (src IN (SELECT id FROM objects WHERE CAST(id AS BIGINT) % 10 = 0) OR dst IN (SELECT id FROM objects WHERE CAST(id AS BIGINT) % 10 = 0)) UNION ALL SELECT 'mention', count(*) FROM mentions WHERE CAST(obj_id AS BIGINT) % 10 <> 0")
 def s22_cascade_delete(t):
     o, e, m = store.delete(t.objects, t.edges, t.mentions, t.objects.where("CAST(id AS BIGINT) % 10 = 0"))
@@ -606,17 +641,17 @@ def f2_stemmed_search(t):
 # -- graph
 
 
-@query("""WITH RECURSIVE walk AS (SELECT id AS origin, id, 0 AS hop FROM turns WHERE id LIKE '%05' UNION SELECT w.origin, e.dst, w.hop - 1 FROM walk w JOIN edges e ON e.src = w.id AND e.rel_type = 'causedBy' JOIN turns t ON t.id = e.dst WHERE w.hop > -10)
+@query("""WITH RECURSIVE walk AS (SELECT id AS origin, id, 0 AS hop FROM turns UNION SELECT w.origin, e.dst, w.hop - 1 FROM walk w JOIN edges e ON e.src = w.id AND e.rel_type = 'causedBy' JOIN turns t ON t.id = e.dst WHERE w.hop > -10)
 SELECT origin, id, hop FROM walk""")
 def g1_causal_chain(t):
-    return graph.causal_chain(t.edges, t.turns, t.turns.where("id LIKE '%05'").select("id"))
+    return graph.causal_chain(t.edges, t.turns)
 
 
-@query("""WITH RECURSIVE back AS (SELECT id AS origin, id FROM objects WHERE CAST(id AS BIGINT) % 50 = 1 UNION SELECT b.origin, s.dst FROM back b JOIN supersedes s ON s.src = b.id),
-fwd AS (SELECT id AS origin, id FROM objects WHERE CAST(id AS BIGINT) % 50 = 1 UNION SELECT f.origin, s.src FROM fwd f JOIN supersedes s ON s.dst = f.id)
+@query("""WITH RECURSIVE back AS (SELECT id AS origin, id FROM objects UNION SELECT b.origin, s.dst FROM back b JOIN supersedes s ON s.src = b.id),
+fwd AS (SELECT id AS origin, id FROM objects UNION SELECT f.origin, s.src FROM fwd f JOIN supersedes s ON s.dst = f.id)
 SELECT origin, id, epoch(created_at)::BIGINT AS created_s FROM (SELECT * FROM back UNION SELECT * FROM fwd) x JOIN objects USING (id)""")
 def g3_evolution_timeline(t):
-    return graph.evolution(t.edges, t.objects, t.objects.where("CAST(id AS BIGINT) % 50 = 1").select("id")).select("origin", "id", secs().alias("created_s"))
+    return graph.evolution(t.edges, t.objects).select("origin", "id", secs().alias("created_s"))
 
 
 @query("""WITH first AS (SELECT DISTINCT entity_id, obj_id AS id FROM mentions WHERE entity_id = 'e:src7'),

@@ -251,14 +251,14 @@ def f32_f33_answers(t):
     return rows.select("id", c["type"].alias("type"), c["summary"].alias("summary"), c["confidence"].alias("confidence"))
 
 
-@query("""WITH RECURSIVE back AS (SELECT id AS origin, id, 0 AS hop FROM turns WHERE id LIKE '%03' UNION SELECT b.origin, e.dst, b.hop - 1 FROM back b JOIN edges e ON e.src = b.id AND e.rel_type = 'causedBy' WHERE b.hop > -10),
-fwd AS (SELECT id AS origin, id, 0 AS hop FROM turns WHERE id LIKE '%03' UNION SELECT f.origin, e.src, f.hop + 1 FROM fwd f JOIN edges e ON e.dst = f.id AND e.rel_type = 'causedBy' WHERE f.hop < 10)
+@query("""WITH RECURSIVE back AS (SELECT id AS origin, id, 0 AS hop FROM turns UNION SELECT b.origin, e.dst, b.hop - 1 FROM back b JOIN edges e ON e.src = b.id AND e.rel_type = 'causedBy' WHERE b.hop > -10),
+fwd AS (SELECT id AS origin, id, 0 AS hop FROM turns UNION SELECT f.origin, e.src, f.hop + 1 FROM fwd f JOIN edges e ON e.dst = f.id AND e.rel_type = 'causedBy' WHERE f.hop < 10)
 SELECT * FROM back UNION SELECT * FROM fwd""")
 def g2_assembled_chain(t):
     """Both directions, over causes and the effects that inference derives from them."""
     causes = t.edges.where("rel_type = 'causedBy'")
     effects = causes.select(F.col("dst").alias("src"), F.lit("ledTo").alias("rel_type"), F.col("src").alias("dst"), "confidence", "inferred_by")
-    return graph.causal_chain(causes.unionByName(effects), t.turns, t.turns.where("id LIKE '%03'").select("id"))
+    return graph.causal_chain(causes.unionByName(effects), t.turns)
 
 
 @query("SELECT id, CASE WHEN id IN (SELECT obj_id FROM (SELECT obj_id, count(*) AS n FROM access_log GROUP BY obj_id) x WHERE n >= 14) THEN 'reflex' ELSE tier END AS tier FROM objects")

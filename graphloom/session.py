@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import atexit
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "graphloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -35,3 +38,26 @@ def work_dir(spark: SparkSession) -> str:
         return folder.rstrip("/")
     shared_dir(spark)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
+_stored: list[tuple[SparkSession, str]] = []
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again: its lineage is cut, and a lost executor costs no recomputation.  The table goes with the session."""
+    spark = df.sparkSession
+    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _stored.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _remove_stored() -> None:
+    for spark, path in _stored:
+        try:
+            if spark.sparkContext._jsc is not None:
+                p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session may be gone; the folder then stays for the cluster's own cleaning
+            return
