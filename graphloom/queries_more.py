@@ -350,6 +350,52 @@ def k4_stream_sessions(t):
     return _streamed(t, make, "complete", "sessions").select("obj_id", "n", secs("last_access").alias("last_s"))
 
 
+_BOOSTS = """WITH RECURSIVE b AS MATERIALIZED (SELECT CASE event_type WHEN 'click' THEN 'keyword' ELSE 'semantic' END AS boost, row_number() OVER (ORDER BY event_id) AS i FROM events WHERE event_type IN ('click', 'view')),
+w(i, keyword, semantic, graph, recency) AS (
+  SELECT 0::BIGINT, 0.4::DOUBLE, 0.3::DOUBLE, 0.2::DOUBLE, 0.1::DOUBLE
+  UNION ALL
+  SELECT b.i, round(greatest(0.05::DOUBLE, keyword + CASE WHEN boost = 'keyword' THEN 0.05::DOUBLE ELSE 0 END) / total, 4), round(greatest(0.05::DOUBLE, semantic + CASE WHEN boost = 'semantic' THEN 0.05::DOUBLE ELSE 0 END) / total, 4),
+    round(greatest(0.05::DOUBLE, graph) / total, 4), round(greatest(0.05::DOUBLE, recency) / total, 4)
+  FROM (SELECT *, greatest(0.05::DOUBLE, keyword) + greatest(0.05::DOUBLE, semantic) + greatest(0.05::DOUBLE, graph) + greatest(0.05::DOUBLE, recency) + 0.05::DOUBLE AS total FROM w) x JOIN b ON b.i = x.i + 1)
+SELECT keyword, semantic, graph, recency FROM w ORDER BY i DESC LIMIT 1"""
+
+
+@query(_BOOSTS)
+def k6_stream_weights(t):
+    """Weights adapted by a stream of boosts - clicks keyword, views semantic - every batch of which comes twice."""
+    import uuid
+
+    from graphloom.session import work_dir
+    from graphloom.streaming import streams
+
+    folder = f"{work_dir(t.spark)}/stream-weights-{uuid.uuid4().hex}"
+    log = streams.WeightLog(t.spark, f"{folder}/weights")
+    sink = log.sink(["event_id"])
+    events = streams.read(t.spark, t.sf_dir, t.table("events").schema, "events.parquet").where("event_type IN ('click', 'view')")
+    boosts = events.select("event_id", F.when(F.col("event_type") == "click", "keyword").otherwise("semantic").alias("boost"))
+    streams.run_available(boosts, f"{folder}/progress", lambda b, n: (sink(b, n), sink(b, n)) and None)
+    return t.spark.range(1).select(*(F.lit(v).alias(k) for k, v in log.read()[0].items()))
+
+
+@query("""WITH r AS (SELECT CAST(user_id AS VARCHAR) AS obj_id, epoch_us(CAST(ts AS TIMESTAMP)) // 1000 AS ms FROM events WHERE event_type = 'view'),
+w AS (SELECT max(ms) - 86400000 AS now FROM r),
+a AS (SELECT obj_id, ms, row_number() OVER (PARTITION BY obj_id ORDER BY ms) AS n, lag(ms) OVER (PARTITION BY obj_id ORDER BY ms) AS before, lead(ms) OVER (PARTITION BY obj_id ORDER BY ms) AS after, now FROM r, w WHERE ms <= now)
+SELECT obj_id, ms AS at_ms, 'promote' AS change FROM a WHERE n = 10 OR (n > 10 AND ms - before > 172800000)
+UNION ALL SELECT obj_id, ms + 172800000, 'demote' FROM a WHERE n >= 10 AND coalesce(after, now) - ms > 172800000""")
+def k4_tier_timers(t):
+    """Promotion at ten accesses and demotion after two days without one, by keyed state with event-time timers; objects come back."""
+    from datetime import timedelta
+
+    from graphloom.streaming import streams
+
+    def make(s: DataFrame) -> DataFrame:
+        reads = s.where("event_type = 'view'").select(F.col("user_id").cast("string").alias("obj_id"), F.col("ts").cast("timestamp").alias("ts"))
+        return streams.tier_changes(reads, inactive=timedelta(days=2))
+
+    with streams.timers(t.spark):
+        return _streamed(t, make, "append", "tiers").select("obj_id", F.unix_millis("at").alias("at_ms"), "change")
+
+
 @query("SELECT relname, is_symmetric, is_transitive FROM (VALUES ('causedBy', FALSE, FALSE), ('contradicts', TRUE, FALSE), ('supports', FALSE, FALSE), ('supersedes', FALSE, TRUE), ('dependsOn', FALSE, FALSE), ('ledTo', FALSE, FALSE), ('implements', FALSE, FALSE), ('mentions', FALSE, FALSE)) x(relname, is_symmetric, is_transitive)")
 def d14_relations(t):
     from graphloom.sources.ontology import schema_tables

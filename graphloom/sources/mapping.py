@@ -73,7 +73,8 @@ def duckdb_sql(body: str) -> str:
     ctes = [f"{n} AS ({_render(TABLES[n][1], 'make_timestamp(({}) * 1000000)')})" for n in need]
     recursive = bool(re.match(r"\s*WITH RECURSIVE", body))
     body = re.sub(r"^\s*WITH( RECURSIVE)?\s", "", body) if (more := re.match(r"\s*WITH\b", body)) else body
-    return (f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(ctes) + (",\n" if more else "\n") if ctes else "WITH " if more else "") + body
+    start = f"WITH {'RECURSIVE ' if recursive else ''}"
+    return (start + ",\n".join(ctes) + (",\n" if more else "\n") if ctes else start if more else "") + body
 
 
 class Sample:

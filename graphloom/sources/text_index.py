@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import text as X
 from graphloom.model import FIELD_WEIGHTS
 from graphloom.session import work_dir
+from graphloom.sources.files import commit, listed, located, read_text
 
 #: Document numbers of a block; blocks that a search scores first.
 BLOCK, FIRST_BLOCKS = 4096, 64
@@ -44,38 +45,6 @@ SLACK = 1 + 1e-9
 _FORMAT = 1
 
 
-def _paths(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def _list(spark: SparkSession, path: str) -> list[str]:
-    p, fs = _paths(spark, path)
-    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
-
-
-def _read_text(spark: SparkSession, path: str) -> str:
-    p, fs = _paths(spark, path)
-    stream = fs.open(p)
-    try:
-        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
-    finally:
-        stream.close()
-
-
-def _commit(spark: SparkSession, folder: str, name: str, text: str) -> None:
-    """Write a file and rename it into place; fails if there is one of the name, for then another writer was first."""
-    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
-    temp, fs = _paths(spark, f"{folder}/.{uuid.uuid4().hex}")
-    out = fs.create(temp, False)
-    out.write(bytearray(text.encode()))
-    out.close()
-    final, _ = _paths(spark, f"{folder}/{name}")
-    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(temp.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
-    files.rename(temp, final, gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
-
-
 def forward(objects: DataFrame, fields: tuple[str, ...], attributes: tuple[str, ...], stemmed: bool) -> DataFrame:
     """(id, attributes, len, terms, n0, n1, ...): each document's distinct terms with their counts by field.  Texts are split by Spark and counted in batches."""
     split = X.stems if stemmed else X.tokens
@@ -167,8 +136,8 @@ class TextIndex:
     @staticmethod
     def open(spark: SparkSession, path: str) -> TextIndex | None:
         """The newest version, None where there is none."""
-        found = sorted(n for n in _list(spark, f"{path}/manifests") if n.startswith("v"))
-        return TextIndex(spark, path, json.loads(_read_text(spark, f"{path}/manifests/{found[-1]}"))) if found else None
+        found = sorted(n for n in listed(spark, f"{path}/manifests") if n.startswith("v"))
+        return TextIndex(spark, path, json.loads(read_text(spark, f"{path}/manifests/{found[-1]}"))) if found else None
 
     @staticmethod
     def of(objects: DataFrame, stemmed: bool = False) -> TextIndex:
@@ -182,7 +151,7 @@ class TextIndex:
             return TextIndex.create(spark, f"{work_dir(spark)}/text-index-{uuid.uuid4().hex}", stemmed=stemmed).apply(objects)
         marks = [str(objects.select(*objects.columns).semanticHash())]
         for f in files:
-            p, fs = _paths(spark, f)
+            p, fs = located(spark, f)
             s = fs.getFileStatus(p)
             marks.append(f"{f}:{s.getLen()}:{s.getModificationTime()}")
         name = hashlib.sha256(json.dumps([_FORMAT, stemmed, objects.columns, *marks]).encode()).hexdigest()[:24]
@@ -193,7 +162,7 @@ class TextIndex:
         return (found or TextIndex.create(spark, path, stemmed=stemmed)).apply(objects)
 
     def _committed(self, manifest: dict) -> TextIndex:
-        _commit(self.spark, f"{self.path}/manifests", f"v{manifest['version']:012d}", json.dumps(manifest))
+        commit(self.spark, f"{self.path}/manifests", f"v{manifest['version']:012d}", json.dumps(manifest))
         return TextIndex(self.spark, self.path, manifest)
 
     # -- tables
@@ -272,8 +241,8 @@ class TextIndex:
         most = ", ".join(f"most_{c} int" for c in self._counts)
         blocks = dealt.mapInArrow(_blocked(self._counts), f"bucket int, term string, block int, n int, least int, {most}, entries array<{self._entry}>")
         blocks.write.partitionBy("bucket").option("parquet.block.size", 8 << 20).parquet(f"{self.path}/postings/seg={number}")
-        folders = sorted(int(n.partition("=")[2]) for n in _list(spark, f"{self.path}/postings/seg={number}") if n.startswith("bucket="))
-        p, fs = _paths(spark, staged)
+        folders = sorted(int(n.partition("=")[2]) for n in listed(spark, f"{self.path}/postings/seg={number}") if n.startswith("bucket="))
+        p, fs = located(spark, staged)
         fs.delete(p, True)
         return {"id": number, "docs": total, "length": sum(x[2] for x in parts), "buckets": buckets, "folders": folders, "gone": [], "n_gone": 0, "length_gone": 0}
 

@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass, field
+from datetime import timedelta
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from graphloom.functions import text as X
+from graphloom.model import WEIGHTS
+from graphloom.operators.learn import adapt_runs, boost_runs
+from graphloom.sources.files import commit, listed, read_text
+
+#: The state store that timers need.
+ROCKSDB = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def read(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet", files_per_trigger: int = 100) -> DataFrame:
@@ -54,16 +66,98 @@ def run_available(stream: DataFrame, checkpoint: str, sink: Callable[[DataFrame,
         raise query.exception()
 
 
-def fold_weights(weights: dict[str, float], store: Callable[[dict[str, float]], None]) -> Callable[[DataFrame, int], None]:
-    """A sink that adapts weights by the boosts (ts, boost) of each batch; only their counts in runs of order leave the executors."""
-    from graphloom.operators.learn import adapt
-
-    held = dict(weights)
-
-    def sink(batch: DataFrame, _: int) -> None:
-        nonlocal held
-        for row in batch.orderBy("ts").select("boost").toLocalIterator():
-            held = adapt(held, [row.boost])
-        store(held)
-
-    return sink
+@dataclass(frozen=True)
+class WeightLog:
+    """Ranking weights kept by a stream of boosts: one small file a batch, renamed into place, so that a batch that comes again changes nothing."""
+
+    spark: SparkSession
+    path: str
+    start: dict[str, float] = field(default_factory=lambda: dict(WEIGHTS))
+
+    def read(self) -> tuple[dict[str, float], int]:
+        """(weights, number of the last batch), the start and -1 before the first one."""
+        found = sorted(n for n in listed(self.spark, self.path) if n.startswith("b"))
+        if not found:
+            return dict(self.start), -1
+        return json.loads(read_text(self.spark, f"{self.path}/{found[-1]}")), int(found[-1][1:])
+
+    def sink(self, order: list[str]) -> Callable[[DataFrame, int], None]:
+        """A foreachBatch function that adapts the weights by a batch's boosts (boost, order columns); the tasks put them into runs."""
+
+        def run(batch: DataFrame, number: int) -> None:
+            weights, last = self.read()
+            if number > last:
+                commit(self.spark, self.path, f"b{number:012d}", json.dumps(adapt_runs(weights, boost_runs(batch.select("boost", *order), order))))
+
+        return run
+
+
+class _Tiers(StatefulProcessor):
+    """Accesses of one object: waiting ones until the watermark has passed them, then in order; a timer wakes the object for the next of them or for its demotion."""
+
+    def __init__(self, promote_at: int, inactive_ms: int) -> None:
+        self.promote_at, self.inactive_ms = promote_at, inactive_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", "n long, last long, reflex boolean")
+        self.waiting = handle.getListState("waiting", "ms long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        new = [(int(ms),) for part in rows for ms in part["ms"]]
+        self.waiting.appendList(new)
+        yield self._advanced(key, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        yield self._advanced(key, timerValues.getCurrentWatermarkInMs())
+
+    def _advanced(self, key, now: int) -> pd.DataFrame:
+        n, last, reflex = self.state.get() if self.state.exists() else (0, 0, False)
+        waiting = sorted(r[0] for r in self.waiting.get())
+        ready, rest = [x for x in waiting if x <= now], [x for x in waiting if x > now]
+        out = []
+        for x in ready:
+            if reflex and x - last > self.inactive_ms:
+                out.append((last + self.inactive_ms, "demote"))
+                reflex = False
+            n, last = n + 1, x
+            if n >= self.promote_at and not reflex:
+                out.append((x, "promote"))
+                reflex = True
+        if reflex and now - last > self.inactive_ms:
+            out.append((last + self.inactive_ms, "demote"))
+            reflex = False
+        self.state.update((n, last, reflex))
+        if rest:
+            self.waiting.put([(x,) for x in rest])
+        else:
+            self.waiting.clear()
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old if isinstance(old, int) else old[0])
+        wake = [*rest[:1], *([last + self.inactive_ms + 1] if reflex else [])]
+        if wake:
+            self.handle.registerTimer(max(min(wake), now + 1))
+        plain = lambda values: pd.Series(values, dtype=object)  # noqa: E731  Spark takes strings in one piece
+        return pd.DataFrame({"obj_id": plain([key[0]] * len(out)), "at": pd.to_datetime([x for x, _ in out], unit="ms"), "change": plain([c for _, c in out])})
+
+
+@contextmanager
+def timers(spark: SparkSession) -> Iterator[None]:
+    """Queries that start within have the state store that timers need."""
+    before = spark.conf.get(ROCKSDB[0], None)
+    spark.conf.set(*ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.unset(ROCKSDB[0]) if before is None else spark.conf.set(ROCKSDB[0], before)
+
+
+def tier_changes(reads: DataFrame, at: str = "ts", promote_at: int = 10, inactive: timedelta = timedelta(days=30), late: str = "1 day") -> DataFrame:
+    """(obj_id, at, change) in append mode: `promote` at the access that is the promote_at-th or a later one of an object that is not reflex, `demote`
+    once it was not accessed for `inactive`.  Objects that come back are promoted again, for their accesses are counted on.
+
+    State is one row an object and its accesses within the watermark, in RocksDB (spark.sql.streaming.stateStore.providerClass must name it).
+    Rows out of order within `late` change nothing: an access counts when the watermark has passed it.
+    """
+    rows = reads.withWatermark(at, late).select("obj_id", at, F.unix_millis(at).alias("ms"))
+    return rows.groupBy("obj_id").transformWithStateInPandas(_Tiers(promote_at, int(inactive.total_seconds() * 1000)), "obj_id string, at timestamp, change string", "Append", "EventTime")
