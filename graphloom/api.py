@@ -13,6 +13,7 @@ from graphloom.functions import scoring
 from graphloom.functions.embed import Provider, embed, hashing_provider
 from graphloom.operators import detect, graph, ingest, learn, present, store, temporal
 from graphloom.plans import hybrid, pipeline
+from graphloom.session import stored
 from graphloom.sources.text_index import TextIndex
 
 MOST = 1000
@@ -33,6 +34,7 @@ class Engine:
     weights: dict[str, float] = field(default_factory=lambda: dict(model.WEIGHTS))
     provider: Provider = field(default_factory=hashing_provider)
     index: TextIndex | None = None
+    quarantine: DataFrame | None = None
 
     # -- public
 
@@ -107,10 +109,24 @@ class Engine:
         return present.summary(store.list_objects(self.objects, kind, project, limit, offset))
 
     def pipeline(self, found: DataFrame | None = None) -> tuple[Engine, dict[str, str]]:
-        """Normalise, link by tags, enrich, infer.  A stage that fails leaves what was there."""
-        objects, status = pipeline.run([("normalize", lambda o: pipeline.normalize(o, found)), ("enrich", lambda o: pipeline.enrich(o, self.edges).drop("degree", "staleness"))], self.objects)
-        e, m = ingest.tag_entities(objects)
-        return replace(self, objects=objects, entities=store.insert(self.entities, e), mentions=self.mentions.unionByName(m).distinct(), edges=pipeline.reason(self.edges)), status
+        """Normalise, link by tags, enrich, infer.  A row that fails is left as it was and quarantined, a stage that fails leaves what was there."""
+        stages = [("normalize", lambda o, _: pipeline.normalize(o, found)), ("enrich", lambda o, every: pipeline.enrich(o, self.edges, every).drop("degree", "staleness"))]
+        objects, status, bad = pipeline.run_isolated(stages, self.objects)
+        new = replace(self, objects=objects, quarantine=bad if self.quarantine is None else self.quarantine.unionByName(bad))
+        for name, stage in (("link", new._linked), ("reason", new._reasoned)):
+            try:
+                new, status[name] = replace(new, **stage()), "ok"
+            except Exception as e:
+                status[name] = f"failed: {str(e)[:200]}"
+        status["pipeline"] = "complete" if all(s == "ok" for k, s in status.items() if k != "pipeline") else "partial"
+        return new, status
+
+    def _linked(self) -> dict[str, DataFrame]:
+        e, m = ingest.tag_entities(self.objects)
+        return {"entities": stored(store.insert(self.entities, e), "entities"), "mentions": stored(self.mentions.unionByName(m).distinct(), "mentions")}
+
+    def _reasoned(self) -> dict[str, DataFrame]:
+        return {"edges": stored(pipeline.reason(self.edges), "edges")}
 
     def classify(self, rows: DataFrame, now: Column) -> Engine:
         """Given classifications replace non-empty fields, with confidence 0.9."""

@@ -39,10 +39,34 @@ def dossier(topic: str, objects: DataFrame, edges: DataFrame, mentions: DataFram
     return {"objects": timeline.limit(listed), "timeline": timeline, "contradictions": pairs, "entities": entities.join(seen, entities.id == seen.entity_id, "left_semi")}
 
 
+def narrative(sources: DataFrame, told: int = 20) -> DataFrame:
+    """(narrative): one line for each of the `told` newest of a few sources, type and title; a line that says so where there are none."""
+    lines = sources.orderBy(F.desc("created_at"), "id").limit(told).select(F.struct((-F.unix_micros("created_at")).alias("at"), "id", F.concat(F.lit("- ["), "type", F.lit("] "), "title").alias("line")).alias("l"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["line"]), "\n")
+    return lines.agg(F.when(F.count("*") > 0, text).otherwise("No knowledge in this period.").alias("narrative"))
+
+
+def dossier_connections(listed: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, direction, rel_type, other, title): relationships of a dossier's first object - the newest of the listed ones - with the others of the dossier."""
+    few = listed.select("id", "title", "created_at")  # as many as a dossier lists
+    first = few.orderBy(F.desc("created_at"), "id").limit(1).select("id")
+    own = adjacency(edges).join(F.broadcast(first), "id", "left_semi")
+    return own.join(F.broadcast(few.select(F.col("id").alias("other"), "title")), "other").select("id", "direction", "rel_type", "other", "title")
+
+
+def linked_files(objects: DataFrame, edges: DataFrame) -> DataFrame:
+    """(path, rel_type, target): an exported note's links by the file names that the export gives, without folder and ending; targets that are not exported are left out."""
+    paths = file_paths(objects)
+    name = F.regexp_replace(F.substring_index("path", "/", -1), r"\.md$", "")
+    out = edges.where("rel_type <> 'mentions'").join(paths.select(F.col("id").alias("src"), "path"), "src").join(paths.select(F.col("id").alias("dst"), name.alias("target")), "dst")
+    return out.select("path", "rel_type", "target").distinct()
+
+
 def synthesis(objects: DataFrame, as_of: Column, period_days: int = 7, project: str = "", listed: int = 30) -> dict[str, DataFrame]:
     """Themes of the period (count by type) and its newest sources."""
     recent = equals(since(objects, as_of, period_days), project=project)
-    return {"themes": recent.groupBy("type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "type"), "sources": recent.orderBy(F.desc("created_at"), "id").limit(listed)}
+    sources = recent.orderBy(F.desc("created_at"), "id").limit(listed)
+    return {"narrative": narrative(sources), "themes": recent.groupBy("type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "type"), "sources": sources}
 
 
 def alerts(objects: DataFrame, edges: DataFrame, mentions: DataFrame, as_of: Column, window_days: int = 14, threshold: int = 3) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import scoring as S
 from graphloom.functions import text as X
 from graphloom.operators import detect, graph, store
+from graphloom.session import stored
 
 
 def normalize(objects: DataFrame, found: DataFrame | None = None) -> DataFrame:
@@ -31,11 +33,11 @@ def normalize(objects: DataFrame, found: DataFrame | None = None) -> DataFrame:
     return j.select(*(fill(c) if c in ("tags", "project") else made[c].alias(c) if c in made else F.col(c) for c in objects.columns))
 
 
-def enrich(objects: DataFrame, edges: DataFrame) -> DataFrame:
-    """Objects with tier, degree and staleness."""
+def enrich(objects: DataFrame, edges: DataFrame, every: DataFrame | None = None) -> DataFrame:
+    """Objects with tier, degree and staleness; `every` holds what they may depend on, if that is more than the objects."""
     out = objects.withColumn("tier", S.tier(F.col("tier"), F.col("summary"), F.col("confidence"))).withColumn("pipeline_stage", F.lit("enriched"))
     out = out.join(store.degree(edges), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-    return out.join(detect.staleness(objects, edges), "id", "left")
+    return out.join(detect.staleness(objects if every is None else every, edges), "id", "left")
 
 
 def capture(rows: DataFrame, template: str, fields: dict[str, Column], at: Column) -> DataFrame:
@@ -59,6 +61,73 @@ def run(stages: list[tuple[str, Callable[[DataFrame], DataFrame]]], objects: Dat
     return objects, status
 
 
+#: Parts that a failed set of rows is tried again in, and rows of a stage that may fail alone before the stage counts as failed.
+PARTS, MOST_BAD = 4, 100
+
+
+def isolated(stage: Callable[[DataFrame, DataFrame], DataFrame], objects: DataFrame, most_bad: int = MOST_BAD) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """(the stage's result for all rows that it can work, (id, error) of those that fail at run time, whatever raises).
+
+    stage: (rows, all objects) to rows, each worked for itself.  The stage's result is written; where that fails, the rows are dealt out by a hash of
+    their id into PARTS sets, and each is tried again, down to the ids that fail alone: about PARTS log n small jobs for each of them
+    and none where all is well.  More than most_bad such ids, or a part of a first split that fails like all others, mean that the stage itself is broken: it raises.
+    """
+    every = stored(objects, "stage-input")
+    done: list[DataFrame] = []
+    bad: list[tuple[str, str]] = []
+
+    def attempt(rows: DataFrame, level: int) -> str | None:
+        try:
+            done.append(stored(stage(rows, every), "stage-output"))
+            return None
+        except Exception as e:
+            error = str(e).strip().splitlines()[0][:300] if str(e).strip() else type(e).__name__
+        ids = [r.id for r in rows.select("id").distinct().limit(2).collect()]
+        if len(ids) < 2:
+            bad.extend((i, error) for i in ids)
+            if len(bad) > most_bad:
+                raise RuntimeError(f"more than {most_bad} rows fail, the first: {bad[0][1]}")
+            return error
+        part = F.pmod(F.xxhash64(F.lit(level), "id"), F.lit(PARTS))
+        before = len(done)
+        for k in range(PARTS):
+            own = rows.where(part == k)
+            if not own.isEmpty():
+                attempt(own, level + 1)
+        if level == 0 and len(done) == before:
+            raise RuntimeError(error)
+        return error
+
+    attempt(every, 0)
+    return functools.reduce(DataFrame.unionByName, done), bad
+
+
+def run_isolated(stages: list[tuple[str, Callable[[DataFrame, DataFrame], DataFrame]]], objects: DataFrame, most_bad: int = MOST_BAD) -> tuple[DataFrame, dict[str, str], DataFrame]:
+    """Stages in order over all rows: (objects, status of each stage, quarantine of (id, stage, error)).
+
+    A row that a stage cannot work is left as it was before it, takes no part in later stages and is quarantined; a stage that fails altogether
+    leaves all rows as they were.
+    """
+    status: dict[str, str] = {}
+    held: list[tuple[str, str, str]] = []
+    aside: list[DataFrame] = []
+    for name, stage in stages:
+        try:
+            new, bad = isolated(stage, objects, most_bad)
+        except Exception as e:
+            status[name] = f"failed: {str(e)[:200]}"
+            continue
+        if bad:  # most_bad ids at most
+            out = objects.where(F.col("id").isin([i for i, _ in bad]))
+            aside.append(stored(out, "quarantined"))
+            held += [(i, name, e) for i, e in bad]
+        objects, status[name] = new, f"partial: {len(bad)} quarantined" if bad else "ok"
+    status["pipeline"] = "complete" if all(s == "ok" for s in status.values()) else "partial"
+    for rows in aside:
+        objects = objects.unionByName(rows, allowMissingColumns=True)
+    return objects, status, objects.sparkSession.createDataFrame(held, "id string, stage string, error string")
+
+
 def reason(edges: DataFrame, **options) -> DataFrame:
     """edges plus all that the rules infer."""
     made, _ = graph.infer(edges, **options)

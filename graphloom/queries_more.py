@@ -11,7 +11,7 @@ from graphloom.functions import scoring as S
 from graphloom.functions import text as X
 from graphloom.operators import detect, graph, ingest, learn, present, store, temporal
 from graphloom.plans import hybrid, pipeline
-from graphloom.queries import ASOF_SQL, TERM, _bm25_sql, _query_vector, _streamed, as_of, joined, query, secs
+from graphloom.queries import ASOF_SQL, ORACLE, TERM, _bm25_sql, _query_vector, _streamed, as_of, joined, query, secs
 
 _ADJ = "adj AS (SELECT src AS id, rel_type, dst AS other FROM edges UNION ALL SELECT dst, rel_type, src FROM edges)"
 
@@ -43,6 +43,23 @@ def s24_vault_export(t):
     return files.groupBy(F.when(F.startswith("path", F.lit("hubs/")), "hub").otherwise("file").alias("kind")).agg(F.count("*").alias("n"))
 
 
+def s24_vault_written(t):
+    """The whole vault written by tasks, read again in parts: every path with a digest of its text."""
+    import uuid
+
+    from graphloom.session import work_dir
+    from graphloom.sources import vault
+
+    folder = f"{work_dir(t.spark)}/vault-{uuid.uuid4().hex}"
+    vault.write_vault(vault.vault_files(t.objects, t.edges, t.mentions, t.entities), folder)
+    return t.spark.read.format("vault").load(folder).select("path", F.md5("raw").alias("digest"))
+
+
+query()(s24_vault_written)
+ORACLE["s24_vault_written"] = f"""SELECT path, md5(markdown) AS digest FROM ({ORACLE['s25_export_markdown']}) a JOIN ({ORACLE['w7_path_collision']}) b USING (id)
+UNION ALL SELECT 'hubs/' || project || '.md', md5(hub) FROM ({ORACLE['a25_hub_files']}) c"""
+
+
 @query("SELECT id FROM objects WHERE type = 'lesson' AND project = 'src1'")
 def p3_equality_filters(t):
     return store.equals(t.objects, type="lesson", project="src1", tier="").select("id")
@@ -289,6 +306,16 @@ def m5_pipeline_reason(t):
     return pipeline.reason(t.edges.where("rel_type = 'contradicts'")).select("src", "rel_type", "dst")
 
 
+@query("SELECT id, CASE WHEN CAST(id AS BIGINT) % 500 = 7 THEN 'ingest' ELSE 'enriched' END AS pipeline_stage, CASE WHEN CAST(id AS BIGINT) % 500 = 7 THEN 'normalize' END AS stage FROM (SELECT * FROM objects) o")
+def m5_isolated_rows(t):
+    """One object in 500 makes its stage raise at run time: it alone is quarantined and stays as it was, all others go through both stages."""
+    poison = F.when(F.col("id").cast("long") % 500 == 7, F.raise_error(F.lit("cannot be classified")).cast("string"))
+    fresh = t.objects.drop("content").withColumn("content", F.lit("")).withColumn("pipeline_stage", F.lit("ingest"))
+    stages = [("normalize", lambda o, _: pipeline.normalize(o).withColumn("tags", F.coalesce(poison, "tags"))), ("enrich", lambda o, every: pipeline.enrich(o, t.edges.where("rel_type = 'dependsOn'"), every).drop("degree", "staleness"))]
+    objects, _, bad = pipeline.run_isolated(stages, fresh, most_bad=1_000_000)
+    return objects.join(bad, "id", "left").select("id", "pipeline_stage", "stage")
+
+
 @query("SELECT client, count(*) AS n FROM requests GROUP BY client")
 def k1_stream_log(t):
     def make(s: DataFrame) -> DataFrame:
@@ -406,3 +433,37 @@ def d14_relations(t):
 @query(f"SELECT count(*) AS n FROM objects WHERE octet_length(encode(title)) > 0 AND type IN {model.OBJECT_TYPES}")
 def d1_valid_objects(t):
     return t.objects.where(F.col("type").isin(*model.OBJECT_TYPES) & (F.octet_length("title") > 0)).agg(F.count("*").alias("n"))
+
+
+@query("""WITH recent AS (SELECT id, type, title, created_at FROM objects WHERE created_at >= TIMESTAMP '2024-01-20' - INTERVAL 7 DAY AND project = 'src2' ORDER BY created_at DESC, id LIMIT 30),
+told AS (SELECT * FROM recent ORDER BY created_at DESC, id LIMIT 20)
+SELECT coalesce(string_agg('- [' || type || '] ' || title, chr(10) ORDER BY created_at DESC, id), 'No knowledge in this period.') AS narrative FROM told""")
+def x9_narrative(t):
+    return present.synthesis(t.objects, F.lit("2024-01-20").cast("timestamp"), project="src2")["narrative"]
+
+
+@query("""WITH listed AS (SELECT id, title, created_at FROM objects WHERE id IN (SELECT obj_id FROM mentions WHERE entity_id = 'e:en')),
+first AS (SELECT id FROM listed ORDER BY created_at DESC, id LIMIT 1),
+steps AS (SELECT id AS src, 'implements' AS rel_type, CAST(CAST(id AS BIGINT) - k AS VARCHAR) AS dst FROM objects, (VALUES (4), (8), (12), (16)) x(k)),
+all_edges AS (SELECT src, rel_type, dst FROM edges WHERE rel_type <> 'mentions' UNION ALL SELECT * FROM steps),
+adj AS (SELECT src AS id, 'outgoing' AS direction, rel_type, dst AS other FROM all_edges UNION ALL SELECT dst, 'incoming', rel_type, src FROM all_edges)
+SELECT id, direction, rel_type, other, title FROM adj JOIN (SELECT id AS other, title FROM listed) l USING (other) WHERE id IN (SELECT id FROM first)""")
+def j30_dossier_connections(t):
+    """A dossier's first object with what it has to do with the others; every object implements some that came four steps apart before it."""
+    dossier = present.dossier("EN", t.objects, t.edges, t.mentions, t.entities)
+    steps = t.objects.select(F.col("id").alias("src"), F.lit("implements").alias("rel_type"), F.explode(F.array(*map(F.lit, (4, 8, 12, 16)))).alias("k")).select("src", "rel_type", (F.col("src").cast("long") - F.col("k")).cast("string").alias("dst"))
+    return present.dossier_connections(dossier["timeline"], t.edges.select("src", "rel_type", "dst").unionAll(steps))
+
+
+@query("SELECT DISTINCT a.path, e.rel_type, regexp_replace(split_part(b.path, '/', -1), '\\.md$', '') AS target FROM edges e JOIN (" + ORACLE["w7_path_collision"] + ") a ON a.id = e.src JOIN (" + ORACLE["w7_path_collision"] + ") b ON b.id = e.dst WHERE e.rel_type <> 'mentions'")
+def j31_links_by_file(t):
+    return present.linked_files(t.objects, t.edges)
+
+
+@query("SELECT client, epoch_us(w) // 1000000 AS start_s, count(*) AS n FROM (SELECT client, unnest(generate_series(date_trunc('second', ts) - INTERVAL 3599 SECOND, date_trunc('second', ts), INTERVAL 600 SECOND)) AS w0, ts FROM requests), LATERAL (SELECT time_bucket(INTERVAL 600 SECOND, w0 + INTERVAL 599 SECOND, TIMESTAMP '1970-01-01') AS w) WHERE w <= ts AND ts < w + INTERVAL 3600 SECOND GROUP BY 1, 2 HAVING count(*) > 1")
+def k5_stream_sliding_rate(t):
+    """Clients over one request in an hour that slides by ten minutes."""
+    from graphloom.streaming import streams
+
+    rows = lambda s: s.select(F.col("user_id").alias("client"), F.col("ts").cast("timestamp").alias("ts"))
+    return _streamed(t, lambda s: streams.request_rate(rows(s), window="1 hour", slide="10 minutes", most=1), "complete", "sliding").select("client", secs("start").alias("start_s"), "n")

@@ -126,3 +126,28 @@ def test_two_updates_in_one_batch_make_two_versions(spark):
     assert [(r.version_num, r.title) for r in new.history.orderBy("version_num").collect()] == [(1, "Old"), (2, "Zed")]
     again = new.update(changes.where("seq = 1"), F.timestamp_seconds(F.lit(1_800_000_100)))
     assert [(r.version_num, r.title) for r in again.history.orderBy("version_num").collect()] == [(1, "Old"), (2, "Zed"), (3, "Abe")]
+
+
+def test_rows_that_fail_at_run_time_fail_alone(spark):
+    from graphloom.plans import pipeline
+
+    rows = spark.range(60).select(F.col("id").cast("string").alias("id"), F.lit("ingest").alias("stage"))
+    bad = F.col("id").isin("7", "41")
+    broken = lambda o, _: o.withColumn("stage", F.when(bad, F.raise_error(F.lit("no")).cast("string")).otherwise("one"))
+    counted = lambda o, every: o.withColumn("stage", F.concat("stage", F.lit("+two"))).crossJoin(every.agg(F.count("*").alias("n")))
+    out, status, held = pipeline.run_isolated([("first", broken), ("second", counted)], rows)
+    got = {r.id: (r.stage, r.n) for r in out.collect()}
+    assert got == {str(i): ("ingest", None) if i in (7, 41) else ("one+two", 58) for i in range(60)}
+    assert status == {"first": "partial: 2 quarantined", "second": "ok", "pipeline": "partial"}
+    assert sorted((r.id, r.stage) for r in held.collect()) == [("41", "first"), ("7", "first")] and all("no" in r.error for r in held.collect())
+
+
+def test_a_stage_that_is_broken_leaves_all_rows_as_they_were(spark):
+    from graphloom.plans import pipeline
+
+    rows = spark.range(20).select(F.col("id").cast("string").alias("id"))
+    always = lambda o, _: o.withColumn("x", F.raise_error(F.lit("broken")))
+    out, status, held = pipeline.run_isolated([("bad", always), ("worse", lambda o, _: o.select("nothing")), ("good", lambda o, _: o.withColumn("y", F.lit(1)))], rows)
+    assert out.columns == ["id", "y"] and out.count() == 20 and held.count() == 0
+    assert status["bad"].startswith("failed") and status["worse"].startswith("failed") and status["good"] == "ok" and status["pipeline"] == "partial"
+    assert pipeline.run_isolated([("good", lambda o, _: o)], rows.limit(0))[0].count() == 0
