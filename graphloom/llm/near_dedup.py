@@ -8,7 +8,7 @@ Fingerprints alone would miss many pairs at 0.8 (they differ in some ten bits of
 shingles, two sets of n and m shingles that are alike by t share one among the first n - ceil(tn) + 1 of the one and
 m - ceil(tm) + 1 of the other.  Shingles that a sample finds common come last in that order; any order loses no pair, this
 one keeps keys small.  All pairs of such a key that are still in different components are compared, in cells where the
-key is a hot one; a pair must share enough early shingles to reach t at all, and so must its sketches: counts of the shingles by
+key is a hot one, and the join itself leaves out pairs whose parities show that they differ in too many shingles; a pair must share enough early shingles to reach t at all, and so must its sketches: counts of the shingles by
 hash, about two to a byte, whose smaller ones add up to at least what the sets have in common.  Only pairs that pass are compared shingle by shingle.
 
 Texts are not shuffled for this: the shingle sets that are to be compared are made where the text lies, told by a filter of bounded
@@ -39,6 +39,10 @@ from .simhash import SEED, fold, links, shingle_hashes
 SAMPLE, COMMON = 4_000, 500_000
 #: Texts of a key in one cell.
 CELL = 1_000
+#: Turns in which every component is tried against a larger one before pairs are formed.
+TURNS = 1
+#: 64-bit words of parity that every set of shingles has for the join's own test.
+PARITY = 4
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -59,6 +63,12 @@ def sketch(own: np.ndarray) -> bytes | None:
     return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
 
 
+def parity(own: np.ndarray) -> np.ndarray:
+    """PARITY words of bits, each told by whether an odd number of the set's hashes fall on it: two sets differ in at least as many members as bits."""
+    counts = np.bincount((own.view(np.uint64) >> np.uint64(40)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
 def most_common(a: bytes, b: bytes) -> tuple[int, int]:
     """(the most shingles that two sets can have in common, the number of both together), by their sketches."""
     x, y = sorted((np.frombuffer(a, np.uint8).astype(np.int64), np.frombuffer(b, np.uint8).astype(np.int64)), key=len)
@@ -89,7 +99,7 @@ def _marks(shingle: int, similarity: float, order):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, ranks = order.value
         for batch in batches:
-            cls, fps, sizes, firsts, sketches = [], [], [], [], []
+            cls, fps, sizes, firsts, sketches, bits = [], [], [], [], [], []
             for t in batch.column("text"):
                 words = _words(t.as_py())
                 hashes = shingle_hashes(words, shingle)
@@ -102,8 +112,9 @@ def _marks(shingle: int, similarity: float, order):
                 cls.append(_class(words))
                 sizes.append(len(own))
                 sketches.append(sketch(own))
+                bits.append(parity(own))
                 firsts.append(own[np.lexsort((own, rank))][: early(len(own), similarity)])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(cls, pa.int64()), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["id", "class", "fp", "size", "firsts", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(cls, pa.int64()), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(bits, pa.list_(pa.int64()))], ["id", "class", "fp", "size", "firsts", "sketch", "bits"])
 
     return run
 
@@ -169,6 +180,19 @@ def _by_fingerprint(classes: DataFrame) -> DataFrame:
     return same.unionByName(ends.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")))
 
 
+def _turn(shared: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
+    """(u, v): for every component one text of it against one of the largest other component that it shares an early shingle with, another one each turn.
+
+    As many tries as components; large groups of texts that are alike grow together by them, so that few pairs are left to compare.
+    """
+    rooted = shared.join(roots, "class", "left").select("key", "class", F.coalesce("root", "class").alias("root"))
+    of = rooted.groupBy("key", "root").agg(F.count("*").alias("m"), F.min_by("class", F.xxhash64("class", F.lit(turn))).alias("text"))
+    top = of.groupBy("key").agg(F.max_by(F.struct("root", "text", "m"), F.struct("m", "root")).alias("top"), F.count("*").alias("n")).where("n > 1")
+    other = of.join(top, "key").where(F.col("root") != F.col("top.root"))
+    tried = other.groupBy("root").agg(F.max_by(F.struct("text", F.col("top.text").alias("to")), F.struct(F.col("top.m"), F.xxhash64("key", F.lit(turn)))).alias("t"))
+    return tried.select(F.least("t.text", "t.to").alias("u"), F.greatest("t.text", "t.to").alias("v"))
+
+
 def _links(rows: DataFrame, marked: DataFrame, classes: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Verified links (u, v) of classes that connect all that are alike, by components."""
     keyed = marked.dropDuplicates(["class"]).select("class", "size", F.posexplode("firsts").alias("place", "key"))
@@ -181,9 +205,16 @@ def _links(rows: DataFrame, marked: DataFrame, classes: DataFrame, shingle: int,
         F.least("class", "centre.class").alias("u"), F.greatest("class", "centre.class").alias("v"),
         F.when(turned, F.col("centre.size")).otherwise(F.col("size")).alias("a"), F.when(turned, F.col("size")).otherwise(F.col("centre.size")).alias("b"),
     )
-    tries = materialize(_enough(tries, similarity).unionByName(_by_fingerprint(classes)).distinct(), "near-tries")
+    # Besides, every text is tried against the centre that it has most shingles in common with, whatever that number shows.
+    met = shared.where(F.col("class") != F.col("centre.class")).groupBy("class", F.col("centre.class").alias("centre")).agg(F.count("*").alias("c"))
+    nearest = met.groupBy("class").agg(F.max_by("centre", F.struct("c", "centre")).alias("centre")).select(F.least("class", "centre").alias("u"), F.greatest("class", "centre").alias("v"))
+    tries = materialize(_enough(tries, similarity).unionByName(_by_fingerprint(classes)).unionByName(nearest).distinct(), "near-tries")
     first = _verified(rows, classes, tries, shingle, similarity)
     roots = materialize(components(first).withColumnRenamed("node", "class"), "near-first")
+    for turn in range(TURNS):
+        more = _verified(rows, classes, materialize(_turn(shared, roots, turn), "near-turn"), shingle, similarity)
+        first = materialize(first.unionByName(more), "near-links")
+        roots = materialize(components(first).withColumnRenamed("node", "class"), "near-roots")
     rooted = shared.join(roots, "class", "left").select("key", "class", "size", "n", F.coalesce("root", "class").alias("root"))
     cells = F.ceil(F.col("n") / CELL)
     rooted = materialize(rooted, "near-rooted")
@@ -191,12 +222,17 @@ def _links(rows: DataFrame, marked: DataFrame, classes: DataFrame, shingle: int,
     open_ = lookup_join(rooted, materialize(several, "near-several"), "key", "m").where("several")
     own = open_.withColumn("block", F.pmod(F.xxhash64("class"), cells)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), cells - 1)))
     dealt = own.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "class", "size", "root", "block")
+    # The join itself leaves out pairs that cannot be alike: sets alike by s differ in at most (1 - s) / (1 + s) of their sizes' sum, and in no fewer members than bits of parity.
+    words = [F.col("bits")[i].alias(f"b{i}") for i in range(PARITY)]
+    dealt = dealt.join(classes.select("class", *words), "class")
     dealt = materialize(dealt, "near-cells")
     x, y = dealt.alias("x"), dealt.alias("y")
     long, short = F.greatest("x.size", "y.size"), F.least("x.size", "y.size")
+    apart = sum((F.bit_count(F.col(f"x.b{i}").bitwiseXOR(F.col(f"y.b{i}"))) for i in range(PARITY)), F.lit(0))
     meet = (
         (F.col("x.key") == F.col("y.key")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.root") != F.col("y.root"))
         & (F.least("x.block", "y.block") == F.col("x.i")) & (F.greatest("x.block", "y.block") == F.col("x.j")) & (short >= similarity * long - 1e-9)
+        & (apart <= (1 - similarity) / (1 + similarity) * (F.col("x.size") + F.col("y.size")) + 1e-6)
     )
     met = x.join(y, meet).select(F.col("x.class").alias("u"), F.col("y.class").alias("v"), F.col("x.size").alias("a"), F.col("y.size").alias("b"))
     rest = _verified(rows, classes, materialize(_enough(met, similarity), "near-pairs"), shingle, similarity)
@@ -212,8 +248,8 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, shingle: int = 5, simil
     """(id, class, keep) of every document with an id: keep is the least (id, class) of its component."""
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     order = rows.sparkSession.sparkContext.broadcast(_order(rows, shingle))
-    marked = materialize(rows.mapInArrow(tidy(_marks(shingle, similarity, order)), f"id {rows.schema['id'].dataType.simpleString()}, class long, fp long, size int, firsts array<long>, sketch binary"), "near-marks")
-    classes = materialize(marked.groupBy("class").agg(F.min("id").alias("least"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.count("*").alias("n")), "near-classes")
+    marked = materialize(rows.mapInArrow(tidy(_marks(shingle, similarity, order)), f"id {rows.schema['id'].dataType.simpleString()}, class long, fp long, size int, firsts array<long>, sketch binary, bits array<long>"), "near-marks")
+    classes = materialize(marked.groupBy("class").agg(F.min("id").alias("least"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.first("bits").alias("bits"), F.count("*").alias("n")), "near-classes")
     alike = _links(rows, marked, classes, shingle, similarity)
     roots = materialize(components(alike).withColumn("one", F.lit(1).cast("long")), "near-roots")
     rooted = lookup_join(classes.select("class", "least", "n"), roots.withColumnRenamed("node", "class"), "class", "one").withColumn("root", F.coalesce("root", "class"))

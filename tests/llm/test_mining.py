@@ -325,3 +325,14 @@ def test_near_groups_with_a_shingle_in_most_texts(spark, monkeypatch):
                 if up[i] != up[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9:
                     up[i] = up[j] = min(up[i], up[j])
     assert {r.id: r.keep for r in near_dedup.near_groups(rows).collect()} == dict(enumerate(up))
+
+
+def test_parities_never_show_more_than_sets_differ_in():
+    from graphloom.llm import near_dedup
+
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 7, 300, 5000):
+        a = np.unique(rng.integers(-(2**63), 2**63 - 1, n))
+        b = np.unique(np.concatenate([a[: n // 2], rng.integers(-(2**63), 2**63 - 1, n // 3 + 2)]))
+        bits = np.bitwise_count((near_dedup.parity(a) ^ near_dedup.parity(b)).view(np.uint64)).sum()
+        assert len(near_dedup.parity(a)) == near_dedup.PARITY and bits <= len(np.setxor1d(a, b))
