@@ -467,3 +467,28 @@ def k5_stream_sliding_rate(t):
 
     rows = lambda s: s.select(F.col("user_id").alias("client"), F.col("ts").cast("timestamp").alias("ts"))
     return _streamed(t, lambda s: streams.request_rate(rows(s), window="1 hour", slide="10 minutes", most=1), "complete", "sliding").select("client", secs("start").alias("start_s"), "n")
+
+
+_CANDIDATES = """WITH placed AS (SELECT id, row_number() OVER (ORDER BY created_at, id) AS place FROM objects),
+candidates AS (SELECT a.id, b.id AS other, a.place - b.place AS recency FROM placed a JOIN placed b ON b.place BETWEEN a.place - 30 AND a.place - 1)"""
+
+
+@query(_CANDIDATES + " SELECT id, other, recency FROM candidates")
+def m7_link_candidates(t):
+    return ingest.link_candidates(t.objects)
+
+
+@query(_CANDIDATES + """, found AS (
+  SELECT c.id AS src, CASE WHEN recency % 7 = 0 THEN 'resembles' ELSE 'supports' END AS rel_type, CASE WHEN recency % 11 = 0 THEN c.id WHEN recency % 13 = 0 THEN 'nobody' ELSE c.other END AS dst, 0.95::DOUBLE - 0.02::DOUBLE * recency AS confidence
+  FROM candidates c JOIN objects a ON a.id = c.id JOIN objects b ON b.id = c.other WHERE a.tier = b.tier)
+SELECT src, rel_type, dst, round(max(confidence), 6) AS confidence FROM found WHERE rel_type = 'supports' AND dst <> src AND dst <> 'nobody' AND confidence > 0.5 GROUP BY ALL""")
+def m7_proposed_links(t):
+    """Proposals to the newest 30 of the same tier, some of an unknown type, some to themselves or to nobody, the older the less sure; those that hold."""
+    of = lambda c, p: t.objects.select(F.col("id").alias(c), F.col("tier").alias(p))
+
+    def propose(candidates: DataFrame) -> DataFrame:
+        same = candidates.join(of("id", "p"), "id").join(of("other", "q"), "other").where("p = q")
+        r = F.col("recency")
+        return same.select(F.col("id").alias("src"), F.when(r % 7 == 0, "resembles").otherwise("supports").alias("rel_type"), F.when(r % 11 == 0, F.col("id")).when(r % 13 == 0, "nobody").otherwise(F.col("other")).alias("dst"), (0.95 - 0.02 * r).alias("confidence"))
+
+    return ingest.proposed_links(t.objects, None, propose).withColumn("confidence", F.round("confidence", 6))

@@ -151,3 +151,22 @@ def test_a_stage_that_is_broken_leaves_all_rows_as_they_were(spark):
     assert out.columns == ["id", "y"] and out.count() == 20 and held.count() == 0
     assert status["bad"].startswith("failed") and status["worse"].startswith("failed") and status["good"] == "ok" and status["pipeline"] == "partial"
     assert pipeline.run_isolated([("good", lambda o, _: o)], rows.limit(0))[0].count() == 0
+
+
+def test_links_are_proposed_to_the_newest_objects_before(spark):
+    from graphloom.operators import ingest
+
+    rng = random.Random(2)
+    rows = [(f"o{i}", datetime.datetime(2024, 1, rng.randint(1, 9))) for i in range(40)]
+    objects = spark.createDataFrame(rng.sample(rows, 40), "id string, created_at timestamp").repartition(3)
+    order = [i for i, _ in sorted(rows, key=lambda r: (r[1], r[0]))]
+    expected = {(x, order[k - d], d) for k, x in enumerate(order) for d in range(1, 6) if k >= d}
+    assert {tuple(r) for r in ingest.link_candidates(objects, n=5).collect()} == expected
+    new = objects.where("id IN ('o3', 'o7')")
+    assert {tuple(r) for r in ingest.link_candidates(objects, new, 5).collect()} == {e for e in expected if e[0] in ("o3", "o7")}
+    far = next(x for x in order if ("o3", x) not in {e[:2] for e in expected} and (x, "o3") not in {e[:2] for e in expected} and x != "o3")
+    near = next(e[1] for e in expected if e[0] == "o3")
+    found = [("o3", "supports", near, 0.9), (near, "ledTo", "o3", 0.8), ("o3", "supports", near, 0.6), ("o3", "likes", near, 0.9), ("o3", "supports", "o3", 0.9), ("o3", "supports", far, 0.9), ("o3", "supports", "none", 0.9), ("o3", "causedBy", near, 0.5)]
+    made = ingest.proposed_links(objects, new.where("id = 'o3'"), lambda _: spark.createDataFrame(found, "src string, rel_type string, dst string, confidence double"), 5)
+    assert {tuple(r) for r in made.collect()} == {("o3", "supports", near, 0.9), (near, "ledTo", "o3", 0.8)}
+    assert ingest.link_candidates(objects.limit(0)).count() == 0
