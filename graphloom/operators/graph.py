@@ -33,12 +33,8 @@ def closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     found = [stored(edges.select("src", "dst").where("src <> dst").distinct().withColumn("hop", F.lit(1)), "closure")]
     n = 1
     while max_depth is None or n < max_depth:
-        known = _together(found)
         most = 2 * n if max_depth is None else min(2 * n, max_depth)
-        far, near = known.where(F.col("hop") == n).alias("f"), known.alias("k")
-        met = far.join(near, F.col("f.dst") == F.col("k.src")).select(F.col("f.src").alias("src"), F.col("k.dst").alias("dst"), (F.col("f.hop") + F.col("k.hop")).alias("hop"))
-        new = met.where((F.col("src") != F.col("dst")) & (F.col("hop") <= most)).groupBy("src", "dst").agg(F.min("hop").alias("hop")).join(known, ["src", "dst"], "left_anti")
-        new = stored(new, "closure")
+        new = _farther(found, n, most)
         if new.isEmpty():
             break
         found.append(new)
@@ -46,6 +42,15 @@ def closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     return _together(found)
 
 
+def _farther(found: list[DataFrame], n: int, most: int) -> DataFrame:
+    """(src, dst, hop), stored, of the pairs over n up to `most` hops apart; found holds all up to n."""
+    known = _together(found)
+    far, near = known.where(F.col("hop") == n).alias("f"), known.alias("k")
+    met = far.join(near, F.col("f.dst") == F.col("k.src")).select(F.col("f.src").alias("src"), F.col("k.dst").alias("dst"), (F.col("f.hop") + F.col("k.hop")).alias("hop"))
+    new = met.where((F.col("src") != F.col("dst")) & (F.col("hop") <= most)).groupBy("src", "dst").agg(F.min("hop").alias("hop")).join(known, ["src", "dst"], "left_anti")
+    return stored(new, "closure")
+
+
 def reach(edges: DataFrame, start: DataFrame, max_depth: int) -> DataFrame:
     """(origin, id, hop) of all nodes that edges (src, dst) lead to from some nodes start (id), by shortest hop, the start at hop 0.
 
@@ -155,23 +160,33 @@ RULES = (
 )
 
 
-def infer(edges: DataFrame, rules: Iterable[Rule] = RULES, max_iterations: int = 10) -> tuple[DataFrame, list[dict[str, int]]]:
+def infer(edges: DataFrame, rules: Iterable[Rule] = RULES, max_iterations: int | None = None) -> tuple[DataFrame, list[dict[str, int]]]:
     """(inferred edges with their rule in inferred_by, counts per rule and iteration).
 
-    Rules run in order, each on all that is known, until a round adds nothing.  A rule joins only what it has not seen
-    (semi-naive): its delta is what was added since its own last turn.
+    Rules run in order, each on all that is known, until a round adds nothing, or max_iterations rounds where they are given.  A rule joins
+    only what it has not seen (semi-naive): its delta is what was added since its own last turn.  A transitive rule on whose relation no other
+    rule works doubles the hops as `closure` does, so a pair is not made again by each node between its ends; it adds the same in each turn.
     """
     key = ["src", "rel_type", "dst"]
     facts = cut(edges.select(*key).where("src <> dst").distinct())
     rules, rounds = list(rules), []
     pending = {r.name: facts for r in rules}
+    alone = [r for r in rules if r.kind == "transitive" and r.target == r.source and all(o is r or o.target != r.source for o in rules)]
+    found = {r.name: [stored(facts.where(F.col("rel_type") == r.source).select("src", "dst", F.lit(1).alias("hop")), "closure")] for r in alone}
     made: DataFrame | None = None
-    for _ in range(max_iterations):
+    while max_iterations is None or len(rounds) < max_iterations:
         counts = {}
         for r in rules:
-            delta = pending[r.name]
-            new = cut(r.derive(facts, delta).join(facts, key, "left_anti"))
-            counts[r.name] = new.count()
+            if r.name in found:
+                n = 2 ** (len(found[r.name]) - 1)
+                far = _farther(found[r.name], n, 2 * n)
+                counts[r.name] = far.count()
+                if counts[r.name]:
+                    found[r.name].append(far)
+                new = far.select("src", F.lit(r.target).alias("rel_type"), "dst")
+            else:
+                new = cut(r.derive(facts, pending[r.name]).join(facts, key, "left_anti"))
+                counts[r.name] = new.count()
             pending[r.name] = new.limit(0)
             if counts[r.name]:
                 facts = cut(facts.unionByName(new))
