@@ -43,11 +43,14 @@ def closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
 
 
 def _farther(found: list[DataFrame], n: int, most: int) -> DataFrame:
-    """(src, dst, hop), stored, of the pairs over n up to `most` hops apart; found holds all up to n."""
+    """(src, dst, hop), stored, of the pairs over n up to `most` hops apart; found holds all up to n.
+
+    Merged joins: stored pairs are small as files and large as the rows that a broadcast sends through the driver.
+    """
     known = _together(found)
-    far, near = known.where(F.col("hop") == n).alias("f"), known.alias("k")
+    far, near = known.where(F.col("hop") == n).alias("f"), known.hint("merge").alias("k")
     met = far.join(near, F.col("f.dst") == F.col("k.src")).select(F.col("f.src").alias("src"), F.col("k.dst").alias("dst"), (F.col("f.hop") + F.col("k.hop")).alias("hop"))
-    new = met.where((F.col("src") != F.col("dst")) & (F.col("hop") <= most)).groupBy("src", "dst").agg(F.min("hop").alias("hop")).join(known, ["src", "dst"], "left_anti")
+    new = met.where((F.col("src") != F.col("dst")) & (F.col("hop") <= most)).groupBy("src", "dst").agg(F.min("hop").alias("hop")).join(known.hint("merge"), ["src", "dst"], "left_anti")
     return stored(new, "closure")
 
 
@@ -73,7 +76,7 @@ def _reached(edges: DataFrame, start: DataFrame | None, nodes: DataFrame, max_de
         return reach(edges, start, max_depth)
     own = nodes if start is None else start
     pairs = closure(edges, max_depth).select(F.col("src").alias("origin"), F.col("dst").alias("id"), "hop")
-    pairs = pairs.join(own.select(F.col("id").alias("origin")).distinct(), "origin", "left_semi")
+    pairs = pairs.join(own.select(F.col("id").alias("origin")).distinct().hint("merge"), "origin", "left_semi")
     return own.select(F.col("id").alias("origin"), "id").distinct().withColumn("hop", F.lit(0)).unionByName(pairs)
 
 
@@ -94,9 +97,9 @@ def evolution(edges: DataFrame, objects: DataFrame, start: DataFrame | None = No
     """
     pairs = closure(edges.where("rel_type = 'supersedes'")).select("src", "dst")
     ids = (objects if start is None else start).select("id").distinct()
-    both = pairs.select(F.col("src").alias("origin"), F.col("dst").alias("id")).unionAll(pairs.select(F.col("dst").alias("origin"), F.col("src").alias("id"))).join(ids.select(F.col("id").alias("origin")), "origin", "left_semi")
+    both = pairs.select(F.col("src").alias("origin"), F.col("dst").alias("id")).unionAll(pairs.select(F.col("dst").alias("origin"), F.col("src").alias("id"))).join(ids.select(F.col("id").alias("origin")).hint("merge"), "origin", "left_semi")
     every = both.unionAll(ids.select(F.col("id").alias("origin"), "id")).distinct()
-    return every.join(objects.select("id", "created_at"), "id").select("origin", "id", "created_at")
+    return every.join(objects.select("id", "created_at").hint("merge"), "id").select("origin", "id", "created_at")
 
 
 def contradiction_map(edges: DataFrame, objects: DataFrame, scope: DataFrame | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import datetime
 
-
+from graphloom import model
 from graphloom.operators import graph, ingest
 from pyspark.sql import functions as F
 
@@ -50,3 +50,11 @@ def test_windows_take_whole_seconds_as_their_sql(spark, tmp_path):
     duck = duckdb.connect()
     duck.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
     assert got == sorted(duck.execute(entry.oracle_sql()["k3_stream_pattern_window"]).fetchall()) and len(got) == 4 * 14
+
+
+def test_closures_send_no_pairs_through_the_driver(spark):
+    e = spark.createDataFrame([(f"n{i}", "supersedes", f"n{i + 1}", 1.0, "") for i in range(20)], model.EDGES)
+    o = spark.range(21).select(F.concat(F.lit("n"), F.col("id")).alias("id"), F.timestamp_seconds(F.col("id")).alias("created_at"))
+    out = graph.evolution(e, o)
+    assert out.count() == 21 * 21 and out.select("origin", "id").distinct().count() == 21 * 21
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
