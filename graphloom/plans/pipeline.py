@@ -63,12 +63,27 @@ def run(stages: list[tuple[str, Callable[[DataFrame], DataFrame]]], objects: Dat
 
 #: Parts that a failed set of rows is tried again in, and rows of a stage that may fail alone before the stage counts as failed.
 PARTS, MOST_BAD = 4, 100
+#: Column of a stage's result that holds the error of a row that it could not work, null for all others.
+ERROR = "stage_error"
 
 
-def isolated(stage: Callable[[DataFrame, DataFrame], DataFrame], objects: DataFrame, most_bad: int = MOST_BAD) -> tuple[DataFrame, list[tuple[str, str]]]:
-    """(the stage's result for all rows that it can work, (id, error) of those that fail at run time, whatever raises).
+def guarded(work: Callable, returns: str = "string") -> Callable[..., Column]:
+    """work over columns, row by row in the tasks: a struct of `value` and of `error`, what work raised for the row.  A stage that puts `error` into the column ERROR isolates rows in its one pass."""
 
-    stage: (rows, all objects) to rows, each worked for itself.  The stage's result is written; where that fails, the rows are dealt out by a hash of
+    def one(*values):
+        try:
+            return work(*values), None
+        except Exception as e:
+            return None, (str(e).strip() or type(e).__name__)[:300]
+
+    return F.udf(one, f"value {returns}, error string")
+
+
+def isolated(stage: Callable[[DataFrame, DataFrame], DataFrame], objects: DataFrame, most_bad: int = MOST_BAD) -> tuple[DataFrame, DataFrame | None, int]:
+    """(the stage's result for all rows that it can work, (id, error) of those that fail at run time - None where there are none -, their number).
+
+    stage: (rows, all objects) to rows, each worked for itself.  Rows whose errors the stage tells in ERROR are taken out of its result, in no more jobs
+    for many of them than for one.  An error that it does not catch fails the job; then the rows are dealt out by a hash of
     their id into PARTS sets, and each is tried again, down to the ids that fail alone: about PARTS log n small jobs for each of them
     and none where all is well.  More than most_bad such ids, or a part of a first split that fails like all others, mean that the stage itself is broken: it raises.
     """
@@ -99,7 +114,23 @@ def isolated(stage: Callable[[DataFrame, DataFrame], DataFrame], objects: DataFr
         return error
 
     attempt(every, 0)
-    return functools.reduce(DataFrame.unionByName, done), bad
+    spark = objects.sparkSession
+    alone = spark.createDataFrame(bad, "id string, error string") if bad else None
+    result = functools.reduce(DataFrame.unionByName, done) if done else stage(every.limit(0), every)
+    n = len(bad)
+    if ERROR in result.columns:
+        told = result.where(F.col(ERROR).isNotNull()).groupBy("id").agg(F.min(ERROR).alias("error"))
+        n_told = told.count()
+        if n + n_told > most_bad:
+            raise RuntimeError(f"more than {most_bad} rows fail, one: {told.first().error}")
+        if n_told:
+            told = stored(told, "told")
+            result = result.join(told.select("id"), "id", "left_anti").select(*result.columns)  # all rows of an id that fails
+            if n_told > 1 and result.isEmpty():
+                raise RuntimeError(told.first().error)
+            alone = told if alone is None else alone.unionByName(told)
+        result, n = result.drop(ERROR), n + n_told
+    return result, alone, n
 
 
 def run_isolated(stages: list[tuple[str, Callable[[DataFrame, DataFrame], DataFrame]]], objects: DataFrame, most_bad: int = MOST_BAD) -> tuple[DataFrame, dict[str, str], DataFrame]:
@@ -109,23 +140,22 @@ def run_isolated(stages: list[tuple[str, Callable[[DataFrame, DataFrame], DataFr
     leaves all rows as they were.
     """
     status: dict[str, str] = {}
-    held: list[tuple[str, str, str]] = []
+    held = objects.sparkSession.createDataFrame([], "id string, stage string, error string")
     aside: list[DataFrame] = []
     for name, stage in stages:
         try:
-            new, bad = isolated(stage, objects, most_bad)
+            new, bad, n = isolated(stage, objects, most_bad)
         except Exception as e:
             status[name] = f"failed: {str(e)[:200]}"
             continue
-        if bad:  # most_bad ids at most
-            out = objects.where(F.col("id").isin([i for i, _ in bad]))
-            aside.append(stored(out, "quarantined"))
-            held += [(i, name, e) for i, e in bad]
-        objects, status[name] = new, f"partial: {len(bad)} quarantined" if bad else "ok"
+        if bad is not None:
+            aside.append(stored(objects.join(bad.select("id"), "id", "left_semi").select(*objects.columns), "quarantined"))
+            held = held.unionByName(bad.select("id", F.lit(name).alias("stage"), "error"))
+        objects, status[name] = new, f"partial: {n} quarantined" if n else "ok"
     status["pipeline"] = "complete" if all(s == "ok" for s in status.values()) else "partial"
     for rows in aside:
         objects = objects.unionByName(rows, allowMissingColumns=True)
-    return objects, status, objects.sparkSession.createDataFrame(held, "id string, stage string, error string")
+    return objects, status, held
 
 
 def reason(edges: DataFrame, **options) -> DataFrame:

@@ -58,3 +58,26 @@ def test_closures_send_no_pairs_through_the_driver(spark):
     out = graph.evolution(e, o)
     assert out.count() == 21 * 21 and out.select("origin", "id").distinct().count() == 21 * 21
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_rows_that_fail_need_no_more_jobs_than_one(spark, monkeypatch):
+    from graphloom.plans import pipeline
+
+    def work(key: str) -> str:
+        if int(key) % 3 == 0:
+            raise ValueError("no")
+        return "one"
+
+    stages = 0
+
+    def first(o, _):
+        nonlocal stages
+        stages += 1
+        return o.withColumn("g", pipeline.guarded(work)("id")).withColumn("stage", F.col("g.value")).withColumn(pipeline.ERROR, F.col("g.error")).drop("g")
+
+    rows = spark.range(90).select(F.col("id").cast("string").alias("id"), F.lit("ingest").alias("stage"))
+    out, status, held = pipeline.run_isolated([("first", first)], rows)
+    assert {r.id: r.stage for r in out.collect()} == {str(i): "ingest" if i % 3 == 0 else "one" for i in range(90)}
+    assert stages == 1 and status["first"] == "partial: 30 quarantined"
+    assert sorted((int(r.id), r.stage, r.error) for r in held.collect()) == [(i, "first", "no") for i in range(0, 90, 3)]
+    assert pipeline.run_isolated([("first", first)], rows, most_bad=29)[1]["first"].startswith("failed")
