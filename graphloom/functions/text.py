@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import difflib
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -126,6 +129,21 @@ def porter(w: str) -> str:
     return w[:-1] if w.endswith("ll") and _measure(w) > 1 else w
 
 
+#: Tokens that a Python task works on at a time.
+BATCH_TOKENS = 1 << 18
+
+
+def by_tokens(batch: pa.RecordBatch, lists: list[str]) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of rows whose lists hold up to BATCH_TOKENS items together, a longer row alone."""
+    ends = np.cumsum(sum(batch.column(c).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for c in lists))
+    at = 0
+    while at < batch.num_rows:
+        held = int(ends[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, held + BATCH_TOKENS, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def stems(text: Column) -> Column:
     """Stemmed tokens without diacritics, in batches."""
 

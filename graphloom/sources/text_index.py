@@ -36,6 +36,8 @@ from graphloom.sources.files import commit, listed, located, read_text
 BLOCK, FIRST_BLOCKS = 4096, 64
 #: Postings that a folder of terms shall hold, and how many folders a segment has at least and at most.
 BUCKET_POSTINGS, LEAST_BUCKETS, MOST_BUCKETS = 8 << 20, 32, 4096
+#: Postings that a task of the writer shall sort, and blocks of a folder that are dealt to one task.
+TASK_POSTINGS, GROUP_BLOCKS = 2 << 20, 16
 #: Segments of one size class that are merged, and the factor between classes.
 MERGE_AT = 4
 #: Rows that are looked up by listed numbers instead of a join.
@@ -46,12 +48,12 @@ _FORMAT = 1
 
 
 def forward(objects: DataFrame, fields: tuple[str, ...], attributes: tuple[str, ...], stemmed: bool) -> DataFrame:
-    """(id, attributes, len, terms, n0, n1, ...): each document's distinct terms with their counts by field.  Texts are split by Spark and counted in batches."""
+    """(id, attributes, len, terms, n0, n1, ...): each document's distinct terms with their counts by field.  Texts are split by Spark and counted in batches of so many tokens, whatever a batch of rows holds."""
     split = X.stems if stemmed else X.tokens
     counts = [f"n{i}" for i in range(len(fields))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in X.by_tokens(whole, [f"t{i}" for i in range(len(fields))])):
             lists = [batch.column(f"t{i}") for i in range(len(fields))]
             sizes = [c.value_lengths().to_numpy(zero_copy_only=False) for c in lists]
             flat = pa.concat_arrays([c.flatten() for c in lists])
@@ -236,8 +238,9 @@ class TextIndex:
         bucket = F.pmod(F.conv(F.substring(F.md5("p.terms"), 1, 8), 16, 10).cast("long"), F.lit(buckets)).cast("int")
         columns = [bucket.alias("bucket"), F.col("p.terms").alias("term"), F.floor(F.col("no") / BLOCK).cast("int").alias("block"), "no", *(F.col(f"p.{c}") for c in self._counts), "len"]
         entry = docs.select("no", "len", F.explode(F.arrays_zip("terms", *self._counts)).alias("p")).select(*columns)
-        # Blocks of one term are dealt out too: the commonest term has a row for every block.
-        dealt = entry.repartition("bucket", F.floor(F.col("block") / 64)).sortWithinPartitions("bucket", "term", "block", "no")
+        # Blocks of one term are dealt out too: the commonest term has a row for every block.  As many tasks as keep each one's sort small.
+        n_tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_postings // TASK_POSTINGS))
+        dealt = entry.repartition(n_tasks, "bucket", F.floor(F.col("block") / GROUP_BLOCKS)).sortWithinPartitions("bucket", "term", "block", "no")
         most = ", ".join(f"most_{c} int" for c in self._counts)
         blocks = dealt.mapInArrow(_blocked(self._counts), f"bucket int, term string, block int, n int, least int, {most}, entries array<{self._entry}>")
         blocks.write.partitionBy("bucket").option("parquet.block.size", 8 << 20).parquet(f"{self.path}/postings/seg={number}")

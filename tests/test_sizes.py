@@ -60,6 +60,19 @@ def test_closures_send_no_pairs_through_the_driver(spark):
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
 
 
+def test_batches_are_worked_in_slices_of_tokens():
+    import pyarrow as pa
+    from graphloom.functions import text as X
+
+    sizes = [0, 3, X.BATCH_TOKENS + 5, 1, X.BATCH_TOKENS - 1, 0, X.BATCH_TOKENS, 2]
+    offsets = [sum(sizes[:i]) for i in range(len(sizes) + 1)]
+    words = pa.DictionaryArray.from_arrays(pa.array([i % 3 for i in range(offsets[-1])], pa.int32()), pa.array(["running", "Ponies", "x"])).cast(pa.string())
+    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), words)
+    parts = list(X.by_tokens(pa.RecordBatch.from_arrays([lists], ["t"]), ["t"]))
+    assert pa.concat_arrays([p.column("t") for p in parts]).equals(lists)
+    assert all(p.num_rows == 1 or len(p.column("t").flatten()) <= X.BATCH_TOKENS for p in parts) and len(parts) > 3
+
+
 def test_many_rows_that_fail_need_no_more_jobs_than_one(spark, monkeypatch):
     from graphloom.plans import pipeline
 
