@@ -71,6 +71,8 @@ def test_batches_are_worked_in_slices_of_tokens():
     parts = list(X.by_tokens(pa.RecordBatch.from_arrays([lists], ["t"]), ["t"]))
     assert pa.concat_arrays([p.column("t") for p in parts]).equals(lists)
     assert all(p.num_rows == 1 or len(p.column("t").flatten()) <= X.BATCH_TOKENS for p in parts) and len(parts) > 3
+    got = X._stemmed(lists.slice(1, 3))
+    assert got.value_lengths().to_pylist() == sizes[1:4] and got[0].as_py() == [X.porter(X.fold(w)) for w in lists[1].as_py()]
 
 
 def test_many_rows_that_fail_need_no_more_jobs_than_one(spark, monkeypatch):
