@@ -96,3 +96,30 @@ def test_many_rows_that_fail_need_no_more_jobs_than_one(spark, monkeypatch):
     assert stages == 1 and status["first"] == "partial: 30 quarantined"
     assert sorted((int(r.id), r.stage, r.error) for r in held.collect()) == [(i, "first", "no") for i in range(0, 90, 3)]
     assert pipeline.run_isolated([("first", first)], rows, most_bad=29)[1]["first"].startswith("failed")
+
+
+def test_likest_names_equal_brute_force():
+    import difflib
+    import random
+
+    import pyarrow as pa
+    from graphloom.functions import text as X
+
+    rng = random.Random(4)
+    known = list(dict.fromkeys("".join(rng.choice("abcd 12") for _ in range(rng.choice([1, 2, 5, 12, 40, 63, 64, 65, 90]))) for _ in range(150)))
+
+    def changed(s):
+        t = list(s)
+        for _ in range(rng.randint(1, 8)):
+            t.insert(rng.randrange(len(t) + 1), rng.choice("abcd 12")) if rng.random() < 0.5 or not t else t.pop(rng.randrange(len(t)))
+        return "".join(t)
+
+    asked = list(dict.fromkeys(c for c in (changed(rng.choice(known)) for _ in range(300)) if c and c not in known))
+    want = {}
+    for a in asked:
+        r, b = max((difflib.SequenceMatcher(None, a, b).ratio(), b) for b in known)
+        if r > 0.8:
+            want[a] = (b, r)
+    got = X.likest(pa.chunked_array([asked]), pa.chunked_array([known]), 0.8).to_pylist()
+    assert {r["a"]: (r["b"], r["ratio"]) for r in got} == want and len(want) > 50
+    assert X.likest(pa.chunked_array([[]], pa.string()), pa.chunked_array([known]), 0.8).num_rows == 0
