@@ -6,9 +6,11 @@ are read from an integral image and quantised to two bits in Gray code: one 32-b
 upper half of a filter's values before the sixteen others.  The image holds whole numbers, so a recording's integers do not depend
 on what is computed beside it.  The steps of the quantiser are the quartiles of at most FIT_FRAMES frames of each of about FIT recordings.
 
-Search: recordings with equal fingerprints are one class.  A class is found by its tokens, the upper halves of two integers STEP apart, each
-at its first and last place; two places agree if the tokens are equal and of 64 bits beside them at most LOOSE differ.  All tokens of all
-recordings are joined, common ones in cells, and agreeing places are gathered by offset.  At every bin of this histogram with enough frames
+Search: recordings with equal fingerprints are one class.  A class is found by its tokens, the upper halves of two integers STEP apart, at
+all their places; two places agree if the tokens are equal and of the 64 bits behind them, four more upper halves, at most LOOSE differ.  A class has one
+row a token, with all that stands behind it somewhere; these rows are joined, common tokens in cells, and name the pairs of classes with an
+agreeing place.  Rows that stand behind equal ones in both classes are left out, as those name the pair already.  Such a pair is compared where
+both fingerprints are at hand: agreeing places are gathered by offset, and at every bin of this histogram with enough frames
 in common the share of differing bits over the whole overlap decides, which is `align` for all pairs; a pair without agreeing places is lost (the README
 has the recall against all offsets of all pairs).
 
@@ -45,11 +47,11 @@ ONE = 32_768
 STEPS = np.tile(np.array([[0.8], [1.0], [1.25]]), (1, len(FILTERS)))
 #: Recordings, about, and frames of each to which the steps are fitted.
 FIT, FIT_FRAMES = 400, 64
-#: Frames between the halves of a token, bits in which agreeing places may differ beside it; what a match needs: frames of overlap, share of bits that differ.
+#: Frames between the halves of a token and those behind it, bits in which agreeing places may differ there; what a match needs: frames of overlap, share of bits that differ.
 STEP, LOOSE, OVERLAP, ERRORS = 3, 14, 32, 0.15
 #: An overlap that leaves out more than 1 - MOST of the shorter recording needs PARTIAL frames: ends of different recordings may sound alike for a note or two.
 MOST, PARTIAL = 0.9, 64
-#: Queries and other recordings to a cell of a common token, pairs to a cell of a recording, samples that are worked on at once.
+#: Queries and other recordings to a cell of a common token, pairs to a cell of a recording, samples, integers or places that are worked on at once.
 CELL, CELL_ROWS, BLOCK = 256, 5_000, 1 << 21
 
 
@@ -177,48 +179,67 @@ def fit(media: DataFrame, data_col: str) -> np.ndarray:
     return np.quantile(np.array(found), [0.25, 0.5, 0.75], axis=0) if found else STEPS
 
 
-def tokens(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(token, bits beside it, place), each token at its first and last place (of equal ones in a row the first counts).
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit words mixed one to one."""
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def tokens(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(token, bits behind it) at every place that has integers enough behind it.
 
     Tokens are mixed one to one, so that their low bits serve as a hash.
     """
-    n = max(0, len(prints) - 3 * STEP)
-    upper, lower = prints.astype(np.uint64) >> np.uint64(16), prints.astype(np.uint64) & np.uint64(0xFFFF)
-    pack = lambda *parts: sum((x[i : i + n] << np.uint64(16 * k) for k, (x, i) in enumerate(parts)), np.zeros(n, np.uint64))
-    token = pack((upper, 0), (upper, STEP))
-    beside = pack((lower, 0), (lower, STEP), (upper, 2 * STEP), (upper, 3 * STEP))
-    own = np.flatnonzero(np.r_[True, token[1:] != token[:-1]][:n])
-    first, last = np.unique(token[own], return_index=True)[1], len(own) - 1 - np.unique(token[own][::-1], return_index=True)[1]
-    at = own[np.union1d(first, last).astype(np.int64)]
-    token = (token[at] ^ (token[at] >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    token = (token ^ (token >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (token ^ (token >> np.uint64(32))).view(np.int64), beside[at].view(np.int64), at
-
-
-def offsets(a: np.ndarray, b: np.ndarray) -> dict[int, int]:
-    """The histogram: offset of b in a -> agreeing places."""
-    (s, x, p), (t, y, q) = tokens(a), tokens(b)
+    n = max(0, len(prints) - 5 * STEP)
+    upper = prints.astype(np.uint64) >> np.uint64(16)
+    token, beside = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    for k in range(2):
+        token |= upper[k * STEP : k * STEP + n] << np.uint64(16 * k)
+    for k in range(4):
+        beside |= upper[(k + 2) * STEP : (k + 2) * STEP + n] << np.uint64(16 * k)
+    return _mixed(token).view(np.int64), beside.view(np.int64)
+
+
+def offsets(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The histogram: (offsets of b in a, agreeing places of each); places are matched BLOCK pairs at a time, or one place against all."""
+    (s, x), (t, y) = tokens(a), tokens(b)
     order = np.argsort(t, kind="stable")
     low, high = np.searchsorted(t[order], s, "left"), np.searchsorted(t[order], s, "right")
-    i = np.repeat(np.arange(len(s)), high - low)
-    j = order[np.repeat(low, high - low) + _within(high - low)]
-    near = np.bitwise_count((x[i] ^ y[j]).view(np.uint64)) <= LOOSE
-    bins, votes = np.unique((p[i] - q[j])[near], return_counts=True)
-    return dict(zip(bins.tolist(), votes.tolist(), strict=True))
+    votes, at = np.zeros(len(s) + len(t), np.int64), np.flatnonzero(high > low)
+    ends = np.cumsum((high - low)[at])
+    for own in np.split(at, np.flatnonzero(np.diff(ends // BLOCK)) + 1):
+        n = (high - low)[own]
+        i, j = np.repeat(own, n), order[np.repeat(low[own], n) + _within(n)]
+        near = np.bitwise_count((x[i] ^ y[j]).view(np.uint64)) <= LOOSE
+        votes += np.bincount((i - j)[near] + len(t), minlength=len(votes))
+    found = np.flatnonzero(votes)
+    return found - len(t), votes[found]
+
+
+def differing(a: np.ndarray, b: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Bits that differ over the overlap at each of the offsets of b in a."""
+    none, n = np.zeros(len(b), np.uint32), len(b)
+    windows = np.lib.stride_tricks.sliding_window_view(np.concatenate([none, a, none]), n)
+    inside = np.lib.stride_tricks.sliding_window_view(np.concatenate([none, np.full(len(a), 0xFFFFFFFF, np.uint32), none]), n)
+    out = np.zeros(len(at), np.int64)
+    for k in range(0, len(at), step := max(1, BLOCK // 8 // max(1, n))):
+        own = at[k : k + step] + n
+        out[k : k + step] = np.bitwise_count((windows[own] ^ b) & inside[own]).sum(axis=1, dtype=np.int64)
+    return out
 
 
 def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, float] | None:
     """(offset of b in a, overlap, share of differing bits) at the bin of least errors, then longest overlap, then least offset; None without a bin of enough frames."""
-    found = []
-    for d in offsets(a, b):
-        lo, hi = max(0, d), min(len(a), len(b) + d)
-        if hi - lo >= max(OVERLAP, min(PARTIAL, MOST * min(len(a), len(b)))):
-            found.append((differing(a[lo:hi], b[lo - d : hi - d]), lo - hi, d))
-    return (min(found)[2], -min(found)[1], min(found)[0]) if found else None
-
-
-def differing(a: np.ndarray, b: np.ndarray) -> float:
-    return int(np.bitwise_count(a ^ b).sum()) / (32 * len(a))
+    at = offsets(a, b)[0]
+    overlap = np.minimum(len(a), len(b) + at) - np.maximum(0, at)
+    enough = overlap >= max(OVERLAP, min(PARTIAL, MOST * min(len(a), len(b))))
+    at, overlap = at[enough], overlap[enough]
+    if not len(at):
+        return None
+    errors = differing(a, b, at) / (32 * overlap)
+    best = np.lexsort((at, -overlap, errors))[0]
+    return int(at[best]), int(overlap[best]), float(errors[best])
 
 
 def fingerprints(media: DataFrame, id_col: str, data_col: str, steps: np.ndarray = STEPS) -> DataFrame:
@@ -235,29 +256,59 @@ def fingerprints(media: DataFrame, id_col: str, data_col: str, steps: np.ndarray
     return rows.mapInArrow(tidy(run), f"id {rows.schema['id'].dataType.simpleString()}, class long, prints binary")
 
 
+def _rows(own: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(recording, token, before) of every token of each recording; (where its list starts, all lists): the distinct bits behind it.
+
+    `before` is a hash of the token at the place before its first one and of the bits behind that; 0 at the start.
+    """
+    made = [tokens(p) for p in own]
+    counts = np.array([len(t) for t, _ in made], np.int64)
+    rec, place = np.repeat(np.arange(len(own)), counts), _within(counts)
+    token, beside = (np.concatenate([m[k] for m in made]) for k in range(2))
+    last = _mixed(token.view(np.uint64) ^ _mixed(beside.view(np.uint64) + np.uint64(1))).view(np.int64)
+    before = np.where(place > 0, np.roll(last, 1), 0)
+    order = np.lexsort((place, token, rec))
+    new = np.r_[True, (np.diff(rec[order]) != 0) | (np.diff(token[order]) != 0)][: len(order)]
+    first = order[new]
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(new) - 1
+    order = np.lexsort((beside, group))
+    new = np.r_[True, (np.diff(group[order]) != 0) | (np.diff(beside[order]) != 0)][: len(order)]
+    kept = order[new]
+    return rec[first], token[first], before[first], np.searchsorted(group[kept], np.arange(len(first) + 1)), beside[kept]
+
+
 def _tokens(found) -> Callable:
     """Tokens of classes; of those that are not asked for only such as the filter `found` (None: no filter) may hold."""
 
+    def rows(cls: list, asked: list, own: list) -> pa.RecordBatch:
+        rec, token, before, starts, beside = _rows(own)
+        asked = np.array(asked, bool)[rec]
+        out = pa.RecordBatch.from_arrays(
+            [pa.array(token), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(beside)), pa.array(before), pa.array(np.array(cls, np.int64)[rec]), pa.array(asked)],
+            ["token", "beside", "before", "class", "asked"],
+        )
+        if found is None:
+            return out
+        known, at = np.frombuffer(found.value, np.uint8), token & (FILTER_BITS - 1)
+        return out.filter(pa.array(asked | ((known[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = None if found is None else np.frombuffer(found.value, np.uint8)
         for batch in batches:
-            for cls, asked, prints in zip(*(batch.column(c).to_pylist() for c in ("class", "asked", "prints")), strict=True):
-                own = np.frombuffer(prints, np.uint32)
-                token, beside, place = tokens(own)
-                if known is not None and not asked:
-                    at = token & (FILTER_BITS - 1)
-                    keep = (known[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-                    token, beside, place = token[keep], beside[keep], place[keep]
-                n = len(token)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(token), pa.array(beside), pa.array(place.astype(np.int32)), pa.array(np.full(n, cls, np.int64)), pa.array(np.full(n, asked)), pa.array(np.full(n, len(own), np.int32))],
-                    ["token", "beside", "place", "class", "asked", "length"],
-                )
+            block, size = [], 0
+            for row in zip(*(batch.column(c).to_pylist() for c in ("class", "asked", "prints")), strict=True):
+                if block and size + len(row[2]) > BLOCK // 2:
+                    yield rows(*map(list, zip(*block, strict=True)))
+                    block, size = [], 0
+                block.append((*row[:2], np.frombuffer(row[2], np.uint32)))
+                size += len(row[2])
+            if block:
+                yield rows(*map(list, zip(*block, strict=True)))
 
     return run
 
 
-_TOKENS = "token long, beside long, place int, class long, asked boolean, length int"
+_TOKENS = "token long, beside array<long>, before long, class long, asked boolean"
 
 
 def _dealt(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -270,20 +321,20 @@ def _dealt(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     asks = rows.where("asked").withColumn("r", every("nr")).withColumn("cell", own("nq") * F.col("nr") + F.col("r"))
     others = rows.withColumn("b", every("nq")).withColumn("cell", F.col("b") * F.col("nr") + own("nr"))
-    return asks.select("token", "cell", "beside", "place", "class", "length"), others.select("token", "cell", "beside", "place", "class", "length")
+    return asks.select("token", "cell", "beside", "before", "class"), others.select("token", "cell", "beside", "before", "class")
 
 
 def _pairs(tokens: DataFrame) -> DataFrame:
-    """(u, v, offset, lo, n): the bins of query u and other class v, and the overlap in frames of v, if long enough."""
+    """(u, v): query u and other class v with an agreeing place.
+
+    Where what stands before a token's first place is equal in both, that place agrees too and lies before the first one of its own token or
+    at it, so of every pair one row is left that nothing equal stands before.
+    """
     asks, others = _dealt(tokens)
     x, y = asks.alias("x"), others.alias("y")
-    agree = (F.col("x.token") == F.col("y.token")) & (F.col("x.cell") == F.col("y.cell")) & (F.col("x.class") != F.col("y.class")) & (F.bit_count(F.col("x.beside").bitwiseXOR(F.col("y.beside"))) <= LOOSE)
-    # The offset of the query in the other recording, and the overlap there.
-    offset = F.col("y.place") - F.col("x.place")
-    hits = x.join(y, agree).select(F.col("x.class").alias("u"), F.col("y.class").alias("v"), offset.alias("offset"), F.col("x.length").alias("a"), F.col("y.length").alias("b"))
-    lo, hi = F.greatest(F.lit(0), F.col("offset")), F.least(F.col("b"), F.col("a") + F.col("offset"))
-    bins = hits.select("u", "v", "offset", lo.alias("lo"), (hi - lo).alias("n")).where(hi - lo >= F.greatest(F.lit(OVERLAP), F.least(F.lit(PARTIAL), MOST * F.least("a", "b"))))
-    return bins.groupBy("u", "v", "offset").agg(F.first("lo").alias("lo"), F.first("n").alias("n"))
+    meet = (F.col("x.token") == F.col("y.token")) & (F.col("x.cell") == F.col("y.cell")) & (F.col("x.class") != F.col("y.class")) & ((F.col("x.before") != F.col("y.before")) | (F.col("x.before") == 0))
+    near = F.exists("x.beside", lambda a: F.exists("y.beside", lambda b: F.bit_count(a.bitwiseXOR(b)) <= LOOSE))
+    return x.join(y, meet & near).select(F.col("x.class").alias("u"), F.col("y.class").alias("v")).distinct()
 
 
 def _beside(pairs: DataFrame, counted: DataFrame, classes: DataFrame, side: str, run: Callable, schema: str) -> DataFrame:
@@ -298,34 +349,41 @@ def _beside(pairs: DataFrame, counted: DataFrame, classes: DataFrame, side: str,
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """To every pair the overlap's integers of v, and v's smallest id."""
+    """To every pair the integers of v, and v's smallest id."""
     prints, least = b"", None
     for batch in batches:
-        keep, parts, ids = [], [], []
-        for i, (pair, p, x, lo, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("is_pair", "prints", "least", "lo", "n")), strict=True)):
+        keep, parts, ids, size = [], [], [], 0
+
+        def out(batch=batch) -> pa.RecordBatch:
+            own = batch.take(pa.array(keep, pa.int64()))
+            return pa.RecordBatch.from_arrays([own.column("u"), own.column("v"), pa.array(parts, pa.binary()), pa.array(ids, batch.schema.field("least").type)], ["u", "v", "part", "match"])
+
+        for i, (pair, p, x) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("is_pair", "prints", "least")), strict=True)):
             if not pair:
                 prints, least = p, x
                 continue
             keep.append(i)
-            parts.append(prints[4 * lo : 4 * (lo + n)])
+            parts.append(prints)
             ids.append(least)
-        out = batch.take(pa.array(keep, pa.int64()))
-        yield pa.RecordBatch.from_arrays([*(out.column(c) for c in ("u", "v", "offset", "lo")), pa.array(parts, pa.binary()), pa.array(ids, batch.schema.field("least").type)], ["u", "v", "offset", "lo", "part", "match"])
+            size += len(prints)
+            if size > BLOCK:
+                yield out()
+                keep, parts, ids, size = [], [], [], 0
+        yield out()
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose bits differ by ERRORS at most over the overlap."""
+    """Pairs whose bits differ by ERRORS at most over the overlap of their best alignment."""
     prints = np.zeros(0, np.uint32)
     for batch in batches:
         rows = []
-        for pair, p, u, v, offset, lo, part, match in zip(*(batch.column(c).to_pylist() for c in ("is_pair", "prints", "u", "v", "offset", "lo", "part", "match")), strict=True):
+        for i, pair in enumerate(batch.column("is_pair").to_pylist()):
             if not pair:
-                prints = np.frombuffer(p, np.uint32)
+                prints = np.frombuffer(batch.column("prints")[i].as_py(), np.uint32)
                 continue
-            theirs = np.frombuffer(part, np.uint32)
-            errors = differing(prints[lo - offset : lo - offset + len(theirs)], theirs)
-            if errors <= ERRORS:
-                rows.append((u, v, errors, -len(theirs), match, offset))
+            found = align(np.frombuffer(batch.column("part")[i].as_py(), np.uint32), prints)
+            if found and found[2] <= ERRORS:
+                rows.append((*(batch.column(c)[i].as_py() for c in ("u", "v")), found[2], -found[1], batch.column("match")[i].as_py(), found[0]))
         cols = list(zip(*rows, strict=True)) or [()] * 6
         types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), batch.schema.field("match").type, pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["class", "v", "errors", "o", "least", "offset"])
@@ -335,7 +393,7 @@ def search(media: DataFrame, is_query: F.Column, id_col: str, data_col: str) ->
     """One row per query row: id, n_prints, class_id (smallest id of its class), n_classes (other classes that match) and the best match: its smallest id, offset of the query in it, overlap, errors.
 
     is_query is a condition on the id, named `id`.  Best: least errors, then longest overlap, then smallest id.  Tokens that no
-    query may have, told by a filter of bounded size, are not written.  Of a pair only the overlap of one recording travels.
+    query may have, told by a filter of bounded size, are not written.  Of a pair the integers of one recording travel, once.
     """
     made = materialize(fingerprints(media, id_col, data_col, fit(media, data_col)), "chroma-prints")
     classes = made.groupBy("class").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.first("prints").alias("prints"), F.max(F.coalesce(is_query, F.lit(False))).alias("asked"))
@@ -345,10 +403,9 @@ def search(media: DataFrame, is_query: F.Column, id_col: str, data_col: str) ->
     found = bitmap(sound.where("asked").mapInArrow(tidy(_tokens(None)), _TOKENS), F.col("token"))
     marked = materialize(sound.mapInArrow(tidy(_tokens(media.sparkSession.sparkContext.broadcast(found))), _TOKENS), "chroma-tokens")
     pairs = materialize(_pairs(marked), "chroma-pairs")
-    cut = _beside(pairs, pairs, sound, "v", _cut, f"u long, v long, offset int, lo int, part binary, match {id_type}")
+    cut = _beside(pairs, pairs, sound, "v", _cut, f"u long, v long, part binary, match {id_type}")
     links = _beside(cut, pairs, sound, "u", _compare, f"class long, v long, errors double, o long, least {id_type}, offset long")
-    links = links.groupBy("class", "v").agg(F.min(F.struct("errors", "o", "least", "offset")).alias("b"))
-    best = links.groupBy("class").agg(F.count("*").alias("n_classes"), F.min("b").alias("b"))
+    best = links.groupBy("class").agg(F.count("*").alias("n_classes"), F.min(F.struct("errors", "o", "least", "offset")).alias("b"))
     out = classes.where("asked").select("class", F.col("least").alias("class_id"), F.col("n")).join(best, "class", "left")
     out = materialize(out, "chroma-best")
     rows = lookup_join(made.where(is_query).select("id", "class", (F.length("prints") / 4).cast("long").alias("n_prints")), out, "class", "n")

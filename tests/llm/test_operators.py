@@ -658,6 +658,14 @@ def test_chroma_prints_do_not_depend_on_the_batch():
         assert np.array_equal(chroma.fingerprint(one), among)
 
 
+def test_chroma_tokens_count_at_all_their_places():
+    rng = np.random.default_rng(4)
+    r, z, w, end = rng.integers(0, 1 << 32, (4, 64), dtype=np.uint32)
+    flipped = lambda x: x ^ (np.uint32(1) << (16 + np.arange(len(x), dtype=np.uint32) % 16))  # noqa: E731  no token agrees, one bit of 32 differs
+    a, b = np.concatenate([r, z, r, w, r, end]), np.concatenate([flipped(z), r, flipped(w)])
+    assert chroma.align(a, b) == (64, 192, 128 / (32 * 192))  # the agreeing places are neither the first nor the last ones of their tokens
+
+
 def test_chroma_search_by_brute_force(spark):
     from pyspark.sql import functions as F
 
