@@ -8,7 +8,9 @@ Fingerprints alone would miss many pairs at 0.8 (they differ in some ten bits of
 shingles, two sets of n and m shingles that are alike by t share one among the first n - ceil(tn) + 1 of the one and
 m - ceil(tm) + 1 of the other.  Shingles that a sample finds common come last in that order; any order loses no pair, this
 one keeps keys small.  All pairs of such a key that are still in different components are compared, in cells where the
-key is a hot one, and the join itself leaves out pairs whose parities show that they differ in too many shingles; a pair must share enough early shingles to reach t at all, and so must its sketches: counts of the shingles by
+key is a hot one, and the join itself leaves out pairs whose parities show that they differ in too many shingles, and those of a key that lies too far
+behind in either set to be the first one that alike sets share, or that follows another key of both: of an alike pair the first
+shared key remains.  A pair's sketches must reach t too: counts of the shingles by
 hash, about two to a byte, whose smaller ones add up to at least what the sets have in common.  Only pairs that pass are compared shingle by shingle.
 
 Texts are not shuffled for this: the shingle sets that are to be compared are made where the text lies, told by a filter of bounded
@@ -23,12 +25,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WS, bitmap, in_bitmap, lookup_join, materialize, parted, sample_rows, tidy
@@ -41,6 +45,8 @@ SAMPLE, COMMON = 4_000, 500_000
 CELL = 1_000
 #: Turns in which every component is tried against a larger one before pairs are formed.
 TURNS = 1
+#: Shared early shingles before each in its set that the join looks at: a pair that has one of them in common meets there.
+BEFORE = 3
 #: 64-bit words of parity that every set of shingles has for the join's own test.
 PARITY = 4
 
@@ -193,13 +199,38 @@ def _turn(shared: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
     return tried.select(F.least("t.text", "t.to").alias("u"), F.greatest("t.text", "t.to").alias("v"))
 
 
+def _met(open_: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """(u, v) of classes in different components that meet at a key of open_ (key, n: its classes, class, size, place, root) and may be alike, mostly once."""
+    # The sets' order is one, so a key that stands before another in two sets is the earlier one of both.
+    cells = F.ceil(F.col("n") / CELL)
+    words, lags = [F.col("bits")[i].alias(f"b{i}") for i in range(PARITY)], Window.partitionBy("class").orderBy("place")
+    told = open_.withColumns({f"k{i}": F.lag("key", i + 1).over(lags) for i in range(BEFORE)}).join(classes.select("class", *words), "class")
+    own = told.withColumn("block", F.pmod(F.xxhash64("class"), cells)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), cells - 1)))
+    dealt = own.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "n", "several")
+    # The join itself leaves out pairs that cannot be alike: sets alike by s differ in at most (1 - s) / (1 + s) of their sizes' sum, and in no fewer members than bits of parity.
+    dealt = materialize(dealt, "near-cells")
+    x, y = dealt.alias("x"), dealt.alias("y")
+    long, short = F.greatest("x.size", "y.size"), F.least("x.size", "y.size")
+    least = F.ceil(similarity / (1 + similarity) * (F.col("x.size") + F.col("y.size")) - 1e-6)
+    met_before = [F.coalesce(F.col(f"x.k{i}") == F.col(f"y.k{j}"), F.lit(False)) for i in range(BEFORE) for j in range(BEFORE)]
+    apart = sum((F.bit_count(F.col(f"x.b{i}").bitwiseXOR(F.col(f"y.b{i}"))) for i in range(PARITY)), F.lit(0))
+    meet = (
+        (F.col("x.key") == F.col("y.key")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.root") != F.col("y.root"))
+        & (F.least("x.block", "y.block") == F.col("x.i")) & (F.greatest("x.block", "y.block") == F.col("x.j")) & (short >= similarity * long - 1e-9)
+        # All that alike sets share, at least `least`, lies at their first shared key or behind it.
+        & (F.col("x.place") <= F.col("x.size") - least) & (F.col("y.place") <= F.col("y.size") - least) & ~reduce(or_, met_before)
+        & (apart <= (1 - similarity) / (1 + similarity) * (F.col("x.size") + F.col("y.size")) + 1e-6)
+    )
+    return x.join(y, meet).select(F.col("x.class").alias("u"), F.col("y.class").alias("v"))
+
+
 def _links(rows: DataFrame, marked: DataFrame, classes: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Verified links (u, v) of classes that connect all that are alike, by components."""
     keyed = marked.dropDuplicates(["class"]).select("class", "size", F.posexplode("firsts").alias("place", "key"))
     # A shingle that very many texts begin with is counted before the shuffle and split off by lookup_join; no key is one task's.
     centre = F.min_by(F.struct("class", "size"), F.struct("place", "class")).alias("centre")
     keys = materialize(keyed.groupBy("key").agg(centre, F.count("*").alias("n")).where("n > 1").withColumn("m", F.col("n")), "near-keys")
-    shared = materialize(lookup_join(keyed.select("key", "class", "size"), keys, "key", "m").where("n IS NOT NULL"), "near-shared")
+    shared = materialize(lookup_join(keyed.select("key", "class", "size", "place"), keys, "key", "m").where("n IS NOT NULL"), "near-shared")
     turned = F.col("class") > F.col("centre.class")
     tries = shared.where(F.col("class") != F.col("centre.class")).select(
         F.least("class", "centre.class").alias("u"), F.greatest("class", "centre.class").alias("v"),
@@ -215,27 +246,12 @@ def _links(rows: DataFrame, marked: DataFrame, classes: DataFrame, shingle: int,
         more = _verified(rows, classes, materialize(_turn(shared, roots, turn), "near-turn"), shingle, similarity)
         first = materialize(first.unionByName(more), "near-links")
         roots = materialize(components(first).withColumnRenamed("node", "class"), "near-roots")
-    rooted = shared.join(roots, "class", "left").select("key", "class", "size", "n", F.coalesce("root", "class").alias("root"))
-    cells = F.ceil(F.col("n") / CELL)
+    rooted = shared.join(roots, "class", "left").select("key", "class", "size", "place", "n", F.coalesce("root", "class").alias("root"))
     rooted = materialize(rooted, "near-rooted")
     several = rooted.groupBy("key").agg((F.min("root") != F.max("root")).alias("several"), F.count("*").alias("m")).where("several")
     open_ = lookup_join(rooted, materialize(several, "near-several"), "key", "m").where("several")
-    own = open_.withColumn("block", F.pmod(F.xxhash64("class"), cells)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), cells - 1)))
-    dealt = own.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "class", "size", "root", "block")
-    # The join itself leaves out pairs that cannot be alike: sets alike by s differ in at most (1 - s) / (1 + s) of their sizes' sum, and in no fewer members than bits of parity.
-    words = [F.col("bits")[i].alias(f"b{i}") for i in range(PARITY)]
-    dealt = dealt.join(classes.select("class", *words), "class")
-    dealt = materialize(dealt, "near-cells")
-    x, y = dealt.alias("x"), dealt.alias("y")
-    long, short = F.greatest("x.size", "y.size"), F.least("x.size", "y.size")
-    apart = sum((F.bit_count(F.col(f"x.b{i}").bitwiseXOR(F.col(f"y.b{i}"))) for i in range(PARITY)), F.lit(0))
-    meet = (
-        (F.col("x.key") == F.col("y.key")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.root") != F.col("y.root"))
-        & (F.least("x.block", "y.block") == F.col("x.i")) & (F.greatest("x.block", "y.block") == F.col("x.j")) & (short >= similarity * long - 1e-9)
-        & (apart <= (1 - similarity) / (1 + similarity) * (F.col("x.size") + F.col("y.size")) + 1e-6)
-    )
-    met = x.join(y, meet).select(F.col("x.class").alias("u"), F.col("y.class").alias("v"), F.col("x.size").alias("a"), F.col("y.size").alias("b"))
-    rest = _verified(rows, classes, materialize(_enough(met, similarity), "near-pairs"), shingle, similarity)
+    met = _met(open_, classes, similarity).distinct()
+    rest = _verified(rows, classes, materialize(met, "near-pairs"), shingle, similarity)
     return materialize(first.unionByName(rest), "near-all-links")
 
 

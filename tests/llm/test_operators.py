@@ -457,6 +457,16 @@ def test_bitmap_holds_what_is_listed(spark):
     assert {r.k for r in some.collect()} >= set(keys[:100]) and some.count() < 103
 
 
+def test_near_dedup_pairs_meet_at_their_first_key(spark):
+    first, size = range(60), 300
+    sets = {1: first, 2: first, 3: [k for k in first if k % 4], 4: [*range(100, 140), 59]}  # 4 shares its last early shingle only, too late for 0.8
+    rows = [(k, 4, c, size, place, c) for c, keys in sets.items() for place, k in enumerate(keys)]
+    open_ = spark.createDataFrame(rows, "key long, n long, class long, size int, place int, root long")
+    classes = spark.createDataFrame([(c, [0] * near_dedup.PARITY) for c in sets], "class long, bits array<long>")
+    met = [tuple(sorted(r)) for r in near_dedup._met(open_, classes, 0.8).collect()]
+    assert sorted(met) == [(1, 2), (1, 3), (2, 3)]  # not a row for each shared key
+
+
 def test_near_dedup_tells_namesakes_apart(spark):
     words = [f"w{i}" for i in range(60)]
     near, clean = " ".join([*words[:59], "other"]), "Quite\t another  text\u00c9 of its own"
