@@ -6,13 +6,12 @@ are read from an integral image and quantised to two bits in Gray code: one 32-b
 upper half of a filter's values before the sixteen others.  The image holds whole numbers, so a recording's integers do not depend
 on what is computed beside it.  The steps of the quantiser are the quartiles of at most FIT_FRAMES frames of each of about FIT recordings.
 
-Search: recordings with equal fingerprints are one class.  A class is found by its tokens, the upper halves of two integers STEP apart, at
-all their places; two places agree if the tokens are equal and of the 64 bits behind them, four more upper halves, at most LOOSE differ.  A class has one
-row a token, with all that stands behind it somewhere; these rows are joined, common tokens in cells, and name the pairs of classes with an
-agreeing place.  Rows that stand behind equal ones in both classes are left out, as those name the pair already.  Such a pair is compared where
-both fingerprints are at hand: agreeing places are gathered by offset, and at every bin of this histogram with enough frames
-in common the share of differing bits over the whole overlap decides, which is `align` for all pairs; a pair without agreeing places is lost (the README
-has the recall against all offsets of all pairs).
+Search: recordings with equal fingerprints are one class.  A token are the upper halves of two integers STEP apart, at every place; two places
+agree if the tokens are equal and of the 64 bits behind them, four more upper halves, at most LOOSE differ.  Blocks of queries of bounded size, their places
+in order of the tokens, meet all classes, in cells; there every class looks its own tokens up, its agreeing places are gathered by query and offset, and at every
+bin of this histogram with enough frames in common the share of differing bits over the whole overlap decides, which is `align` for
+all pairs.  Only matches leave a task: what moves are the integers of every class once for each block of queries, neither tokens nor pairs.  A
+pair without agreeing places is lost (the README has the recall against all offsets of all pairs).
 
 Defined results: recordings too short for an integer match nothing and are classes by their bytes, null and empty ones together;
 repeated rows are one class; extra columns are not read.  Data is RIFF/WAVE (PCM, 8 or 16 bits, channels averaged) or
@@ -22,7 +21,7 @@ else taken for unsigned 8-bit mono samples; damaged headers too.
 from __future__ import annotations
 
 import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FILTER_BITS, HOT_PARTS, bitmap, lookup_join, materialize, sample_rows, tidy
+from .common import lookup_join, materialize, sample_rows, tidy
 
 WINDOW, HOP = 128, 32
 #: Frequencies from LOW to HIGH, as shares of the sampling rate, count for the pitch classes.
@@ -51,8 +50,8 @@ FIT, FIT_FRAMES = 400, 64
 STEP, LOOSE, OVERLAP, ERRORS = 3, 14, 32, 0.15
 #: An overlap that leaves out more than 1 - MOST of the shorter recording needs PARTIAL frames: ends of different recordings may sound alike for a note or two.
 MOST, PARTIAL = 0.9, 64
-#: Queries and other recordings to a cell of a common token, pairs to a cell of a recording, samples, integers or places that are worked on at once.
-CELL, CELL_ROWS, BLOCK = 256, 5_000, 1 << 21
+#: Bytes of integers of a block of queries, recordings at least to a cell, samples, integers or places that are worked on at once, equal tokens likewise.
+QUERY_BYTES, CELL_ROWS, BLOCK, MATCHES = 1 << 25, 1_000, 1 << 21, 1 << 19
 
 
 def samples(data: bytes) -> np.ndarray:
@@ -179,26 +178,16 @@ def fit(media: DataFrame, data_col: str) -> np.ndarray:
     return np.quantile(np.array(found), [0.25, 0.5, 0.75], axis=0) if found else STEPS
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """64-bit words mixed one to one."""
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
-
-
 def tokens(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(token, bits behind it) at every place that has integers enough behind it.
-
-    Tokens are mixed one to one, so that their low bits serve as a hash.
-    """
+    """(token, bits behind it) at every place that has integers enough behind it."""
     n = max(0, len(prints) - 5 * STEP)
     upper = prints.astype(np.uint64) >> np.uint64(16)
-    token, beside = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    token, beside = np.zeros(n, np.uint32), np.zeros(n, np.uint64)
     for k in range(2):
-        token |= upper[k * STEP : k * STEP + n] << np.uint64(16 * k)
+        token |= upper[k * STEP : k * STEP + n].astype(np.uint32) << np.uint32(16 * k)
     for k in range(4):
         beside |= upper[(k + 2) * STEP : (k + 2) * STEP + n] << np.uint64(16 * k)
-    return _mixed(token).view(np.int64), beside.view(np.int64)
+    return token, beside
 
 
 def offsets(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -211,7 +200,7 @@ def offsets(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for own in np.split(at, np.flatnonzero(np.diff(ends // BLOCK)) + 1):
         n = (high - low)[own]
         i, j = np.repeat(own, n), order[np.repeat(low[own], n) + _within(n)]
-        near = np.bitwise_count((x[i] ^ y[j]).view(np.uint64)) <= LOOSE
+        near = np.bitwise_count(x[i] ^ y[j]) <= LOOSE
         votes += np.bincount((i - j)[near] + len(t), minlength=len(votes))
     found = np.flatnonzero(votes)
     return found - len(t), votes[found]
@@ -256,155 +245,134 @@ def fingerprints(media: DataFrame, id_col: str, data_col: str, steps: np.ndarray
     return rows.mapInArrow(tidy(run), f"id {rows.schema['id'].dataType.simpleString()}, class long, prints binary")
 
 
-def _rows(own: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(recording, token, before) of every token of each recording; (where its list starts, all lists): the distinct bits behind it.
-
-    `before` is a hash of the token at the place before its first one and of the bits behind that; 0 at the start.
-    """
-    made = [tokens(p) for p in own]
-    counts = np.array([len(t) for t, _ in made], np.int64)
+class _Queries:
+    """A block of queries, joined end to end, with all their places in order of the tokens."""
+
+    def __init__(self, cls: list[int], prints: list[bytes]):
+        self.cls = np.array(cls, np.int64)
+        self.prints, self.sizes, self.starts, rec, place, token, beside = _joined([np.frombuffer(p, np.uint32) for p in prints])
+        order = np.argsort(token, kind="stable")
+        self.token, self.rec, self.place, self.beside = token[order], rec[order], place[order], beside[order]
+        self.longest = int(self.sizes.max())
+
+    def _agreeing(self, at: np.ndarray, low: np.ndarray, n: np.ndarray, beside: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(place, place of the queries) that agree, of the places `at`, whose tokens are the n ones from low on; MATCHES equal tokens at a time."""
+        at = at[n[at] > 0]
+        low, ends = low[at], np.cumsum(n[at])
+        begins = ends - n[at]
+        for first in range(0, int(ends[-1]) if len(ends) else 0, MATCHES):
+            k = slice(np.searchsorted(ends, first, "right"), np.searchsorted(begins, first + MATCHES, "left"))
+            own = np.minimum(ends[k], first + MATCHES) - np.maximum(begins[k], first)
+            x, y = np.repeat(at[k], own), np.repeat(low[k] + np.maximum(first - begins[k], 0), own) + _within(own)
+            near = np.bitwise_count(beside[x] ^ self.beside[y]) <= LOOSE
+            yield x[near], y[near]
+
+    def links(self, cls: np.ndarray, own: list[np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
+        """(query, recording, errors, overlap, offset of the query in the recording) of every query and other recording that match: `align` of all pairs with an agreeing place."""
+        prints, sizes, starts, rec, place, token, beside = _joined(own)
+        low = np.searchsorted(self.token, token, "left")
+        n = np.searchsorted(self.token, token, "right") - low
+        sums = np.bincount(rec, n, len(own))
+        for v in np.flatnonzero(sums > MATCHES):  # pair by pair, as places of one offset are too many to be kept together
+            found = [np.unique(self.rec[y]) for _, y in self._agreeing(np.flatnonzero(rec == v), low, n, beside)]
+            rows = []
+            for u in np.unique(np.concatenate(found)):
+                got = align(own[v], self.prints[self.starts[u] : self.starts[u] + self.sizes[u]]) if self.cls[u] != cls[v] else None
+                if got and got[2] <= ERRORS:
+                    rows.append((u, v, got[2], got[1], got[0]))
+            if rows:
+                yield tuple(map(np.array, zip(*rows, strict=True)))
+        sums[sums > MATCHES] = 0
+        light = np.split(np.arange(len(own)), np.flatnonzero(np.diff(np.cumsum(sums) // MATCHES)) + 1)
+        width = int(sizes.max()) + self.longest + 1
+        for some in light:
+            at = np.arange(*np.searchsorted(rec, (some[0], some[-1] + 1)))
+            bins = [np.zeros(0, np.int64)]
+            for x, y in self._agreeing(at[sums[rec[at]] > 0], low, n, beside):
+                bins.append(np.unique((rec[x] * len(self.cls) + self.rec[y]) * width + (place[x] - self.place[y] + self.longest)))
+            bins = np.unique(np.concatenate(bins))
+            pair, offset = bins // width, bins % width - self.longest
+            v, u = pair // len(self.cls), pair % len(self.cls)
+            overlap = np.minimum(sizes[v], self.sizes[u] + offset) - np.maximum(0, offset)
+            k = (cls[v] != self.cls[u]) & (overlap >= np.maximum(OVERLAP, np.minimum(PARTIAL, MOST * np.minimum(sizes[v], self.sizes[u]))))
+            v, u, offset, overlap = v[k], u[k], offset[k], overlap[k]
+            errors = self._differing(prints, starts[v] + np.maximum(0, offset), self.starts[u] + np.maximum(0, -offset), overlap) / (32 * overlap)
+            order = np.lexsort((offset, -overlap, errors, u, v))
+            order = order[errors[order] <= ERRORS]
+            best = order[np.r_[True, (np.diff(v[order]) != 0) | (np.diff(u[order]) != 0)][: len(order)]]
+            yield u[best], v[best], errors[best], overlap[best], offset[best]
+
+    def _differing(self, prints: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Bits that differ between the n integers from a on of other recordings' and those from b on of the queries'."""
+        out, ends = np.zeros(len(n), np.int64), np.cumsum(n)
+        for k in np.split(np.arange(len(n)), np.flatnonzero(np.diff(ends // MATCHES)) + 1) if len(n) else ():
+            own = _within(n[k])
+            bits = np.bitwise_count(prints[np.repeat(a[k], n[k]) + own] ^ self.prints[np.repeat(b[k], n[k]) + own])
+            out[k] = np.add.reduceat(bits, np.cumsum(n[k]) - n[k], dtype=np.int64)
+        return out
+
+
+def _joined(own: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Recordings end to end: integers, sizes, starts; of each place with integers enough behind it: recording, place in it, token, bits behind it."""
+    prints, sizes = np.concatenate(own), np.array([len(p) for p in own], np.int64)
+    starts, counts = np.cumsum(sizes) - sizes, np.maximum(0, sizes - 5 * STEP)
     rec, place = np.repeat(np.arange(len(own)), counts), _within(counts)
-    token, beside = (np.concatenate([m[k] for m in made]) for k in range(2))
-    last = _mixed(token.view(np.uint64) ^ _mixed(beside.view(np.uint64) + np.uint64(1))).view(np.int64)
-    before = np.where(place > 0, np.roll(last, 1), 0)
-    order = np.lexsort((place, token, rec))
-    new = np.r_[True, (np.diff(rec[order]) != 0) | (np.diff(token[order]) != 0)][: len(order)]
-    first = order[new]
-    group = np.empty(len(order), np.int64)
-    group[order] = np.cumsum(new) - 1
-    order = np.lexsort((beside, group))
-    new = np.r_[True, (np.diff(group[order]) != 0) | (np.diff(beside[order]) != 0)][: len(order)]
-    kept = order[new]
-    return rec[first], token[first], before[first], np.searchsorted(group[kept], np.arange(len(first) + 1)), beside[kept]
-
-
-def _tokens(found) -> Callable:
-    """Tokens of classes; of those that are not asked for only such as the filter `found` (None: no filter) may hold."""
-
-    def rows(cls: list, asked: list, own: list) -> pa.RecordBatch:
-        rec, token, before, starts, beside = _rows(own)
-        asked = np.array(asked, bool)[rec]
-        out = pa.RecordBatch.from_arrays(
-            [pa.array(token), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(beside)), pa.array(before), pa.array(np.array(cls, np.int64)[rec]), pa.array(asked)],
-            ["token", "beside", "before", "class", "asked"],
-        )
-        if found is None:
-            return out
-        known, at = np.frombuffer(found.value, np.uint8), token & (FILTER_BITS - 1)
-        return out.filter(pa.array(asked | ((known[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            block, size = [], 0
-            for row in zip(*(batch.column(c).to_pylist() for c in ("class", "asked", "prints")), strict=True):
-                if block and size + len(row[2]) > BLOCK // 2:
-                    yield rows(*map(list, zip(*block, strict=True)))
-                    block, size = [], 0
-                block.append((*row[:2], np.frombuffer(row[2], np.uint32)))
-                size += len(row[2])
-            if block:
-                yield rows(*map(list, zip(*block, strict=True)))
-
-    return run
+    token, beside = tokens(prints)
+    at = starts[rec] + place
+    return prints, sizes, starts, rec, place, token[at], beside[at]
 
 
-_TOKENS = "token long, beside array<long>, before long, class long, asked boolean"
+def _dealt(sound: DataFrame) -> DataFrame:
+    """(cell, is_other, class, least, prints): queries in blocks of about QUERY_BYTES, every block with every other recording in cells that take no more of queries than of others, about.
 
-
-def _dealt(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(queries, all) with a cell each: a token that holds over 1/HOT_PARTS of the rows is cut into cells of CELL queries by CELL_ROWS others."""
-    sizes = tokens.groupBy("token").agg(F.count("*").alias("w"), F.count_if("asked").alias("q"))
-    total = tokens.count()
-    hot = sizes.where(F.col("w") > total // HOT_PARTS + CELL_ROWS // 10).select("token", F.ceil(F.col("q") / CELL).alias("nq"), F.ceil(F.col("w") / CELL_ROWS).alias("nr"))
-    rows = tokens.join(F.broadcast(hot), "token", "left").withColumns({"nq": F.greatest(F.coalesce("nq", F.lit(1)), F.lit(1)), "nr": F.coalesce("nr", F.lit(1))})
-    own = lambda n: F.pmod(F.xxhash64("class"), F.col(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    asks = rows.where("asked").withColumn("r", every("nr")).withColumn("cell", own("nq") * F.col("nr") + F.col("r"))
-    others = rows.withColumn("b", every("nq")).withColumn("cell", F.col("b") * F.col("nr") + own("nr"))
-    return asks.select("token", "cell", "beside", "before", "class"), others.select("token", "cell", "beside", "before", "class")
-
-
-def _pairs(tokens: DataFrame) -> DataFrame:
-    """(u, v): query u and other class v with an agreeing place.
-
-    Where what stands before a token's first place is equal in both, that place agrees too and lies before the first one of its own token or
-    at it, so of every pair one row is left that nothing equal stands before.
+    Of a recording the integers travel once for each block of queries, and none for a pair.
     """
-    asks, others = _dealt(tokens)
-    x, y = asks.alias("x"), others.alias("y")
-    meet = (F.col("x.token") == F.col("y.token")) & (F.col("x.cell") == F.col("y.cell")) & (F.col("x.class") != F.col("y.class")) & ((F.col("x.before") != F.col("y.before")) | (F.col("x.before") == 0))
-    near = F.exists("x.beside", lambda a: F.exists("y.beside", lambda b: F.bit_count(a.bitwiseXOR(b)) <= LOOSE))
-    return x.join(y, meet & near).select(F.col("x.class").alias("u"), F.col("y.class").alias("v")).distinct()
-
-
-def _beside(pairs: DataFrame, counted: DataFrame, classes: DataFrame, side: str, run: Callable, schema: str) -> DataFrame:
-    """run over the pairs, whose sides `counted` holds too, sorted behind the row of their recording on one side, in cells of CELL_ROWS pairs, about."""
-    cells = counted.groupBy(side).agg(F.count("*").alias("m")).select(F.col(side).alias("class"), F.ceil(F.col("m") / CELL_ROWS).alias("cells"))
-    told = classes.join(cells, "class").withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)))
-    heads = told.select("class", "cell", F.lit(0).alias("is_pair"), "least", "prints", *(F.lit(None).cast(t).alias(c) for c, t in pairs.dtypes))
-    many = cells.where("cells > 1")  # fewer than a CELL_ROWS-th of the pairs
-    own = lookup_join(pairs.withColumn("class", F.col(side)), materialize(many.withColumn("m", F.lit(1).cast("long")), "chroma-many"), "class", "m")
-    tails = own.select("class", F.coalesce(F.pmod(F.xxhash64("u", "v"), F.col("cells")), F.lit(0)).alias("cell"), F.lit(1).alias("is_pair"), *(F.lit(None).cast(classes.schema[c].dataType).alias(c) for c in ("least", "prints")), *pairs.columns)
-    return heads.unionByName(tails).repartition("class", "cell").sortWithinPartitions("class", "cell", "is_pair").mapInArrow(tidy(run), schema)
-
-
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """To every pair the integers of v, and v's smallest id."""
-    prints, least = b"", None
-    for batch in batches:
-        keep, parts, ids, size = [], [], [], 0
-
-        def out(batch=batch) -> pa.RecordBatch:
-            own = batch.take(pa.array(keep, pa.int64()))
-            return pa.RecordBatch.from_arrays([own.column("u"), own.column("v"), pa.array(parts, pa.binary()), pa.array(ids, batch.schema.field("least").type)], ["u", "v", "part", "match"])
-
-        for i, (pair, p, x) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("is_pair", "prints", "least")), strict=True)):
-            if not pair:
-                prints, least = p, x
-                continue
-            keep.append(i)
-            parts.append(prints)
-            ids.append(least)
-            size += len(prints)
-            if size > BLOCK:
-                yield out()
-                keep, parts, ids, size = [], [], [], 0
-        yield out()
+    told = sound.agg(F.count("*").alias("n"), F.sum(F.length("prints")).alias("all"), F.count_if("asked").alias("q"), F.sum(F.when(F.col("asked"), F.length("prints"))).alias("own")).first()
+    own = max(1, told.own or 0)
+    blocks = -(-own // QUERY_BYTES)
+    cells = max(1, min((told["all"] or 0) * blocks // own, -(-told.n // CELL_ROWS)))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    at = lambda n: F.pmod(F.xxhash64("class"), F.lit(n).cast("long"))
+    asks = sound.where("asked").withColumns({"block": at(blocks), "part": every(cells), "is_other": F.lit(False)})
+    others = sound.withColumns({"block": every(blocks), "part": at(cells), "is_other": F.lit(True)})
+    return asks.unionByName(others).select((F.col("block") * cells + F.col("part")).alias("cell"), "is_other", "class", "least", "prints")
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose bits differ by ERRORS at most over the overlap of their best alignment."""
-    prints = np.zeros(0, np.uint32)
+    """Matches of the queries of each cell, whose rows come first, with its other recordings."""
+    cell, heads, queries = None, [], None
     for batch in batches:
-        rows = []
-        for i, pair in enumerate(batch.column("is_pair").to_pylist()):
-            if not pair:
-                prints = np.frombuffer(batch.column("prints")[i].as_py(), np.uint32)
+        cells, other, cls = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "is_other", "class"))
+        least, size = batch.column("least"), np.cumsum([len(x) for x in batch.column("prints").to_pylist()])
+        # Rows of one cell and kind, of bounded size.
+        for k in np.split(np.arange(len(cells)), np.flatnonzero((np.diff(cells) != 0) | (np.diff(other) != 0) | (np.diff(size // BLOCK) != 0)) + 1):
+            if not len(k):
+                continue
+            if cells[k[0]] != cell:
+                cell, heads, queries = cells[k[0]], [], None
+            rows = batch.column("prints")[k[0] : k[-1] + 1].to_pylist()
+            if not other[k[0]]:
+                heads += zip(cls[k].tolist(), rows, strict=True)
                 continue
-            found = align(np.frombuffer(batch.column("part")[i].as_py(), np.uint32), prints)
-            if found and found[2] <= ERRORS:
-                rows.append((*(batch.column(c)[i].as_py() for c in ("u", "v")), found[2], -found[1], batch.column("match")[i].as_py(), found[0]))
-        cols = list(zip(*rows, strict=True)) or [()] * 6
-        types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), batch.schema.field("match").type, pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["class", "v", "errors", "o", "least", "offset"])
+            if queries is None and heads:
+                queries, heads = _Queries(*map(list, zip(*heads, strict=True))), []
+            if queries is not None:
+                for u, v, errors, overlap, offset in queries.links(cls[k], [np.frombuffer(x, np.uint32) for x in rows]):
+                    yield pa.RecordBatch.from_arrays([pa.array(queries.cls[u]), pa.array(cls[k][v]), pa.array(errors), pa.array(-overlap), least.take(pa.array(k[v])), pa.array(offset)], ["class", "v", "errors", "o", "least", "offset"])
 
 
 def search(media: DataFrame, is_query: F.Column, id_col: str, data_col: str) -> DataFrame:
     """One row per query row: id, n_prints, class_id (smallest id of its class), n_classes (other classes that match) and the best match: its smallest id, offset of the query in it, overlap, errors.
 
-    is_query is a condition on the id, named `id`.  Best: least errors, then longest overlap, then smallest id.  Tokens that no
-    query may have, told by a filter of bounded size, are not written.  Of a pair the integers of one recording travel, once.
+    is_query is a condition on the id, named `id`.  Best: least errors, then longest overlap, then smallest id.
     """
     made = materialize(fingerprints(media, id_col, data_col, fit(media, data_col)), "chroma-prints")
     classes = made.groupBy("class").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.first("prints").alias("prints"), F.max(F.coalesce(is_query, F.lit(False))).alias("asked"))
     classes = materialize(classes, "chroma-classes")
     id_type = classes.schema["least"].dataType.simpleString()
     sound = classes.where((F.length("prints") >= 4 * OVERLAP) & F.col("least").isNotNull()).select("class", "least", "asked", "prints")
-    found = bitmap(sound.where("asked").mapInArrow(tidy(_tokens(None)), _TOKENS), F.col("token"))
-    marked = materialize(sound.mapInArrow(tidy(_tokens(media.sparkSession.sparkContext.broadcast(found))), _TOKENS), "chroma-tokens")
-    pairs = materialize(_pairs(marked), "chroma-pairs")
-    cut = _beside(pairs, pairs, sound, "v", _cut, f"u long, v long, part binary, match {id_type}")
-    links = _beside(cut, pairs, sound, "u", _compare, f"class long, v long, errors double, o long, least {id_type}, offset long")
+    dealt = _dealt(sound).repartition("cell").sortWithinPartitions("cell", "is_other")
+    links = dealt.mapInArrow(tidy(_compare), f"class long, v long, errors double, o long, least {id_type}, offset long")
     best = links.groupBy("class").agg(F.count("*").alias("n_classes"), F.min(F.struct("errors", "o", "least", "offset")).alias("b"))
     out = classes.where("asked").select("class", F.col("least").alias("class_id"), F.col("n")).join(best, "class", "left")
     out = materialize(out, "chroma-best")

@@ -712,6 +712,28 @@ def test_chroma_search_by_brute_force(spark):
     assert sum(e[2] for e in expected.values()) > 10
 
 
+def test_chroma_search_moves_recordings_and_not_pairs(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(7)
+    tune = np.frombuffer(_tune(9), np.uint8).astype(int)
+    data = [bytes(np.clip(tune + rng.integers(-1, 2, len(tune)), 0, 255).astype(np.uint8)) for _ in range(40)] + [_tune(i) for i in range(8)]
+    prints = [chroma.fingerprint(x) for x in data]
+    sound = spark.createDataFrame([(i, i, i % 4 == 0, p.tobytes()) for i, p in enumerate(prints)], "class long, least long, asked boolean, prints binary")
+    monkeypatch.setattr(chroma, "CELL_ROWS", 20)
+    monkeypatch.setattr(chroma, "QUERY_BYTES", 4 * sum(len(p) for p in prints[::4]) // 2)  # two blocks, and three cells of the others
+    assert chroma._dealt(sound).count() == 2 * 48 + 3 * 12  # the pairs that match are 10 * 39
+    queries = chroma._Queries(list(range(0, 48, 4)), [p.tobytes() for p in prints[::4]])
+    expected = {(i, j): (a[2], a[1], a[0]) for i in range(0, 48, 4) for j in range(48) if i != j and (a := chroma.align(prints[j], prints[i])) and a[2] <= chroma.ERRORS}
+    assert len(expected) >= 10 * 39
+    for matches in (chroma.MATCHES, 5_000, 50):  # recordings together, some alone, all alone
+        monkeypatch.setattr(chroma, "MATCHES", matches)
+        found = {(4 * u, v): row for part in queries.links(np.arange(48), prints) for u, v, *row in zip(*(c.tolist() for c in part), strict=True)}
+        assert {k: tuple(x) for k, x in found.items()} == expected
+    media = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(data)], "id long, data binary")
+    assert all(r.n_classes == 39 for r in chroma.search(media, F.col("id") % 4 == 0, "id", "data").where("id < 40").collect())
+
+
 # -- the pipeline
 
 
