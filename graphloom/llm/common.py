@@ -26,6 +26,8 @@ BROADCAST_ROWS = 100_000
 HOT_PARTS = 2_000
 #: Bits of the filter that is sent to the rows of a long table, 2048 rows of 4 KB, whatever the input's size.
 FILTER_BITS = 2048 * 32_768
+#: Bytes of the rows of an Arrow batch for Python workers, about, where `small_batches` holds.
+BATCH_BYTES = 4 << 20
 #: Files of which a sample takes its rows.
 SAMPLE_FILES = 4
 
@@ -158,6 +160,14 @@ def sample_rows(docs: DataFrame, columns: list[str], rows: int) -> DataFrame:
     return reduce(DataFrame.unionAll, parts)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on this session's Arrow batches end at BATCH_BYTES, if they did not before: by rows alone, or Spark's 64 MB, texts stand in the JVM's and the workers' memory several times."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key, "64m"))
+    if held <= 0 or held > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def tidy(run: Callable) -> Callable:
     """A mapInArrow function that gives its memory back at the end of a task: workers are used again, by other stages too."""
 

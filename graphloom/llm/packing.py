@@ -55,12 +55,12 @@ class WordIds:
     model.  A text that may hold a special token is encoded as it is, for those are told by case.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # executors run a task per core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known, self.letters = Tokenizer.from_file(path), {}, _byte_letters()
-        self.model, self.bytes = self.tokenizer.model, 0
+        self.model, self.bytes, self.most = self.tokenizer.model, 0, cache_bytes
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode()
@@ -86,14 +86,14 @@ class WordIds:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        if self.bytes > CACHE_BYTES:
+        if self.bytes > self.most:
             self.known, self.bytes = {}, 0
         self._learn(set().union(*split))
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 
-_encoders: dict[str, WordIds] = {}
+_encoders: dict[tuple[str, int], WordIds] = {}
 
 
 def windows(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
@@ -145,16 +145,19 @@ class _Packer:
         return pa.RecordBatch.from_arrays([pa.array(cols[0], id_type), *(pa.array(c, pa.int64()) for c in cols[1:])], names)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, capacity: int = 2048, max_piece: int = 512, group: int = 256) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, capacity: int = 2048, max_piece: int = 512, group: int = 256, cache_bytes: int = CACHE_BYTES, keep: bool = True) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    tokenizer_path names the vocabulary file on every executor.
+    tokenizer_path names the vocabulary file on every executor.  keep: whether a worker keeps tokenizer and words for
+    later tasks, which is faster; without it they take no memory from the stages that follow.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.setdefault(tokenizer_path, None) or _encoders.update({tokenizer_path: WordIds(tokenizer_path)}) or _encoders[tokenizer_path]
+        encoder = _encoders.get((tokenizer_path, cache_bytes)) or WordIds(tokenizer_path, cache_bytes)
+        if keep:
+            _encoders[tokenizer_path, cache_bytes] = encoder
         packer, id_type = _Packer(capacity, group), pa.int64()
 
         def add(ids: list, texts: list[bytes]) -> None:

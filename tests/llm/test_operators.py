@@ -737,6 +737,23 @@ def test_chroma_search_moves_recordings_and_not_pairs(spark, monkeypatch):
 # -- the pipeline
 
 
+def test_pipeline_bounds_arrow_batches(spark, monkeypatch):
+    import corpus_pipeline
+
+    key, seen = "spark.sql.execution.arrow.maxBytesPerBatch", {}
+    monkeypatch.setattr(corpus_pipeline.packing, "pack", lambda docs, path, **options: seen.update(options))
+    held = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "64m")
+        corpus_pipeline.pack_windows(spark, None, "")
+        assert spark.conf.get(key) == "4194304b" and seen == {"cache_bytes": 16_000_000, "keep": False}
+        spark.conf.set(key, "1m")
+        corpus_pipeline.pack_windows(spark, None, "")
+        assert spark.conf.get(key) == "1m"  # a smaller limit stays
+    finally:
+        spark.conf.set(key, held)
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 
