@@ -28,7 +28,7 @@ from . import kk
 from .common import tidy
 
 #: Bytes, about, of words and their ids that a worker keeps; when full, the cache starts anew.  ENTRY_BYTES is what an entry takes beside its words' own bytes.
-CACHE_BYTES, ENTRY_BYTES = 40_000_000, 200
+CACHE_BYTES, ENTRY_BYTES = 200_000_000, 200
 #: Bytes of text to encode at once; bounds memory for long texts.
 CHUNK_BYTES = 1_000_000
 
@@ -64,9 +64,10 @@ class WordIds:
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode()
-        if text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text):
-            if not text.isascii():
-                text = "".join(map(self.letters.__getitem__, word))
+        # Letters below 256 are lower-cased one by one, to letters below 256, and are NFC.
+        low = text.lower() if max(text) < "\u0100" else text
+        if low.isalpha() and low == low.lower() and unicodedata.is_normalized("NFC", low):
+            text = low if low.isascii() else "".join(map(self.letters.__getitem__, low.encode()))
             return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 

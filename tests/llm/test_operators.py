@@ -149,6 +149,19 @@ def _cuts(n, capacity, piece):
     return [(s, s + capacity) for s in range(0, full, capacity)] + [(s, min(n, s + piece)) for s in range(full, n, piece)]
 
 
+def test_packing_learns_a_word_once(vocabulary, monkeypatch):
+    words = packing.WordIds(vocabulary)
+    odd = ["ÉTÉ", "Ça", "ªº", "µ", "ÿŸ", "İI", "ΣΑΣ", "e\u0301", "ß", "×", "ÀÞ,", "don't", "Ñ's", "Øre!?"]
+    for text, ids in zip(odd, words.encode([t.encode() for t in odd]), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids, text
+    learned = []
+    monkeypatch.setattr(packing.WordIds, "_word", lambda self, w: learned.append(w) or b"")
+    texts = [" ".join(f"w{i}" for i in range(at, at + 50_000)).encode() for at in range(0, 300_000, 50_000)]
+    for text in texts + texts[:1]:
+        words.encode([text])
+    assert len(learned) == 300_000  # with 40 MB of words all were learned again
+
+
 def test_windows_rise_until_none_is_over():
     rng = np.random.default_rng(1)
     sizes = rng.integers(1, 513, 900)
