@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; `run` writes every stage's rows
 as Parquet and reads them again.  All stages but the last return the columns of `documents`.  Executors and their Python workers live
-through all stages, so these limit the session's Arrow batches by bytes, and packing keeps little of its words and nothing behind a task.
+through all stages, so these limit the session's Arrow batches by bytes and begin with the executors' garbage collected, and packing keeps
+little of its words and nothing behind a task.
 """
 
 from __future__ import annotations
@@ -15,28 +16,33 @@ from graphloom.llm import common, mixing, near_dedup, packing, quality_classifie
 PACKING_CACHE = 16_000_000
 
 
+def _begin(spark: SparkSession) -> None:
+    common.small_batches(spark)
+    common.collect_garbage(spark)
+
+
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier takes for low quality or toxic go."""
-    common.small_batches(spark)
+    _begin(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality_classifier.classify(docs, labels, results=("__quality", "__toxic", "__kept")).where("__kept").select(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: five-word shingles alike by 0.8 or more."""
-    common.small_batches(spark)
+    _begin(spark)
     return near_dedup.drop_near_duplicates(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Live findings are replaced in the text; no document goes."""
-    common.small_batches(spark)
+    _begin(spark)
     return secrets.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's budget takes them."""
-    common.small_batches(spark)
+    _begin(spark)
     return mixing.mixed_documents(docs)
 
 
@@ -44,7 +50,7 @@ def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Pieces of documents in token windows."""
     import public_tokenizers
 
-    common.small_batches(spark)
+    _begin(spark)
     return packing.pack(docs, str(public_tokenizers.path("word_bpe_49k.json")), cache_bytes=PACKING_CACHE, keep=False)
 
 

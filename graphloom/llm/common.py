@@ -168,6 +168,18 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Every executor's JVM collects its garbage and gives back the heap that it no longer needs, if its task slots are free.
+
+    Executors keep a heap at the size that the heaviest step had once, and direct buffers until the objects that own them are collected.
+    """
+    gc.collect()  # DataFrames and broadcasts that nothing holds
+    spark.sparkContext._jvm.System.gc()
+    slots = spark.sparkContext.defaultParallelism
+    told = spark.range(0, slots, 1, slots).select(F.java_method(F.lit("java.lang.System"), F.lit("gc")).alias("told"))
+    told.write.format("noop").mode("overwrite").save()
+
+
 def tidy(run: Callable) -> Callable:
     """A mapInArrow function that gives its memory back at the end of a task: workers are used again, by other stages too."""
 

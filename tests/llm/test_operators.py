@@ -767,6 +767,23 @@ def test_pipeline_bounds_arrow_batches(spark, monkeypatch):
         spark.conf.set(key, held)
 
 
+def test_pipeline_collects_garbage_before_a_stage(spark, monkeypatch):
+    import corpus_pipeline
+
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    full = lambda: sum(b.getCollectionCount() for b in beans() if "Young" not in b.getName())
+    monkeypatch.setattr(corpus_pipeline.packing, "pack", lambda docs, path, **options: None)
+    monkeypatch.setattr(corpus_pipeline.secrets, "redact", lambda docs: None)
+    held = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    try:
+        for stage in (corpus_pipeline.redact_secrets, corpus_pipeline.pack_windows):
+            before = full()
+            stage(spark, None, "")
+            assert full() >= before + spark.sparkContext.defaultParallelism  # in tasks, so that every executor has its turn
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", held)
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 
