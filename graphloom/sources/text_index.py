@@ -394,9 +394,10 @@ class TextIndex:
     def _with_ids(self, hits: DataFrame) -> DataFrame:
         return hits.join(self._docs("seg no id"), ["seg", "no"]).select("id", "raw")
 
-    def search_many(self, queries: DataFrame, k: int = 50, weights: dict[str, float] = FIELD_WEIGHTS) -> DataFrame:
+    def search_many(self, queries: DataFrame, k: int = 50, weights: dict[str, float] = FIELD_WEIGHTS, places: int | None = None) -> DataFrame:
         """(query_id, id, raw, rank): the best k of every query (query_id, terms) in one pass; queries without terms or hits have no rows.
 
+        places: scores that agree to so many decimal places are ties, which go by id; without it only equal ones are.
         Queries that ask the same are one.  Their terms meet the postings by an equi-join, and a task keeps k rows of a query, and those that
         tie with the last, before a query's rows are brought together and get their ids.  No job is run for each query.
         """
@@ -417,9 +418,10 @@ class TextIndex:
         several = met.where("m > 1").groupBy("asked", "m", "seg", "no").agg(F.array_sort(F.collect_list(F.struct("term", "part"))).alias("p")).where(F.size("p") == F.col("m"))
         summed = several.select("asked", "seg", "no", F.aggregate("p", F.lit(0.0), lambda s, x: s + x["part"]).alias("raw"))
         raw = met.where("m = 1").select("asked", "seg", "no", F.col("part").alias("raw")).unionAll(summed)
-        near = raw.withColumn("near", F.rank().over(Window.partitionBy("asked").orderBy(F.desc("raw")))).where(F.col("near") <= k)
+        best_first = F.desc("raw") if places is None else F.round(F.col("raw") * 10.0**places).desc()
+        near = raw.withColumn("near", F.rank().over(Window.partitionBy("asked").orderBy(best_first))).where(F.col("near") <= k)
         named = near.join(self._docs("seg no id"), ["seg", "no"])
-        best = named.withColumn("rank", F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("raw"), "id"))).where(F.col("rank") <= k)
+        best = named.withColumn("rank", F.row_number().over(Window.partitionBy("asked").orderBy(best_first, "id"))).where(F.col("rank") <= k)
         return asked.join(best, "asked").select("query_id", "id", "raw", "rank")
 
     def postings(self) -> DataFrame:

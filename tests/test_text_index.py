@@ -132,6 +132,17 @@ def test_many_queries_in_one_pass(spark, objects, tmp_path, monkeypatch, listed)
         assert [x[1:] for x in sorted(got.get(i, []))] == best, t
 
 
+def test_a_diagnosis_takes_scores_alike_to_nine_places_by_id(spark, tmp_path):
+    rows = [(f"d{i}", "fix", "p", "", "common " + "w " * (2040 - 3 * i), "") for i in range(9)] + [("z", "fix", "p", "common", "w " * 1500, "")]
+    objects = spark.createDataFrame(rows, SCHEMA)
+    raw = {r.id: r.raw for r in X.bm25(objects, "common").collect()}
+    want = set(sorted(raw, key=lambda i: (-round(raw[i], 9), i))[:4])
+    assert want != set(sorted(raw, key=lambda i: (-raw[i], i))[:4])
+    missed = objects.select("id", F.lit("common").alias("query"))
+    told = learn.diagnose_all(missed, _index(spark, tmp_path).apply(objects), 4).collect()
+    assert {r.id for r in told if r.boost == "keyword"} == want and len(told) == len(rows)
+
+
 def test_a_stream_keeps_the_index_in_step_exactly_once(spark, tmp_path):
     index = _index(spark, tmp_path, attributes=())
     state = {}
