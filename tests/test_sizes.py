@@ -123,3 +123,32 @@ def test_likest_names_equal_brute_force():
     got = X.likest(pa.chunked_array([asked]), pa.chunked_array([known]), 0.8).to_pylist()
     assert {r["a"]: (r["b"], r["ratio"]) for r in got} == want and len(want) > 50
     assert X.likest(pa.chunked_array([[]], pa.string()), pa.chunked_array([known]), 0.8).num_rows == 0
+
+
+def test_only_links_unlike_their_titles_meet_all_of_them(spark, monkeypatch):
+    import difflib
+    import random
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 7)))
+    names = [" ".join(word() for _ in range(rng.randint(1, 14)))[:60].strip() for _ in range(60)]
+    names += [n[:-1] + "q" for n in names[:15]] + [n + "z" for n in names[10:25]] + ["ab", "and and and and and and and and and"]
+    names = list(dict.fromkeys(names))
+    targets = list(dict.fromkeys(n[:12] + "x" + n[12:] for n in names)) + [n[1:] for n in names[30:40]] + [n[3:8] + n[12:] for n in names[40:50]]
+    targets = [t.strip() for t in targets if t.strip() and t.strip() not in names]
+    known = spark.createDataFrame([(n,) for n in names], "b string")
+    asked = spark.createDataFrame([(t,) for t in dict.fromkeys(targets)], "a string")
+    less = lambda s: {s[:i] + s[i + 1 :] for i in range(len(s))}
+    pairs = {(t, n) for t in targets for n in names if n in less(t) or t in less(n)}
+    assert {(r.a, r.b) for r in ingest.one_apart(asked, known).collect()} == pairs and len(pairs) > len(names)
+    in_blocks = []
+    whole = ingest.likest_in_blocks
+    monkeypatch.setattr(ingest, "likest_in_blocks", lambda a, b, n_asked, n_known, least: in_blocks.append((n_asked, n_known)) or whole(a, b, n_asked, n_known, least))
+    objects = spark.createDataFrame([(n, n, datetime.datetime(2024, 1, 1)) for n in names], "id string, title string, created_at timestamp")
+    links = spark.createDataFrame([("s", t) for t in dict.fromkeys(targets)], "src string, target string")
+    got = {r.target: r.id for r in ingest.resolve_links(links, objects).collect()}
+    ((n_asked, n_known),) = in_blocks
+    assert n_known == len(names) and 0 < n_asked < len(got) / 3
+    for t in got:
+        ratio, name = max((difflib.SequenceMatcher(None, t, n).ratio(), n) for n in names)
+        assert got[t] == (name if ratio > 0.8 else None), t
