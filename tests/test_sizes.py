@@ -152,3 +152,13 @@ def test_only_links_unlike_their_titles_meet_all_of_them(spark, monkeypatch):
     for t in got:
         ratio, name = max((difflib.SequenceMatcher(None, t, n).ratio(), n) for n in names)
         assert got[t] == (name if ratio > 0.8 else None), t
+
+
+def test_titles_are_cut_before_texts_are_moved(spark):
+    from graphloom.sources.mapping import Sample
+
+    whole = Sample(spark, "/root/testdata/sf0.001")
+    cut = whole.titled()
+    columns = ("id", "title", "created_at")
+    assert sorted(map(str, cut.objects.select(*columns).collect())) == sorted(map(str, whole.objects.select(*columns).collect()))
+    assert cut.table("documents").selectExpr("max(length(text))").first()[0] == 60 < whole.table("documents").selectExpr("max(length(text))").first()[0]
